@@ -14,7 +14,7 @@ NON_WHITESPACE = r"(?U)[^\s\x1c-\x1f]"
 WORD = r"[\p{L}\p{N}_]"
 
 # Four non-ASCII letters that equal an ASCII letter when case is ignored.
-_CASE_VARIANTS = ("İıſK", "iisk")
+_CASE_VARIANTS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DURATION_PART = r"([0-9]+(?:\.[0-9]+)?)\s*(day|hour|hr|minute|min|second|sec)"
