@@ -7,10 +7,10 @@ derived from the row's id is put in front of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from prioscope.config import AuditConfig
+from prioscope.functions.text import derive, sql_strings
 from prioscope.operators.ingest import prepare_tickets
 from prioscope.operators.labels import pseudo_labels
 from prioscope.operators.severity import infer_severity
@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _phrase(key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (key % len(PHRASES) + 1).cast("int"))
+def _phrase(key: str) -> str:
+    return f"element_at({sql_strings(PHRASES)}, CAST(({key}) % {len(PHRASES)} + 1 AS INT))"
 
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,44 +40,31 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     # both sides grow with the data, so neither is broadcast
     rows = docs.join(orders.hint("shuffle_hash"), docs.doc_id == orders.o_orderkey)
-    i = F.col("doc_id")
-    s = i.cast("string")
-    a, b, c = _phrase(i), _phrase(i * 3 + 5), _phrase(i * 5 + 2)
-    subject = F.when(i % 10 == 9, "  ").otherwise(
-        F.concat(F.lit("Re: "), a, F.when(i % 4 == 0, "!!").otherwise("")))
-    lead = (
-        F.when(i % 7 == 3, F.concat(F.lit("This is not "), b, F.lit(" anymore.\r\n")))
-        .when(i % 7 == 5, F.concat(
-            F.lit("A &amp; B &lt;x&gt; see https://kb.example.com/"), s, F.lit(" "), F.upper(b),
-            F.lit("? ")))
-        .otherwise(F.concat(F.lit("We have "), b, F.lit(", then "), c, F.lit(". ")))
-    )
-    csat = F.when(i % 6 == 1, None).when(i % 6 == 2, "n/r").otherwise(
-        (1 + (i * 7) % 5).cast("string"))
-    response = (
-        F.when(i % 5 == 0, ((i * 37) % 5000).cast("string"))
-        .when(i % 5 == 1, F.concat((i % 9).cast("string"), F.lit(" hours "),
-                                   (i % 60).cast("string"), F.lit(" minutes")))
-        .when(i % 5 == 2, F.concat((1 + i % 90).cast("string"), F.lit(" min")))
-        .when(i % 5 == 3, "soon")
-    )
-    resolution = (
-        F.when(i % 4 == 0, F.concat((1 + i % 6).cast("string"), F.lit(" days")))
-        .when(i % 4 == 1, F.concat((1 + i % 30).cast("string"), F.lit(".5 hr")))
-        .when(i % 4 == 2, F.concat(((i * 101) % 90000).cast("string"), F.lit(".0")))
-        .otherwise("45 sec")
-    )
-    return rows.select(
-        s.alias("Ticket_ID"),
-        subject.alias("Ticket_Subject"),
-        F.concat(lead, F.col("text")).alias("Ticket_Description"),
-        F.col("o_orderpriority").alias("Ticket_Priority"),
-        F.when(i % 11 != 0, F.col("lang")).alias("Ticket_Type"),
-        F.col("o_orderstatus").alias("Ticket_Status"),
-        F.col("source").alias("Ticket_Channel"),
-        csat.alias("CSAT"),
-        response.alias("First_Response_Time"),
-        resolution.alias("Time_to_Resolution"),
+    a, b, c = _phrase("doc_id"), _phrase("doc_id * 3 + 5"), _phrase("doc_id * 5 + 2")
+    return rows.selectExpr(
+        "CAST(doc_id AS STRING) AS Ticket_ID",
+        f"""CASE WHEN doc_id % 10 = 9 THEN '  '
+                 ELSE concat('Re: ', {a}, IF(doc_id % 4 = 0, '!!', '')) END AS Ticket_Subject""",
+        f"""concat(CASE
+              WHEN doc_id % 7 = 3 THEN concat('This is not ', {b}, ' anymore.\\r\\n')
+              WHEN doc_id % 7 = 5 THEN concat('A &amp; B &lt;x&gt; see https://kb.example.com/',
+                                              doc_id, ' ', upper({b}), '? ')
+              ELSE concat('We have ', {b}, ', then ', {c}, '. ') END, text)
+            AS Ticket_Description""",
+        "o_orderpriority AS Ticket_Priority",
+        "CASE WHEN doc_id % 11 <> 0 THEN lang END AS Ticket_Type",
+        "o_orderstatus AS Ticket_Status",
+        "source AS Ticket_Channel",
+        """CASE WHEN doc_id % 6 = 1 THEN NULL WHEN doc_id % 6 = 2 THEN 'n/r'
+                ELSE CAST(1 + (doc_id * 7) % 5 AS STRING) END AS CSAT""",
+        """CASE doc_id % 5 WHEN 0 THEN CAST((doc_id * 37) % 5000 AS STRING)
+                WHEN 1 THEN concat(doc_id % 9, ' hours ', doc_id % 60, ' minutes')
+                WHEN 2 THEN concat(1 + doc_id % 90, ' min')
+                WHEN 3 THEN 'soon' END AS First_Response_Time""",
+        """CASE doc_id % 4 WHEN 0 THEN concat(1 + doc_id % 6, ' days')
+                WHEN 1 THEN concat(1 + doc_id % 30, '.5 hr')
+                WHEN 2 THEN concat((doc_id * 101) % 90000, '.0')
+                ELSE '45 sec' END AS Time_to_Resolution""",
     )
 
 
@@ -93,22 +80,20 @@ def labelled(spark: SparkSession, sf_dir: str, config: AuditConfig = AuditConfig
     return pseudo_labels(severity(spark, sf_dir, config), config)
 
 
-def fixture_probability() -> Column:
-    """A stand-in score, so that metrics can be checked without a model."""
-    spread = ((F.col("ticket_id").cast("long") * 7919) % 1000) / 1000.0
-    return F.round(0.5 * F.col("inferred_severity_score") + 0.5 * spread, 6)
+# a stand-in score, so that metrics can be checked without a model
+PROBABILITY = (
+    "round(0.5D * inferred_severity_score "
+    "+ 0.5D * ((CAST(ticket_id AS BIGINT) * 7919) % 1000) / 1000D, 6)"
+)
 
 
 def scored(spark: SparkSession, sf_dir: str, config: AuditConfig = AuditConfig()) -> DataFrame:
-    return labelled(spark, sf_dir, config).withColumn(
-        "mismatch_probability", fixture_probability()
-    )
+    return derive(labelled(spark, sf_dir, config), {"mismatch_probability": PROBABILITY})
 
 
 def with_label_probabilities(df: DataFrame) -> DataFrame:
     """Four probabilities per ticket, derived from its id."""
-    i = F.col("ticket_id").cast("long")
-    raw = {name: (1 + (i * k) % 7) for name, k in
-           (("p_critical", 3), ("p_high", 5), ("p_medium", 11), ("p_low", 13))}
-    total = sum(list(raw.values())[1:], list(raw.values())[0])
-    return df.withColumns({name: value / total for name, value in raw.items()})
+    factors = {"p_critical": 3, "p_high": 5, "p_medium": 11, "p_low": 13}
+    raw = {c: f"(1 + (CAST(ticket_id AS BIGINT) * {k}) % 7)" for c, k in factors.items()}
+    total = " + ".join(raw.values())
+    return derive(df, {c: f"{value} / ({total})" for c, value in raw.items()})

@@ -1,8 +1,12 @@
-"""Column expressions over ticket text: cleaning, statistics, tokens, durations."""
+"""SQL expressions over ticket text: cleaning, statistics, tokens, durations.
+
+Every function takes and returns a Spark SQL expression as a string, so that an
+operator can put a whole derivation into one ``derive`` call.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import LEVEL_RANK, PRIORITY_WORDS
@@ -12,6 +16,7 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 NON_WHITESPACE = r"(?U)[^\s\x1c-\x1f]"
 # A word character: any letter, any number, underscore.
 WORD = r"[\p{L}\p{N}_]"
+NON_WORD = r"[^\p{L}\p{N}_]"
 
 # Four non-ASCII letters that equal an ASCII letter when case is ignored.
 _CASE_VARIANTS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
@@ -20,13 +25,9 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DURATION_PART = r"([0-9]+(?:\.[0-9]+)?)\s*(day|hour|hr|minute|min|second|sec)"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``body``.
-
-    A column that a lambda reads only once may be inlined into the lambda by the
-    optimizer and then run once per array element; a lambda argument never is.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def derive(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
+    """Add or replace columns, given as SQL expressions over the columns of ``df``."""
+    return df.withColumns({name: F.expr(sql) for name, sql in expressions.items()})
 
 
 def sql_string(value: str) -> str:
@@ -34,128 +35,140 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def sql_strings(values) -> str:
+    return f"array({', '.join(sql_string(v) for v in values)})"
+
+
+def sql_case(value: str, table: dict[str, object]) -> str:
+    """Look a string up in a short fixed table; null if it is not there."""
+    whens = " ".join(
+        f"WHEN {sql_string(k)} THEN {sql_string(v) if isinstance(v, str) else v}"
+        for k, v in table.items()
+    )
+    return f"CASE {value} {whens} END"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once per row and call it ``name`` inside ``body``.
+
+    A column that a lambda reads only once may be inlined into the lambda by the
+    optimizer and then run once per array element; a lambda argument never is.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def bounded(pattern: str) -> str:
     """Wrap a pattern that starts and ends with word characters in word boundaries."""
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"
 
 
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WHITESPACE}+$|^{WHITESPACE}+", "")
+def strip(c: str) -> str:
+    ends = sql_string(rf"{WHITESPACE}+$|^{WHITESPACE}+")
+    return f"regexp_replace({c}, {ends}, '')"
 
 
-def fold_case(c: Column) -> Column:
+def fold_case(c: str) -> str:
     """Lower-case without changing the number of characters of any ASCII-like letter."""
     for variant, letter in _CASE_VARIANTS:
-        c = F.replace(c, F.lit(variant), F.lit(letter))
-    return F.lower(c)
+        c = f"replace({c}, '{variant}', '{letter}')"
+    return f"lower({c})"
 
 
-def clean_text(c: Column) -> Column:
+def clean_text(c: str) -> str:
     """Null to empty, decode three entities once and in order, collapse white space, strip."""
-    text = F.coalesce(c.cast("string"), F.lit(""))
+    text = f"coalesce(CAST({c} AS STRING), '')"
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, rf"{WHITESPACE}+", " "))
+        text = f"replace({text}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({text}, {sql_string(WHITESPACE + '+')}, ' '))"
 
 
-def full_text(subject: Column, description: Column) -> Column:
-    return F.trim(F.concat(subject, F.lit(" [SEP] "), description))
+def full_text(subject: str, description: str) -> str:
+    return f"trim(concat({subject}, ' [SEP] ', {description}))"
 
 
-def count_of(c: Column, literal: str) -> Column:
+def count_of(c: str, char: str) -> str:
     """Number of occurrences of a one-character string."""
-    return F.length(c) - F.length(F.replace(c, F.lit(literal), F.lit("")))
+    return f"(length({c}) - length(replace({c}, '{char}', '')))"
 
 
-def count_matches(c: Column, pattern: str) -> Column:
+def count_matches(c: str, pattern: str) -> str:
     """Number of one-character matches of a pattern."""
-    return F.length(c) - F.length(F.regexp_replace(c, pattern, ""))
+    return f"(length({c}) - length(regexp_replace({c}, {sql_string(pattern)}, '')))"
 
 
-def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"{NON_WHITESPACE}+"))
+def word_count(c: str) -> str:
+    return f"regexp_count({c}, {sql_string(NON_WHITESPACE + '+')})"
 
 
-def caps_ratio(c: Column) -> Column:
-    return count_matches(c, r"\p{IsUppercase}") / F.greatest(F.length(c), F.lit(1))
+def caps_ratio(c: str) -> str:
+    upper = count_matches(c, r"\p{IsUppercase}")
+    return f"({upper} / greatest(length({c}), 1))"
 
 
-def text_stats(c: Column) -> dict[str, Column]:
+def text_stats(c: str) -> dict[str, str]:
     """The seven text statistics, by name."""
+    url = sql_string(rf"https?://{NON_WHITESPACE}+|www\.{NON_WHITESPACE}+")
     return {
-        "text_length": F.length(c),
+        "text_length": f"length({c})",
         "word_count": word_count(c),
         "exclamation_count": count_of(c, "!"),
         "question_count": count_of(c, "?"),
         "caps_ratio": caps_ratio(c),
         "digit_count": count_matches(c, r"\p{Nd}"),
-        "url_count": F.regexp_count(
-            c, F.lit(rf"https?://{NON_WHITESPACE}+|www\.{NON_WHITESPACE}+")
-        ),
+        "url_count": f"regexp_count({c}, {url})",
     }
 
 
-def tokens(c: Column) -> Column:
+def tokens(c: str) -> str:
     """Lower-case runs of two or more word characters."""
-    return F.regexp_extract_all(
-        F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({WORD}{{2,}})"), F.lit(1)
-    )
+    pattern = sql_string(f"{WORD}{{2,}}")
+    return f"regexp_extract_all(lower(coalesce({c}, '')), {pattern}, 0)"
 
 
-def bigrams(words: Column) -> Column:
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
+def terms(c: str) -> str:
+    """Tokens, followed by the pairs of neighbouring tokens."""
+    n = "greatest(size(w) - 1, 0)"
+    pairs = f"zip_with(slice(w, 1, {n}), slice(w, 2, {n}), (a, b) -> concat(a, ' ', b))"
+    return let("w", tokens(c), f"concat(w, {pairs})")
 
 
-def normalise_priority(raw: Column) -> Column:
+def normalise_priority(raw: str) -> str:
     """First level whose words occur in the raw value, else null."""
-    value = F.lower(strip(raw.cast("string")))
-    result = None
-    for level, words in PRIORITY_WORDS.items():
-        matches = value.rlike(bounded(words))
-        result = F.when(matches, level) if result is None else result.when(matches, level)
-    return result
+    value = f"lower({strip(f'CAST({raw} AS STRING)')})"
+    whens = " ".join(
+        f"WHEN {value} RLIKE {sql_string(bounded(words))} THEN '{level}'"
+        for level, words in PRIORITY_WORDS.items()
+    )
+    return f"CASE {whens} END"
 
 
-def priority_rank(level: Column) -> Column:
-    result = None
-    for name, rank in LEVEL_RANK.items():
-        hit = level == name
-        result = F.when(hit, rank) if result is None else result.when(hit, rank)
-    return result
+def priority_rank(level: str) -> str:
+    return sql_case(level, LEVEL_RANK)
 
 
-def to_number(c: Column) -> Column:
+def to_number(c: str) -> str:
     """Plain decimal numbers; everything else is null."""
-    value = strip(c.cast("string"))
-    return F.when(value.rlike(NUMBER), value.try_cast("double"))
+    value = strip(f"CAST({c} AS STRING)")
+    return let("v", value, f"CASE WHEN v RLIKE {sql_string(NUMBER)} THEN try_cast(v AS DOUBLE) END")
 
 
-def duration_minutes(c: Column, seconds_per_plain_unit: float = 1.0) -> Column:
+def duration_minutes(c: str, seconds_per_plain_unit: float = 1.0) -> str:
     """Plain numbers are seconds; otherwise the sum of all "<number> <unit>" parts.
 
     ``seconds_per_plain_unit`` lets a table that stores plain hours say so (3600).
     """
-    value = F.lower(strip(c.cast("string")))
-    plain = to_number(value)
-    if seconds_per_plain_unit != 1.0:
-        plain = plain * seconds_per_plain_unit
-    amounts = F.regexp_extract_all(value, F.lit(DURATION_PART), F.lit(1))
-    units = F.regexp_extract_all(value, F.lit(DURATION_PART), F.lit(2))
-
-    def part(amount: Column, unit: Column) -> Column:
-        n = amount.cast("double")
-        return (
-            F.when(unit == "day", n * 1440)
-            .when(unit.isin("hour", "hr"), n * 60)
-            .when(unit.isin("minute", "min"), n)
-            .otherwise(n / 60)
-        )
-
-    total = F.aggregate(
-        F.zip_with(amounts, units, part), F.lit(0.0), lambda acc, x: acc + x
+    part = sql_string(DURATION_PART)
+    minutes = (
+        "CASE WHEN u = 'day' THEN CAST(n AS DOUBLE) * 1440 "
+        "WHEN u IN ('hour', 'hr') THEN CAST(n AS DOUBLE) * 60 "
+        "WHEN u IN ('minute', 'min') THEN CAST(n AS DOUBLE) "
+        "ELSE CAST(n AS DOUBLE) / 60 END"
+    )
+    parts = (
+        f"zip_with(regexp_extract_all(s, {part}, 1), regexp_extract_all(s, {part}, 2), "
+        f"(n, u) -> {minutes})"
     )
-    return F.when(plain.isNotNull(), plain / 60).when(total > 0, total)
+    total = let("t", f"aggregate({parts}, 0D, (acc, x) -> acc + x)", "CASE WHEN t > 0 THEN t END")
+    plain = f"try_cast(s AS DOUBLE) * {float(seconds_per_plain_unit)}D / 60"
+    body = f"CASE WHEN s RLIKE {sql_string(NUMBER)} THEN {plain} ELSE {total} END"
+    return let("s", f"lower({strip(f'CAST({c} AS STRING)')})", body)

@@ -13,12 +13,8 @@ from prioscope.sources.tickets import check_required_columns, resolve_columns, s
 
 def with_priority(df: DataFrame, column: str = "priority") -> DataFrame:
     """Keep the raw value, add the normalised level (nullable) and its rank."""
-    level = T.normalise_priority(F.col(column))
-    return (
-        df.withColumn("priority_raw", F.col(column))
-        .withColumn("priority", level)
-        .withColumn("priority_rank", T.priority_rank(F.col("priority")))
-    )
+    level = T.derive(df, {"priority_raw": column, "priority": T.normalise_priority(column)})
+    return T.derive(level, {"priority_rank": T.priority_rank("priority")})
 
 
 def dropped_priority_counts(df: DataFrame) -> DataFrame:
@@ -32,18 +28,15 @@ def dropped_priority_counts(df: DataFrame) -> DataFrame:
 
 
 def with_clean_text(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {c: T.clean_text(F.col(c)) for c in ("subject", "description", "resolution")}
-    ).withColumn("full_text", T.full_text(F.col("subject"), F.col("description")))
+    clean = T.derive(df, {c: T.clean_text(c) for c in ("subject", "description", "resolution")})
+    return T.derive(clean, {"full_text": T.full_text("subject", "description")})
 
 
 def with_numbers(df: DataFrame, seconds_per_plain_unit: float = 1.0) -> DataFrame:
-    return df.withColumns({
-        "first_response_minutes": T.duration_minutes(
-            F.col("first_response"), seconds_per_plain_unit),
-        "resolution_time_minutes": T.duration_minutes(
-            F.col("resolution_time"), seconds_per_plain_unit),
-        "csat_numeric": T.to_number(F.col("csat")),
+    return T.derive(df, {
+        "first_response_minutes": T.duration_minutes("first_response", seconds_per_plain_unit),
+        "resolution_time_minutes": T.duration_minutes("resolution_time", seconds_per_plain_unit),
+        "csat_numeric": T.to_number("csat"),
     })
 
 
@@ -65,10 +58,10 @@ def prepare_tickets(raw: DataFrame, validate: bool = True,
     df = standardise(raw)
     if validate:
         check_required_columns(df, raw.columns)
-    df = with_priority(df).filter(F.col("priority").isNotNull())
+    df = with_priority(df).filter("priority IS NOT NULL")
     df = with_numbers(with_clean_text(df), seconds_per_plain_unit)
     if has_id:
-        return df.withColumn("ticket_id", T.strip(F.col("ticket_id").cast("string")))
+        return T.derive(df, {"ticket_id": T.strip("CAST(ticket_id AS STRING)")})
     return synthetic_ids(df.drop("ticket_id"))
 
 

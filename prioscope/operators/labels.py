@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import BAND_EDGES, AuditConfig
-from prioscope.operators.signals import clip01
+from prioscope.functions import text as T
+from prioscope.operators.signals import clip01, num
 
 NEEDED = (
     "priority_rank", "inferred_severity_rank", "inferred_severity_score", "severity_confidence",
 )
 
 
-def mismatch_direction(gap: Column) -> Column:
+def mismatch_direction(gap: str) -> str:
     return (
-        F.when(gap < 0, "OVER-PRIORITISED").when(gap > 0, "UNDER-PRIORITISED").otherwise("ALIGNED")
+        f"CASE WHEN {gap} < 0 THEN 'OVER-PRIORITISED' WHEN {gap} > 0 THEN 'UNDER-PRIORITISED' "
+        "ELSE 'ALIGNED' END"
     )
 
 
-def label_confidence(gap: Column, severity_confidence: Column, score: Column) -> Column:
+def label_confidence(gap: str, severity_confidence: str, score: str) -> str:
     """Agreement, plus a boost for a wide gap, minus a penalty close to a band edge."""
-    boost = F.least(F.abs(gap) * 0.15, F.lit(0.30))
-    near_edge = reduce(lambda a, b: a | b, [F.abs(score - e) < 0.05 for e in BAND_EDGES])
-    return clip01(severity_confidence + boost - F.when(near_edge, 0.10).otherwise(0.0))
+    near_edge = " OR ".join(f"abs({score} - {num(e)}) < 0.05D" for e in BAND_EDGES)
+    return clip01(
+        f"{severity_confidence} + least(abs({gap}) * 0.15D, 0.30D) - IF({near_edge}, 0.10D, 0D)"
+    )
 
 
-def quality_tier(confidence: Column) -> Column:
+def quality_tier(confidence: str) -> str:
     return (
-        F.when(confidence >= 0.75, "HIGH").when(confidence >= 0.55, "MEDIUM")
-        .when(confidence >= 0.40, "LOW").otherwise("UNCERTAIN")
+        f"CASE WHEN {confidence} >= 0.75D THEN 'HIGH' WHEN {confidence} >= 0.55D THEN 'MEDIUM' "
+        f"WHEN {confidence} >= 0.40D THEN 'LOW' ELSE 'UNCERTAIN' END"
     )
 
 
@@ -39,17 +40,17 @@ def pseudo_labels(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFra
     missing = [c for c in NEEDED if c not in df.columns]
     if missing:
         raise ValueError(f"Columns missing, run severity inference first: {missing}")
-    gap = F.col("priority_gap")
-    return (
-        df.withColumn("priority_gap", F.col("inferred_severity_rank") - F.col("priority_rank"))
-        .withColumn("is_mismatch", (F.abs(gap) >= config.gap_threshold).cast("int"))
-        .withColumn("mismatch_direction", mismatch_direction(gap))
-        .withColumn("pseudo_label_confidence", label_confidence(
-            gap, F.col("severity_confidence"), F.col("inferred_severity_score")))
-        .withColumn("pseudo_label_quality", quality_tier(F.col("pseudo_label_confidence")))
-        .withColumn("include_in_training",
-                    F.col("pseudo_label_confidence") >= config.min_confidence)
-    )
+    gaps = T.derive(df, {"priority_gap": "inferred_severity_rank - priority_rank"})
+    confident = T.derive(gaps, {
+        "is_mismatch": f"CAST(abs(priority_gap) >= {config.gap_threshold} AS INT)",
+        "mismatch_direction": mismatch_direction("priority_gap"),
+        "pseudo_label_confidence": label_confidence(
+            "priority_gap", "severity_confidence", "inferred_severity_score"),
+    })
+    return T.derive(confident, {
+        "pseudo_label_quality": quality_tier("pseudo_label_confidence"),
+        "include_in_training": f"pseudo_label_confidence >= {num(config.min_confidence)}",
+    })
 
 
 def training_set(df: DataFrame) -> DataFrame:
@@ -58,22 +59,18 @@ def training_set(df: DataFrame) -> DataFrame:
 
 def pseudo_label_summary(df: DataFrame) -> DataFrame:
     """One row of totals, with the class balance of the training rows."""
-    train = F.col("include_in_training")
-    counts = df.agg(
-        F.count(F.lit(1)).alias("n_total"),
-        F.sum("is_mismatch").alias("n_mismatch"),
-        F.sum(train.cast("int")).alias("n_train"),
-        F.avg(F.when(train, F.col("is_mismatch"))).alias("train_balance"),
+    counts = df.selectExpr(
+        "count(1) AS n_total",
+        "sum(is_mismatch) AS n_mismatch",
+        "sum(CAST(include_in_training AS INT)) AS n_train",
+        "avg(CASE WHEN include_in_training THEN is_mismatch END) AS train_balance",
     )
-    balance = F.col("train_balance")
-    return counts.select(
-        "n_total", "n_mismatch",
-        (F.col("n_total") - F.col("n_mismatch")).alias("n_aligned"),
-        "n_train",
-        (F.col("n_total") - F.col("n_train")).alias("n_excluded"),
-        (100 * F.col("n_mismatch") / F.col("n_total")).alias("mismatch_pct"),
+    return counts.selectExpr(
+        "n_total", "n_mismatch", "n_total - n_mismatch AS n_aligned",
+        "n_train", "n_total - n_train AS n_excluded",
+        "100 * n_mismatch / n_total AS mismatch_pct",
         "train_balance",
-        F.coalesce((balance > 0.90) | (balance < 0.10), F.lit(False)).alias("extreme_imbalance"),
+        "coalesce(train_balance > 0.90D OR train_balance < 0.10D, false) AS extreme_imbalance",
     )
 
 

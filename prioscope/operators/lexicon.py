@@ -1,8 +1,8 @@
 """Urgency phrases: occurrences, negation, score and evidence.
 
-Everything here is a column expression on the row's own text, so no shuffle and
-no join is needed, and a text with very many hits stays one row. The text must be
-cleaned first: tokens are separated by exactly one space.
+Everything here is an expression on the row's own text, so no shuffle and no join
+is needed, and a text with very many hits stays one row. The text must be cleaned
+first: tokens are separated by exactly one space.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import LEVELS, LEXICON, NEGATION_WORDS
@@ -25,7 +25,7 @@ def _phrase_pattern(phrase: str) -> str:
     return f"{literal}(?!{T.WORD})(?<!{T.WORD}{literal})"
 
 
-def _phrase_table(lexicon: Lexicon) -> Column:
+def _phrase_table(lexicon: Lexicon) -> str:
     """One struct per phrase, in matching order: a constant array in the plan."""
     rows = []
     for level, score, phrases in lexicon:
@@ -37,115 +37,84 @@ def _phrase_table(lexicon: Lexicon) -> Column:
                 f"'pattern', {T.sql_string(_phrase_pattern(phrase))}, "
                 f"'n_chars', {len(phrase)}, 'n_spaces', {phrase.count(' ')})"
             )
-    return F.expr(f"array({', '.join(rows)})")
+    return f"array({', '.join(rows)})"
 
 
-def _possible_phrases(folded: Column, lexicon: Lexicon) -> Column:
+def _possible_phrases(folded: str, lexicon: Lexicon) -> str:
     """The phrases that occur as substrings and whose first word occurs as a word.
 
     The words of the text are intersected once with all first words; the substring
     test then runs for the few phrases that start with one of them.
     """
     first_words = dict.fromkeys(p.split(" ")[0] for _, _, phrases in lexicon for p in phrases)
-    seen = F.array_intersect(
-        F.split(folded, r"[^\p{L}\p{N}_]+"), F.array(*[F.lit(w) for w in first_words])
+    seen = (
+        f"array_intersect(split({folded}, {T.sql_string(T.NON_WORD + '+')}), "
+        f"{T.sql_strings(first_words)})"
     )
-    return T.let(seen, lambda words: F.filter(
-        _phrase_table(lexicon),
-        lambda e: F.array_contains(words, e["first_word"]) & F.contains(folded, e["phrase"]),
+    return T.let("words", seen, (
+        f"filter({_phrase_table(lexicon)}, "
+        f"p -> array_contains(words, p.first_word) AND contains({folded}, p.phrase))"
     ))
 
 
-def _measure(split: Column) -> Column:
+def _measure(split: str) -> str:
     """Length, spaces and end of every text piece that precedes a match.
 
     A match that starts inside a token counts that token's beginning as a word
     before it, hence ``inside``.
     """
-    return T.let(split, lambda pieces: F.transform(
-        F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-        lambda p: F.struct(
-            F.length(p).alias("chars"),
-            T.count_of(p, " ").alias("spaces"),
-            F.when((p == "") | p.endswith(" "), 0).otherwise(1).alias("inside"),
-        ),
+    return T.let("pieces", split, (
+        "transform(slice(pieces, 1, size(pieces) - 1), piece -> named_struct("
+        f"'chars', length(piece), 'spaces', {T.count_of('piece', ' ')}, "
+        "'inside', IF(piece = '' OR endswith(piece, ' '), 0, 1)))"
     ))
 
 
-def negation_tokens(text: Column) -> Column:
+def negation_tokens(text: str) -> str:
     """Indexes of the tokens that contain a negation word."""
-    words = "|".join(re.escape(w) for w in NEGATION_WORDS)
-    return F.aggregate(
-        _measure(F.split(F.lower(text), T.bounded(words), -1)),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
-        lambda acc, p: F.struct(
-            (acc["n"] + p["spaces"]).alias("n"),
-            F.array_append(acc["at"], acc["n"] + p["spaces"]).alias("at"),
-        ),
-        lambda acc: F.array_distinct(acc["at"]),
+    words = T.sql_string(T.bounded("|".join(re.escape(w) for w in NEGATION_WORDS)))
+    return (
+        f"aggregate({_measure(f'split(lower({text}), {words}, -1)')}, "
+        "named_struct('n', 0, 'at', CAST(array() AS ARRAY<INT>)), "
+        "(acc, p) -> named_struct('n', acc.n + p.spaces, "
+        "'at', array_append(acc.at, acc.n + p.spaces)), "
+        "acc -> array_distinct(acc.at))"
     )
 
 
-def negation_zone(text: Column) -> Column:
+def negation_zone(text: str) -> str:
     """Token positions from one before to three after each negation, sorted."""
-
-    def near(last: Column) -> Column:
-        return F.transform(
-            negation_tokens(text),
-            lambda i: F.sequence(F.greatest(F.lit(0), i - 1), F.least(last, i + 3)),
-        )
-
-    zone = T.let(T.count_of(text, " "), near)
-    return F.array_sort(F.array_distinct(F.flatten(zone)))
+    zone = T.let("last", T.count_of(text, " "), (
+        f"flatten(transform({negation_tokens(text)}, "
+        "i -> sequence(greatest(0, i - 1), least(last, i + 3))))"
+    ))
+    return f"array_sort(array_distinct({zone}))"
 
 
-def _phrase_hits(text: Column, folded: Column, negations: Column, entry: Column) -> Column:
-    """All occurrences of one phrase, as an array of structs.
+def _phrase_hits() -> str:
+    """All occurrences of phrase ``e`` in row ``r``, as an array of structs.
 
     The case-folded text has the same length as the text, so positions carry over.
     """
-
-    def step(acc: Column, piece: Column) -> Column:
-        char_pos = acc["chars"] + piece["chars"]
-        spaces = acc["spaces"] + piece["spaces"]
-        hit = F.struct(
-            char_pos.alias("char_pos"), (spaces + piece["inside"]).alias("word_pos")
-        )
-        return F.struct(
-            (char_pos + entry["n_chars"]).alias("chars"),
-            (spaces + entry["n_spaces"]).alias("spaces"),
-            F.array_append(acc["hits"], hit).alias("hits"),
-        )
-
-    positions = F.aggregate(
-        _measure(F.split(folded, entry["pattern"], -1)),
-        F.struct(
-            F.lit(0).alias("chars"),
-            F.lit(0).alias("spaces"),
-            F.array().cast("array<struct<char_pos:int,word_pos:int>>").alias("hits"),
-        ),
-        step,
-        lambda acc: acc["hits"],
+    positions = (
+        f"aggregate({_measure('split(r.folded, e.pattern, -1)')}, "
+        "named_struct('chars', 0, 'spaces', 0, "
+        "'hits', CAST(array() AS ARRAY<STRUCT<char_pos: INT, word_pos: INT>>)), "
+        "(acc, p) -> named_struct("
+        "'chars', acc.chars + p.chars + e.n_chars, "
+        "'spaces', acc.spaces + p.spaces + e.n_spaces, "
+        "'hits', array_append(acc.hits, named_struct("
+        "'char_pos', acc.chars + p.chars, 'word_pos', acc.spaces + p.spaces + p.inside))), "
+        "acc -> acc.hits)"
+    )
+    negated = "exists(r.negations, i -> h.word_pos BETWEEN i - 1 AND i + 3)"
+    return (
+        f"transform({positions}, (h, occ) -> named_struct("
+        "'level', e.level, 'level_score', e.level_score, 'phrase_idx', e.phrase_idx, "
+        "'phrase', e.phrase, 'occ', occ, 'char_pos', h.char_pos, "
+        "'matched', substring(r.text, h.char_pos + 1, e.n_chars), "
+        f"'word_pos', h.word_pos, 'weight', IF({negated}, 0.5D, 1D)))"
     )
-
-    def describe(pos: Column, occ: Column) -> Column:
-        negated = F.exists(
-            negations,
-            lambda i: (pos["word_pos"] >= i - 1) & (pos["word_pos"] <= i + 3),
-        )
-        return F.struct(
-            entry["level"].alias("level"),
-            entry["level_score"].alias("level_score"),
-            entry["phrase_idx"].alias("phrase_idx"),
-            entry["phrase"].alias("phrase"),
-            occ.alias("occ"),
-            pos["char_pos"].alias("char_pos"),
-            F.substring(text, pos["char_pos"] + 1, entry["n_chars"]).alias("matched"),
-            pos["word_pos"].alias("word_pos"),
-            F.when(negated, 0.5).otherwise(1.0).alias("weight"),
-        )
-
-    return F.transform(positions, describe)
 
 
 def with_lexicon_hits(df: DataFrame, text: str = "full_text",
@@ -154,47 +123,31 @@ def with_lexicon_hits(df: DataFrame, text: str = "full_text",
 
     Only phrases that can occur are matched as patterns, on the case-folded text.
     """
-    c = F.col(text)
-    row = F.struct(
-        c.alias("text"), T.fold_case(c).alias("folded"), negation_tokens(c).alias("negations")
+    row = (
+        f"named_struct('text', {text}, 'folded', {T.fold_case(text)}, "
+        f"'negations', {negation_tokens(text)})"
     )
+    hits = f"flatten(transform({_possible_phrases('r.folded', lexicon)}, e -> {_phrase_hits()}))"
+    return T.derive(df, {"lexicon_hits": T.let("r", row, hits)})
 
-    def hits_of(r: Column) -> Column:
-        return F.flatten(F.transform(
-            _possible_phrases(r["folded"], lexicon),
-            lambda e: _phrase_hits(r["text"], r["folded"], r["negations"], e),
-        ))
-
-    return df.withColumn("lexicon_hits", T.let(row, hits_of))
 
-
-def lexicon_score(hits: Column) -> Column:
+def lexicon_score(hits: str) -> str:
     """Weighted mean level of the hits over the highest level; 0 without hits."""
-    sums = F.aggregate(
-        hits,
-        F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("weight")),
-        lambda acc, h: F.struct(
-            (acc["score"] + h["level_score"] * h["weight"]).alias("score"),
-            (acc["weight"] + h["weight"]).alias("weight"),
-        ),
+    return (
+        f"aggregate({hits}, named_struct('score', 0D, 'weight', 0D), "
+        "(acc, h) -> named_struct('score', acc.score + h.level_score * h.weight, "
+        "'weight', acc.weight + h.weight), "
+        "acc -> least(greatest(acc.score / (3D * (acc.weight + 1e-9D)), 0D), 1D))"
     )
-    ratio = sums["score"] / (3.0 * (sums["weight"] + 1e-9))
-    return F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0))
 
 
-def lexicon_evidence(hits: Column) -> Column:
+def lexicon_evidence(hits: str) -> str:
     """Map from level to the matched strings, verbatim."""
     order = tuple(reversed(LEVELS))
-    return F.map_from_arrays(
-        F.array(*[F.lit(level) for level in order]),
-        F.array(*[
-            F.transform(
-                F.filter(hits, lambda h, level=level: h["level"] == level),
-                lambda h: h["matched"],
-            )
-            for level in order
-        ]),
+    lists = ", ".join(
+        f"transform(filter({hits}, h -> h.level = '{level}'), h -> h.matched)" for level in order
     )
+    return f"map_from_arrays({T.sql_strings(order)}, array({lists}))"
 
 
 def lexicon_hit_rows(df: DataFrame, keep: Sequence[str] = ("ticket_id",)) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import BAND_UPPER, LABEL_PROBABILITY_WEIGHTS, AuditConfig
@@ -15,50 +15,45 @@ from prioscope.operators.lexicon import lexicon_score, with_lexicon_hits
 SIGNALS = ("urgency_lexicon_score", "nli_severity_score", "structural_score", "sentiment_score")
 
 
-def severity_score(config: AuditConfig, use_model: bool) -> Column:
+def severity_score(config: AuditConfig, use_model: bool) -> str:
     lexicon, model = config.weight_lexicon, config.weight_model
     if not use_model:
         lexicon, model = lexicon + model, 0.0
-    return S.clip01(
-        lexicon * F.col("urgency_lexicon_score")
-        + model * F.col("nli_severity_score")
-        + config.weight_structural * F.col("structural_score")
-        + config.weight_sentiment * F.col("sentiment_score")
-    )
+    weights = (lexicon, model, config.weight_structural, config.weight_sentiment)
+    return S.clip01(" + ".join(f"{S.num(w)} * {c}" for w, c in zip(weights, SIGNALS)))
 
 
-def severity_label(score: Column) -> Column:
+def severity_label(score: str) -> str:
     """Half-open bands; anything outside them is critical."""
-    result = None
-    for level, upper in BAND_UPPER:
-        inside = (score >= 0) & (score < upper)
-        result = F.when(inside, level) if result is None else result.when(inside, level)
-    return result.otherwise("critical")
+    whens = " ".join(
+        f"WHEN {score} >= 0 AND {score} < {S.num(upper)} THEN '{level}'"
+        for level, upper in BAND_UPPER
+    )
+    return f"CASE {whens} ELSE 'critical' END"
 
 
-def agreement(signals: list[Column]) -> Column:
+def agreement(signals: Sequence[str]) -> str:
     """One minus twice the population standard deviation of the signals, clipped."""
-    n = float(len(signals))
-    mean = sum(signals[1:], signals[0]) / n
-    squares = [(s - mean) * (s - mean) for s in signals]
-    return S.clip01(1.0 - 2.0 * F.sqrt(sum(squares[1:], squares[0]) / n))
+    n = f"{len(signals)}D"
+    squares = " + ".join(f"({c} - m) * ({c} - m)" for c in signals)
+    deviation = T.let("m", f"({' + '.join(signals)}) / {n}", f"sqrt(({squares}) / {n})")
+    return S.clip01(f"1D - 2D * {deviation}")
 
 
 def with_signals(df: DataFrame, stats: S.StructuralStats, config: AuditConfig = AuditConfig(),
                  valence: Mapping[str, float] | None = None) -> DataFrame:
     """The four signals. Without probabilities or valences they are a neutral 0.5."""
-    text = F.col("full_text")
     use_model = set(LABEL_PROBABILITY_WEIGHTS) <= set(df.columns)
-    out = with_lexicon_hits(df).withColumns({
-        "urgency_lexicon_score": lexicon_score(F.col("lexicon_hits")),
-        "nli_severity_score": S.label_probability_blend() if use_model else F.lit(0.5),
+    sentiment = "0.5D"
+    if valence is not None:
+        compound = S.sentiment_compound("full_text", valence)
+        sentiment = T.let("c", compound, S.sentiment_score("c", "full_text"))
+    return T.derive(with_lexicon_hits(df), {
+        "urgency_lexicon_score": lexicon_score("lexicon_hits"),
+        "nli_severity_score": S.label_probability_blend() if use_model else "0.5D",
         "structural_score": S.structural_score(stats, config.structural_min_rows),
+        "sentiment_score": sentiment,
     })
-    if valence is None:
-        return out.withColumn("sentiment_score", F.lit(0.5))
-    return out.withColumn("_compound", S.sentiment_compound(text, valence)).withColumn(
-        "sentiment_score", S.sentiment_score(F.col("_compound"), text)
-    ).drop("_compound")
 
 
 def infer_severity(df: DataFrame, stats: S.StructuralStats | None = None,
@@ -72,15 +67,13 @@ def infer_severity(df: DataFrame, stats: S.StructuralStats | None = None,
     use_model = set(LABEL_PROBABILITY_WEIGHTS) <= set(df.columns)
     if stats is None:
         stats = S.StructuralStats.fit(df, config.small_rows)
-    scored = with_signals(df, stats, config, valence).withColumn(
-        "inferred_severity_score", severity_score(config, use_model)
-    )
     used = [c for c in SIGNALS if use_model or c != "nli_severity_score"]
-    return (
-        scored.withColumn("inferred_severity", severity_label(F.col("inferred_severity_score")))
-        .withColumn("inferred_severity_rank", T.priority_rank(F.col("inferred_severity")))
-        .withColumn("severity_confidence", agreement([F.col(c) for c in used]))
-    )
+    scored = T.derive(with_signals(df, stats, config, valence), {
+        "inferred_severity_score": severity_score(config, use_model),
+        "severity_confidence": agreement(used),
+    })
+    labelled = T.derive(scored, {"inferred_severity": severity_label("inferred_severity_score")})
+    return T.derive(labelled, {"inferred_severity_rank": T.priority_rank("inferred_severity")})
 
 
 def severity_distribution(df: DataFrame) -> DataFrame:

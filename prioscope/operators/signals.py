@@ -5,24 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import LABEL_PROBABILITY_WEIGHTS, SMALL_ROWS, AuditConfig
 from prioscope.functions import text as T
 from prioscope.functions.ordering import exact_quantiles
 
-SHARES = {"csat": 0.50, "resolution": 0.35, "response": 0.15}
-EPSILON = 1e-9
+# What each structural signal contributes, when it is present.
+CSAT_SHARE, RESOLUTION_SHARE, RESPONSE_SHARE = 0.50, 0.35, 0.15
 
 
-def clip01(c: Column) -> Column:
-    return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+def num(value: float) -> str:
+    """A SQL double literal that reads back as exactly this value."""
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
 
 
-def usable_minutes(name: str) -> Column:
+def clip01(c: str) -> str:
+    return f"least(greatest({c}, 0D), 1D)"
+
+
+def usable_minutes(c: str) -> str:
     """Durations of minus one minute or less have no logarithm and count as missing."""
-    return F.when(F.col(name) > -1, F.col(name))
+    return f"CASE WHEN {c} > -1 THEN {c} END"
 
 
 @dataclass(frozen=True)
@@ -43,21 +48,20 @@ class StructuralStats:
     @staticmethod
     def aggregate(df: DataFrame) -> DataFrame:
         """Counts and ranges in one pass over three narrow columns."""
-        resolution = usable_minutes("resolution_time_minutes")
-        response = usable_minutes("first_response_minutes")
-        filled = {"resolution": F.coalesce(resolution, F.lit(0.0)),
-                  "response": F.coalesce(response, F.lit(0.0))}
-        return df.agg(
-            F.count("csat_numeric").alias("csat_n"),
-            F.min("csat_numeric").alias("csat_min"),
-            F.max("csat_numeric").alias("csat_max"),
-            F.count(resolution).alias("resolution_n"),
-            F.min(F.log1p(filled["resolution"])).alias("resolution_log_min"),
-            F.max(F.log1p(filled["resolution"])).alias("resolution_log_max"),
-            F.count(response).alias("response_n"),
-            F.min(F.log1p(filled["response"])).alias("response_log_min"),
-            F.max(F.log1p(filled["response"])).alias("response_log_max"),
-        )
+        parts = [
+            "count(csat_numeric) AS csat_n",
+            "min(csat_numeric) AS csat_min",
+            "max(csat_numeric) AS csat_max",
+        ]
+        for name, column in (("resolution", "resolution_time_minutes"),
+                             ("response", "first_response_minutes")):
+            usable = usable_minutes(column)
+            parts += [
+                f"count({usable}) AS {name}_n",
+                f"min(log1p(coalesce({usable}, 0D))) AS {name}_log_min",
+                f"max(log1p(coalesce({usable}, 0D))) AS {name}_log_max",
+            ]
+        return df.selectExpr(*parts)
 
     @classmethod
     def fit(cls, df: DataFrame, small_rows: int = SMALL_ROWS) -> StructuralStats:
@@ -68,71 +72,62 @@ class StructuralStats:
         return cls(csat_median=median, **facts)
 
 
-def structural_score(stats: StructuralStats, min_rows: int = 10) -> Column:
+def structural_score(stats: StructuralStats, min_rows: int = 10) -> str:
     """Low satisfaction, long resolution and slow response, each if common enough."""
-    parts: list[Column] = []
+    parts: list[str] = []
     total = 0.0
     if stats.csat_n > min_rows:
-        total += SHARES["csat"]
+        total += CSAT_SHARE
+        signal = "0.5D"
         if stats.csat_max > stats.csat_min:
-            filled = F.coalesce(F.col("csat_numeric"), F.lit(stats.csat_median))
-            signal = 1.0 - (filled - stats.csat_min) / (stats.csat_max - stats.csat_min)
-        else:
-            signal = F.lit(0.5)
-        parts.append(SHARES["csat"] * signal)
+            filled = f"coalesce(csat_numeric, {num(stats.csat_median)})"
+            signal = (
+                f"(1D - ({filled} - {num(stats.csat_min)}) / {num(stats.csat_max - stats.csat_min)})"
+            )
+        parts.append(f"{num(CSAT_SHARE)} * {signal}")
     for share, column, n, low, high in (
-        ("resolution", "resolution_time_minutes", stats.resolution_n,
+        (RESOLUTION_SHARE, "resolution_time_minutes", stats.resolution_n,
          stats.resolution_log_min, stats.resolution_log_max),
-        ("response", "first_response_minutes", stats.response_n,
+        (RESPONSE_SHARE, "first_response_minutes", stats.response_n,
          stats.response_log_min, stats.response_log_max),
     ):
         if n > min_rows:
-            total += SHARES[share]
-            logged = F.log1p(F.coalesce(usable_minutes(column), F.lit(0.0)))
-            parts.append(SHARES[share] * ((logged - low) / (high - low + EPSILON)))
+            total += share
+            logged = f"log1p(coalesce({usable_minutes(column)}, 0D))"
+            parts.append(
+                f"{num(share)} * (({logged} - {num(low)}) / {num(high - low + 1e-9)})"
+            )
     if not parts:
-        return F.lit(0.5)
-    weighted = parts[0]
-    for part in parts[1:]:
-        weighted = weighted + part
-    return clip01(weighted / total)
+        return "0.5D"
+    return clip01(f"({' + '.join(parts)}) / {num(total)}")
 
 
-def sentiment_compound(text: Column, valence: Mapping[str, float]) -> Column:
+def sentiment_compound(text: str, valence: Mapping[str, float]) -> str:
     """Sum of token valences s, normalised to s / sqrt(s*s + 15).
 
     The valence dictionary is a literal in the plan; the row's tokens are first
     intersected with it, so the lookups are few whatever the text length.
     """
-    table = F.create_map(*[F.lit(x) for pair in valence.items() for x in pair])
-    listed = F.array(*[F.lit(w) for w in valence])
-
-    def total(words: Column) -> Column:
-        return F.aggregate(
-            F.array_intersect(words, listed),
-            F.lit(0.0),
-            lambda acc, w: acc
-            + F.element_at(table, w) * F.size(F.filter(words, lambda t: t == w)),
-        )
-
-    return T.let(T.let(T.tokens(text), total), lambda s: s / F.sqrt(s * s + 15))
+    table = ", ".join(f"{T.sql_string(w)}, {num(v)}" for w, v in valence.items())
+    total = (
+        f"aggregate(array_intersect(w, {T.sql_strings(valence)}), 0D, "
+        f"(acc, k) -> acc + element_at(map({table}), k) * size(filter(w, t -> t = k)))"
+    )
+    return T.let("s", T.let("w", T.tokens(text), total), "s / sqrt(s * s + 15D)")
 
 
-def sentiment_score(compound: Column, text: Column) -> Column:
+def sentiment_score(compound: str, text: str) -> str:
     """Negative tone is severe; exclamation marks and capitals add to it."""
-    tone = 1.0 - (compound + 1.0) / 2.0
-    exclaim = F.least(T.count_of(text, "!"), F.lit(5)) / 10.0
-    capitals = F.least(T.caps_ratio(text) * 3, F.lit(0.2))
-    return clip01(tone + exclaim + capitals)
+    return clip01(
+        f"(1D - ({compound} + 1D) / 2D) + least({T.count_of(text, '!')}, 5) / 10D "
+        f"+ least({T.caps_ratio(text)} * 3, 0.2D)"
+    )
 
 
-def label_probability_blend() -> Column:
+def label_probability_blend() -> str:
     """Model signal from the four label probabilities; 0.5 where none are known."""
-    blend = None
-    for column, weight in LABEL_PROBABILITY_WEIGHTS.items():
-        term = F.col(column) * weight
-        blend = term if blend is None else blend + term
-    return F.coalesce(blend, F.lit(0.5))
+    terms = [f"{c} * {num(w)}" for c, w in LABEL_PROBABILITY_WEIGHTS.items()]
+    return f"coalesce({' + '.join(terms)}, 0.5D)"
 
 
 def join_label_probabilities(df: DataFrame, probabilities: DataFrame) -> DataFrame:
@@ -161,9 +156,6 @@ def score_label_probabilities(df: DataFrame, make_predict: Callable,
     model = predict_batch_udf(
         make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
-    scored = df.withColumn(
-        "_p", model(F.substring("full_text", 1, config.model_text_chars))
-    )
-    return scored.withColumns(
-        {c: F.col("_p")[i] for i, c in enumerate(LABEL_PROBABILITY_WEIGHTS)}
-    ).drop("_p")
+    scored = df.withColumn("_p", model(F.substring("full_text", 1, config.model_text_chars)))
+    names = list(LABEL_PROBABILITY_WEIGHTS)
+    return T.derive(scored, {c: f"_p[{i}]" for i, c in enumerate(names)}).drop("_p")
