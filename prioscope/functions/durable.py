@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder the session names; a temporary one only on a local master."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -18,10 +19,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
         named = tempfile.mkdtemp(prefix="prioscope-")
     spark.sparkContext.setCheckpointDir(named)
-    return named
+    return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there afterwards."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder as a table, and read that from then on.
+
+    Unlike a cached table it needs no executor to stay alive, and unlike a
+    checkpoint it is columnar: later steps read only the columns they use.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -33,7 +33,7 @@ def linear_contributions(df: DataFrame, coefficients: DataFrame, key: str = "tic
 def top_contributions(contributions: DataFrame, key: str = "ticket_id",
                       top_n: int = 5) -> DataFrame:
     """Per key, the features with the largest absolute contribution, ranked."""
-    ranked = Window.partitionBy(key).orderBy(F.desc(F.abs("contribution")), "idx")
+    ranked = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("contribution"), 12)), "idx")
     return (
         contributions.withColumn("rank", F.row_number().over(ranked))
         .filter(F.col("rank") <= top_n)
@@ -66,12 +66,12 @@ def with_attributions(df: DataFrame, names: Sequence[str], coefficients: Sequenc
         f"transform(filter(transform(sequence(0, least({len(base)}, {top_n} + size({entries})) - 1), "
         "j -> named_struct('idx', get(bi, j), 'c', get(bv, j))), "
         f"b -> NOT array_contains({entries}.idx, b.idx)), "
-        "b -> named_struct('o', -abs(b.c), 'idx', b.idx, 'c', b.c))"
+        "b -> named_struct('o', -round(abs(b.c), 12), 'idx', b.idx, 'c', b.c))"
     )
     present = (
         f"transform(transform({entries}, e -> named_struct('idx', e.idx, "
         "'c', get(coef, e.idx) * (e.weight - get(mean, e.idx)))), "
-        "b -> named_struct('o', -abs(b.c), 'idx', b.idx, 'c', b.c))"
+        "b -> named_struct('o', -round(abs(b.c), 12), 'idx', b.idx, 'c', b.c))"
     )
     top = f"slice(array_sort(concat({present}, {absent})), 1, {top_n})"
     record = describe("get(names, x.idx)", "x.c")

@@ -17,7 +17,8 @@ def stratified_folds(df: DataFrame, label: str = "is_mismatch", key: str = "tick
     Fold sizes differ by at most one per class. The rank is the number of rows in
     earlier hash ranges (4096 per class, so that no class is one sort) plus the
     rank within the range. Ids repeated more than ``hot_rows`` times would fill
-    one range; their rows are ranked per input partition instead.
+    one range; their rows are ranked per input partition instead. ``df`` is read
+    three times: give a durable, narrow table.
     """
     hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
     hot = hashed.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_n")).filter(

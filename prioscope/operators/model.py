@@ -64,10 +64,11 @@ def score(model, df: DataFrame, name: str) -> DataFrame:
     ).drop("rawPrediction", "probability", "prediction")
 
 
-def in_parallel(tasks: list, width: int = 4) -> list:
+def in_parallel(spark: SparkSession, tasks: list, width: int = 4) -> list:
     """Submit a few Spark jobs at a time from the driver; results keep the order."""
+    bound = [inheritable_thread_target(spark)(task) for task in tasks]
     with ThreadPoolExecutor(width) as pool:
-        return list(pool.map(lambda task: inheritable_thread_target(task)(), tasks))
+        return list(pool.map(lambda task: task(), bound))
 
 
 def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
@@ -85,7 +86,7 @@ def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame
             model = learner(booster, config.seed, "held_out").fit(train.unionByName(held))
         return score(model, held, "mismatch_probability").drop("weight", "label", "held_out")
 
-    scored = in_parallel([lambda f=f: one(f) for f in range(config.cv_folds)])
+    scored = in_parallel(df.sparkSession, [lambda f=f: one(f) for f in range(config.cv_folds)])
     return reduce(DataFrame.unionByName, scored)
 
 
@@ -113,7 +114,7 @@ def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig()) -> list[t
             weighted(split.filter(F.col("fold") != part)))
         return model, calibrate(model, split.filter(F.col("fold") == part))
 
-    return in_parallel([lambda p=p: one(p) for p in range(parts)])
+    return in_parallel(df.sparkSession, [lambda p=p: one(p) for p in range(parts)])
 
 
 def score_calibrated(pairs: list[tuple], df: DataFrame) -> DataFrame:
