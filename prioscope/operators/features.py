@@ -1,8 +1,8 @@
 """Features: sparse text weights, embeddings, structural columns, and their vector.
 
 Fit results are tables of bounded size (the vocabulary, one row per category, two
-numbers per structural column). Scoring is row-local but for broadcast joins with
-them and one grouping that gathers a ticket's terms.
+numbers per structural column). Scoring is row-local: it broadcasts them and moves
+no ticket.
 """
 
 from __future__ import annotations
@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from prioscope.config import (
     ENCODED_COLUMNS, FEATURE_DISPLAY_NAMES, SMALL_ROWS, STRUCTURAL_FEATURES, AuditConfig,
@@ -69,11 +72,16 @@ class TfidfModel:
         vocabulary = durable(top_terms(term_counts(df, text), n_docs, config))
         return cls(vocabulary, n_docs, vocabulary.count())
 
+    def terms(self) -> list:
+        """The vocabulary in index order: at most ``tfidf_max_features`` rows."""
+        return self.vocabulary.select("term", "idf").orderBy("idx").collect()
+
     def transform(self, df: DataFrame, key: str = "ticket_id",
                   text: str = "full_text") -> DataFrame:
         """``key`` and ``entries``: the L2-normalised weights of the row, by index.
 
-        ``key`` must identify a row. All terms of a row are in one partition, so the
+        The table form of the weights, for joins and reports; vectors for the model
+        are built row by row in ``FeatureModel``. ``key`` must identify a row. All terms of a row are in one partition, so the
         grouping combines them before the shuffle. Rows without any known term are
         absent from the result.
         """
@@ -198,12 +206,9 @@ class FeatureStats:
                    medians["resolution"][0])
 
 
-def structural_features(df: DataFrame, stats: FeatureStats, encoders: DataFrame,
-                        keep: tuple[str, ...] = ("ticket_id",),
-                        small_rows: int = SMALL_ROWS) -> DataFrame:
-    """``keep`` and the 15 unscaled structural features, all doubles."""
-    csat = "0.5D"
-    inverted = "0.5D"
+def structural_sql(stats: FeatureStats) -> dict[str, str]:
+    """The 15 unscaled structural features, over encoded and labelled tickets."""
+    csat, inverted = "0.5D", "0.5D"
     if stats.csat_median is not None:
         width = stats.csat_max - stats.csat_min + 1e-9
         csat = (
@@ -215,22 +220,24 @@ def structural_features(df: DataFrame, stats: FeatureStats, encoders: DataFrame,
     def logged(column: str, median: float | None) -> str:
         return f"log1p(coalesce({usable_minutes(column)}, {num(median or 0.0)}))"
 
-    stats_of_text = T.text_stats("coalesce(full_text, '')")
-    sql = {c: stats_of_text[c] for c in STRUCTURAL_FEATURES[:5]} | {
+    of_text = T.text_stats("coalesce(full_text, '')")
+    sql = {c: of_text[c] for c in STRUCTURAL_FEATURES[:5]} | {
         "csat_norm": csat,
         "csat_inverted": inverted,
         "first_response_minutes_norm": logged("first_response_minutes", stats.response_median),
-        "resolution_time_minutes_norm": logged(
-            "resolution_time_minutes", stats.resolution_median),
-        "channel_enc": "channel_enc",
-        "ticket_type_enc": "ticket_type_enc",
-        "status_enc": "status_enc",
-        "inferred_severity_score": "coalesce(inferred_severity_score, 0D)",
-        "severity_confidence": "coalesce(severity_confidence, 0D)",
-        "urgency_lexicon_score": "coalesce(urgency_lexicon_score, 0D)",
+        "resolution_time_minutes_norm": logged("resolution_time_minutes", stats.resolution_median),
     }
+    sql |= {f"{c}_enc": f"{c}_enc" for c in ENCODED_COLUMNS}
+    sql |= {c: f"coalesce({c}, 0D)" for c in STRUCTURAL_FEATURES[-3:]}
+    return {c: f"CAST({sql[c]} AS DOUBLE)" for c in STRUCTURAL_FEATURES}
+
+
+def structural_features(df: DataFrame, stats: FeatureStats, encoders: DataFrame,
+                        keep: tuple[str, ...] = ("ticket_id",),
+                        small_rows: int = SMALL_ROWS) -> DataFrame:
+    """``keep`` and the 15 unscaled structural features, all doubles."""
     return encode(df, encoders, small_rows=small_rows).selectExpr(
-        *keep, *[f"CAST({sql[c]} AS DOUBLE) AS {c}" for c in STRUCTURAL_FEATURES]
+        *keep, *[f"{sql} AS {c}" for c, sql in structural_sql(stats).items()]
     )
 
 
@@ -251,10 +258,11 @@ class RobustScaling:
             {c: s if s > 0 else 1.0 for c, s in spread.items()},
         )
 
+    def scaled(self, column: str, value: str) -> str:
+        return f"({value} - {num(self.centers[column])}) / {num(self.scales[column])}"
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return T.derive(df, {
-            c: f"({c} - {num(self.centers[c])}) / {num(self.scales[c])}" for c in self.centers
-        })
+        return T.derive(df, {c: self.scaled(c, c) for c in self.centers})
 
 
 # ---------------------------------------------------------------------------
@@ -285,27 +293,36 @@ def humanised_name(name: str) -> str:
     )
 
 
-def feature_entries(n_terms: int, embedding_dim: int) -> str:
-    """All non-zero features of a row, by index, from its term entries and dense parts."""
-    dense = "array(" + ", ".join(STRUCTURAL_FEATURES) + ")"
-    if embedding_dim:
-        blank = f"array_repeat(0D, {embedding_dim})"
-        dense = f"concat(coalesce(CAST(embedding AS ARRAY<DOUBLE>), {blank}), {dense})"
-    tail = (
-        f"filter(transform({dense}, (x, i) -> named_struct("
-        f"'idx', CAST({n_terms} + i AS INT), 'weight', x)), e -> e.weight <> 0)"
-    )
-    return f"concat(coalesce(entries, CAST(array() AS {ENTRY_TYPE})), {tail})"
-
+def assemble_vector(idf: list[float], size: int):
+    """Term counts and dense features to one sparse ML vector, text weights first.
 
-def sparse_vector(size: int):
-    """Entries to an ML vector. Spark has no SQL constructor of sparse vectors."""
+    Spark has no SQL function that builds sparse vectors, hence a Python function;
+    it only touches the terms the row has.
+    """
+    term_idf = np.array(idf)
+    offset = len(term_idf)
 
     @F.udf(VectorUDT())
-    def build(indices, weights):
-        return SparseVector(size, indices, weights)
+    def assemble(counts, dense):
+        weights = (1.0 + np.log(counts.values)) * term_idf[counts.indices]
+        norm = np.sqrt((weights * weights).sum())
+        tail = np.array(dense, dtype=float)
+        present = np.flatnonzero(tail)
+        return SparseVector(
+            size,
+            np.concatenate([counts.indices, offset + present]),
+            np.concatenate([weights / norm if norm > 0 else weights, tail[present]]),
+        )
+
+    return assemble
+
 
-    return build("entries.idx", "entries.weight")
+@F.udf(ArrayType(StructType([
+    StructField("idx", IntegerType()), StructField("weight", DoubleType()),
+])))
+def vector_entries(vector):
+    """The non-zero features of a vector, by index."""
+    return [(int(i), float(x)) for i, x in zip(vector.indices, vector.values)]
 
 
 @dataclass(frozen=True)
@@ -323,14 +340,13 @@ class FeatureModel:
         return self.tfidf.size + self.embedding_dim + len(STRUCTURAL_FEATURES)
 
     @classmethod
-    def fit(cls, df: DataFrame, config: AuditConfig = AuditConfig(),
-            key: str = "ticket_id") -> FeatureModel:
+    def fit(cls, df: DataFrame, config: AuditConfig = AuditConfig()) -> FeatureModel:
         """``df`` is read several times: give a durable table when it is costly."""
         if "full_text" not in df.columns:
             raise ValueError("Features need the full_text column.")
         stats = FeatureStats.fit(df, config.small_rows)
         encoders = durable(fit_encoders(df, small_rows=config.small_rows))
-        raw = durable(structural_features(df, stats, encoders, (key,), config.small_rows))
+        raw = durable(structural_features(df, stats, encoders, (), config.small_rows))
         dim = 0
         if "embedding" in df.columns:
             dim = df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
@@ -339,24 +355,32 @@ class FeatureModel:
             RobustScaling.fit(raw, small_rows=config.small_rows), max(dim, 0),
         )
 
-    def entries(self, df: DataFrame, key: str = "ticket_id",
-                keep: tuple[str, ...] = ()) -> DataFrame:
-        """``key``, ``keep`` and the sparse features of every row of ``df``.
-
-        The two joins are on the unique key, of rows without their text.
-        """
-        extra = ("embedding",) if self.embedding_dim else ()
-        dense = self.scaling.transform(
-            structural_features(df, self.stats, self.encoders, (key, *keep, *extra))
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``features``. No shuffle: fitted tables are broadcast, rows stay in place."""
+        terms = self.tfidf.terms()
+        counter = CountVectorizerModel.from_vocabulary(
+            [t.term for t in terms], inputCol="_terms", outputCol="_counts", minTF=1.0
         )
-        joined = dense.join(self.tfidf.transform(df, key), key, "left")
-        return joined.selectExpr(
-            key, *keep, f"{feature_entries(self.tfidf.size, self.embedding_dim)} AS entries"
+        dense = ", ".join(
+            self.scaling.scaled(c, sql) for c, sql in structural_sql(self.stats).items()
         )
-
-    def vectors(self, df: DataFrame, key: str = "ticket_id",
-                keep: tuple[str, ...] = ()) -> DataFrame:
-        return self.entries(df, key, keep).withColumn("features", sparse_vector(self.size))
+        if self.embedding_dim:
+            blank = f"array_repeat(0D, {self.embedding_dim})"
+            dense = f"concat(coalesce(CAST(embedding AS ARRAY<DOUBLE>), {blank}), array({dense}))"
+        else:
+            dense = f"array({dense})"
+        codes = [f"{c}_enc" for c in ENCODED_COLUMNS]
+        counted = counter.transform(
+            T.derive(encode(df, self.encoders), {"_terms": T.terms("full_text"), "_dense": dense})
+        )
+        build = assemble_vector([t.idf for t in terms], self.size)
+        return counted.withColumn("features", build("_counts", "_dense")).drop(
+            "_terms", "_counts", "_dense", *codes)
+
+    def names(self) -> list[str]:
+        """Feature names in vector order: as many as the model has features."""
+        rows = feature_names(self.tfidf.vocabulary, self.embedding_dim)
+        return [r.name for r in rows.orderBy("idx").collect()]
 
     def save(self, path: str) -> None:
         """Tables for the vocabulary, the encoders and the handful of numbers."""

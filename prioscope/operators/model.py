@@ -25,12 +25,7 @@ from prioscope.operators.attribution import with_attributions
 from prioscope.operators.folds import class_weights, stratified_folds
 from prioscope.operators.thresholds import with_prediction
 
-KEY, LABEL = "ticket_key", "is_mismatch"
-
-
-def with_row_key(df: DataFrame) -> DataFrame:
-    """A durable copy with a unique row number; ticket ids may repeat."""
-    return durable(df.withColumn(KEY, F.monotonically_increasing_id()))
+LABEL = "is_mismatch"
 
 
 def weighted(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -107,7 +102,7 @@ def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig()) -> list[t
     parts = config.calibration_folds
     split = durable(stratified_folds(
         df.withColumnRenamed("fold", "_cv") if "fold" in df.columns else df,
-        LABEL, KEY, parts, config.seed + 1))
+        LABEL, "ticket_id", parts, config.seed + 1))
 
     def one(part: int) -> tuple:
         model = learner(config.booster, config.seed).fit(
@@ -135,28 +130,24 @@ class MismatchModel:
     pairs: list[tuple]
     threshold: float
     folds: DataFrame  # one row of metrics per fold
-    oof: DataFrame  # ticket_key, ticket_id, label, fold, probability
+    oof: DataFrame  # ticket_id, label, fold, probability
     coefficients: list[float] = field(default_factory=list)
     means: list[float] = field(default_factory=list)
 
-    def names(self) -> list[str]:
-        """Feature names in vector order: as many as the model has features."""
-        rows = FE.feature_names(self.features.tfidf.vocabulary, self.features.embedding_dim)
-        return [r.name for r in rows.orderBy("idx").collect()]
-
-    def predict(self, df: DataFrame, threshold: float | None = None,
-                attributions: bool = False, config: AuditConfig = AuditConfig()) -> DataFrame:
-        """Score all rows of a labelled table, with frozen statistics."""
+    def predict(self, df: DataFrame, threshold: float | None = None) -> DataFrame:
+        """Score all rows of a labelled table with frozen statistics, without a shuffle."""
         t = self.threshold if threshold is None else threshold
-        rows = with_row_key(df)
-        scored = score_calibrated(self.pairs, self.features.vectors(rows, KEY))
-        keep = [KEY, "mismatch_probability"]
-        if attributions and self.coefficients:
-            scored = with_attributions(
-                scored, self.names(), self.coefficients, self.means, config.top_attributions)
-            keep.append("shap_attributions")
-        joined = rows.join(scored.select(*keep), KEY)  # unique on both sides
-        return with_prediction(joined.drop(KEY), t)
+        scored = score_calibrated(self.pairs, self.features.transform(df)).drop("features")
+        return with_prediction(scored, t)
+
+    def attribute(self, df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
+        """Add the top attributions of every given row, without a shuffle."""
+        if not self.coefficients:
+            raise ValueError("The model was trained without an explainer.")
+        rows = self.features.transform(df).withColumn("entries", FE.vector_entries("features"))
+        return with_attributions(
+            rows, self.features.names(), self.coefficients, self.means, config.top_attributions
+        ).drop("features", "entries")
 
     def save(self, path: str) -> None:
         self.features.save(f"{path}/features")
@@ -206,25 +197,25 @@ def check_training_size(df: DataFrame, config: AuditConfig = AuditConfig()) -> N
         )
 
 
-def prepare_training(train: DataFrame, config: AuditConfig = AuditConfig()):
+def prepare_training(rows: DataFrame, config: AuditConfig = AuditConfig()):
     """The fitted feature model, and the durable table of vectors with their folds."""
-    rows = with_row_key(train)
-    model = FE.FeatureModel.fit(rows, config, KEY)
-    vectors = model.vectors(rows, KEY, ("ticket_id", LABEL))
-    folded = stratified_folds(
-        rows.select(KEY, "ticket_id", LABEL), LABEL, "ticket_id", config.cv_folds, config.seed
-    ).select(KEY, "fold")
-    return model, durable(vectors.drop("entries").join(folded, KEY))
+    model = FE.FeatureModel.fit(rows, config)
+    vectors = durable(model.transform(rows).select("ticket_id", LABEL, "features"))
+    return model, durable(
+        stratified_folds(vectors, LABEL, "ticket_id", config.cv_folds, config.seed))
 
 
 def train(labelled: DataFrame, config: AuditConfig = AuditConfig(),
           explainer: bool = True) -> MismatchModel:
-    """Cross-validate, choose the threshold, and fit the calibrated model."""
+    """Cross-validate, choose the threshold, and fit the calibrated model.
+
+    ``labelled`` is read several times: give the durable table of the infer stage.
+    """
     rows = labelled.filter("include_in_training")
     check_training_size(rows, config)
     feature_model, table = prepare_training(rows, config)
     oof = durable(out_of_fold(table, config).select(
-        KEY, "ticket_id", LABEL, "fold", "mismatch_probability"))
+        "ticket_id", LABEL, "fold", "mismatch_probability"))
     folds = durable(M.fold_metrics(oof))
     threshold = M.fold_threshold_median(folds).first().threshold
     pairs = fit_calibrated(table, config)

@@ -3,7 +3,7 @@
     labelled = infer(read_ticket_csv(spark, path))
     model = train(labelled)
     predictions = predict(labelled, model)
-    documents = dossier(predictions)
+    documents = dossier(predictions, model)
     report = evaluate(predictions, model)
 """
 
@@ -38,13 +38,19 @@ def train(labelled: DataFrame, config: AuditConfig = AuditConfig()) -> model.Mis
     return model.train(labelled, config)
 
 
-def predict(labelled: DataFrame, trained: model.MismatchModel, threshold: float | None = None,
-            attributions: bool = True, config: AuditConfig = AuditConfig()) -> DataFrame:
-    return trained.predict(labelled, threshold, attributions, config)
+def predict(labelled: DataFrame, trained: model.MismatchModel,
+            threshold: float | None = None) -> DataFrame:
+    """Score every ticket; durable, because documents and report both read it."""
+    return durable(trained.predict(labelled, threshold))
 
 
-def dossier(predictions: DataFrame, config: AuditConfig = AuditConfig(),
-            only_flagged: bool = True) -> DataFrame:
+def dossier(predictions: DataFrame, trained: model.MismatchModel | None = None,
+            config: AuditConfig = AuditConfig(), only_flagged: bool = True) -> DataFrame:
+    """Evidence documents; with attributions if a model with an explainer is given."""
+    if only_flagged:
+        predictions = predictions.filter("mismatch_predicted = 1")
+    if trained is not None and trained.coefficients:
+        predictions = trained.attribute(predictions, config)
     return evidence.dossiers(predictions, config, only_flagged)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import asdict, fields
 
 from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -345,8 +346,9 @@ def _with_embeddings(spark, sf, df):
 @query
 def feature_vectors(spark, sf):
     df = _with_embeddings(spark, sf, durable_labelled(spark, sf))
-    vectors = FE.FeatureModel.fit(df).vectors(df)
-    return vectors.selectExpr("ticket_id", "size(entries) AS non_zero", "features")
+    vectors = FE.FeatureModel.fit(df).transform(df)
+    return vectors.select(
+        "ticket_id", F.size(FE.vector_entries("features")).alias("non_zero"), "features")
 
 
 # --------------------------------------------------------------- classifier
@@ -449,7 +451,7 @@ def train_predict(spark, sf):
     config = AuditConfig(booster=BoosterConfig(learner="logistic", max_iter=20))
     df = durable_labelled(spark, sf)
     model = MO.train(df, config, explainer=False)
-    return sinks.prediction_columns(model.predict(df, config=config)).drop("description")
+    return sinks.prediction_columns(model.predict(df)).drop("description")
 
 
 # ---------------------------------------------------- attributions, evidence
@@ -480,17 +482,12 @@ def _attributed(spark, sf) -> DataFrame:
     """Tickets with attributions over all text and structural features."""
     df = durable_labelled(spark, sf)
     model = FE.FeatureModel.fit(df)
-    entries = model.entries(df)
-    n = df.count()
-    sums = {
-        r.idx: r.total for r in entries.selectExpr("inline(entries)").groupBy("idx")
-        .agg(F.sum("weight").alias("total")).collect()  # one row per feature
-    }
-    means = [sums.get(i, 0.0) / n for i in range(model.size)]
-    names = [r.name for r in FE.feature_names(model.tfidf.vocabulary, 0).orderBy("idx").collect()]
+    rows = durable(model.transform(df))
+    # the driver gets one number per feature
+    means = rows.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
     coefficients = [_coefficient(i) for i in range(model.size)]
-    attributed = A.with_attributions(entries, names, coefficients, means)
-    return df.join(attributed.select("ticket_id", "shap_attributions"), "ticket_id")
+    entries = rows.withColumn("entries", FE.vector_entries("features"))
+    return A.with_attributions(entries, model.names(), coefficients, means)
 
 
 @query
