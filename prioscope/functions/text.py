@@ -97,7 +97,8 @@ def count_matches(c: str, pattern: str) -> str:
 
 
 def word_count(c: str) -> str:
-    return f"regexp_count({c}, {sql_string(NON_WHITESPACE + '+')})"
+    """Tokens of a cleaned text, where one space separates tokens."""
+    return f"IF({c} = '', 0, {count_of(c, ' ')} + 1)"
 
 
 def caps_ratio(c: str) -> str:

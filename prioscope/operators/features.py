@@ -41,9 +41,9 @@ def term_counts(df: DataFrame, text: str = "full_text") -> DataFrame:
         "concat(transform(g, x -> named_struct('term', x, 'tf', 1L, 'df', 0L)), "
         "transform(array_distinct(g), x -> named_struct('term', x, 'tf', 0L, 'df', 1L)))"
     ))
-    return df.selectExpr(f"inline({contributions})").groupBy("term").agg(
-        F.sum("tf").alias("tf"), F.sum("df").alias("df")
-    )
+    # outer: an inner generator would have the array computed again to test it
+    rows = df.selectExpr(f"inline_outer({contributions})").filter("term IS NOT NULL")
+    return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def top_terms(counts: DataFrame, n_docs: int, config: AuditConfig = AuditConfig()) -> DataFrame:
@@ -87,7 +87,7 @@ class TfidfModel:
         """
         known = F.broadcast(self.vocabulary.select("term", "idx", "idf"))  # tfidf_max_features rows
         gathered = (
-            df.selectExpr(key, f"explode({T.terms(text)}) AS term")
+            df.selectExpr(key, f"explode_outer({T.terms(text)}) AS term")
             .join(known, "term")
             .groupBy(key)
             .agg(F.expr("sort_array(collect_list(struct(idx, idf)))").alias("g"))
@@ -109,7 +109,8 @@ class TfidfModel:
     def weights(self, df: DataFrame, key: str = "ticket_id",
                 text: str = "full_text") -> DataFrame:
         """The same as one row per (key, idx)."""
-        return self.transform(df, key, text).selectExpr(key, "inline(entries)")
+        return self.transform(df, key, text).selectExpr(
+            key, "inline_outer(entries)").filter("idx IS NOT NULL")
 
 
 # ---------------------------------------------------------------------------

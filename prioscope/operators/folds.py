@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from prioscope.config import SMALL_ROWS
 from prioscope.functions.durable import durable
@@ -16,37 +17,46 @@ def stratified_folds(df: DataFrame, label: str = "is_mismatch", key: str = "tick
 
     Fold sizes differ by at most one per class. The rank is the number of rows in
     earlier hash ranges (4096 per class, so that no class is one sort) plus the
-    rank within the range. Ids repeated more than ``hot_rows`` times would fill
-    one range; their rows are ranked per input partition instead. ``df`` is read
-    three times: give a durable, narrow table.
+    rank within the range. Distinct ids spread evenly over the ranges; a range that
+    is much larger than the others holds an id with very many copies, and its rows
+    are ranked per input partition instead. ``df`` is read twice: give a durable,
+    narrow table.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    hot = hashed.groupBy(label, "_h").agg(F.count(F.lit(1)).alias("_n")).filter(
-        F.col("_n") > hot_rows
-    ).select(label, "_h", F.lit(True).alias("_hot"))
-    if hot.isEmpty():
-        ranged = hashed.withColumn("_shard", F.lit(-1))
+    spark = df.sparkSession
+    hashed = df.withColumn(
+        "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    ).withColumn("_range", F.substring("_h", 1, 3))
+    group = [label, "_range", "_shard"]
+
+    # at most 4096 rows per class
+    counts = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n")).collect()
+    usual = sum(r["_n"] for r in counts) / 4096
+    hot = [r for r in counts if r["_n"] > 2 * usual + hot_rows]
+    if hot:
+        names = [f"{r[label]}:{r['_range']}" for r in hot]
+        is_hot = F.concat_ws(":", F.col(label).cast("string"), "_range").isin(names)
+        ranged = durable(hashed.withColumn(
+            "_shard", F.when(is_hot, F.spark_partition_id()).otherwise(-1)))
+        sizes = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     else:
-        spread = durable(hashed.withColumn("_shard", F.spark_partition_id()))
-        ranged = spread.join(small_or_shuffled(durable(hot)), [label, "_h"], "left").withColumn(
-            "_shard", F.when(F.col("_hot"), F.col("_shard")).otherwise(-1)
-        ).drop("_hot")
-    ranged = ranged.withColumn("_range", F.substring("_h", 1, 3))
+        ranged = hashed.withColumn("_shard", F.lit(-1))
+        sizes = spark.createDataFrame(
+            [(r[label], r["_range"], -1, r["_n"]) for r in counts],
+            StructType([df.schema[label], StructField("_range", StringType()),
+                        StructField("_shard", IntegerType()), StructField("_n", LongType())]),
+        )
 
-    group = [label, "_range", "_shard"]
-    sizes = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     earlier = (
         Window.partitionBy(label).orderBy("_range", "_shard")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    # at most 4096 rows per class, plus one per hot range and input partition
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h"))
     return (
         ranged.withColumn("_rank", rank)
-        .join(small_or_shuffled(offsets), group)
+        # 4096 rows per class, and one per hot range and input partition
+        .join(small_or_shuffled(offsets) if hot else F.broadcast(offsets), group)
         .withColumn("fold", ((F.col("_off") + F.col("_rank") - 1) % folds).cast("int"))
-        .drop("_h", "_range", "_shard", "_rank", "_off")
         .select(*df.columns, "fold")
     )
 

@@ -25,6 +25,13 @@ def _phrase_pattern(phrase: str) -> str:
     return f"{literal}(?!{T.WORD})(?<!{T.WORD}{literal})"
 
 
+def _first_word(phrase: str) -> str:
+    """The run of word characters a phrase starts with."""
+    if not re.fullmatch(r"\w|\w.*\w", phrase):
+        raise ValueError(f"A phrase must start and end with a word character: {phrase!r}")
+    return re.match(r"\w+", phrase).group()
+
+
 def _phrase_table(lexicon: Lexicon) -> str:
     """One struct per phrase, in matching order: a constant array in the plan."""
     rows = []
@@ -33,7 +40,7 @@ def _phrase_table(lexicon: Lexicon) -> str:
             rows.append(
                 f"named_struct('level', {T.sql_string(level)}, 'level_score', {score}, "
                 f"'phrase_idx', {len(rows)}, 'phrase', {T.sql_string(phrase)}, "
-                f"'first_word', {T.sql_string(phrase.split(' ')[0])}, "
+                f"'first_word', {T.sql_string(_first_word(phrase))}, "
                 f"'pattern', {T.sql_string(_phrase_pattern(phrase))}, "
                 f"'n_chars', {len(phrase)}, 'n_spaces', {phrase.count(' ')})"
             )
@@ -46,7 +53,7 @@ def _possible_phrases(folded: str, lexicon: Lexicon) -> str:
     The words of the text are intersected once with all first words; the substring
     test then runs for the few phrases that start with one of them.
     """
-    first_words = dict.fromkeys(p.split(" ")[0] for _, _, phrases in lexicon for p in phrases)
+    first_words = dict.fromkeys(_first_word(p) for _, _, phrases in lexicon for p in phrases)
     seen = (
         f"array_intersect(split({folded}, {T.sql_string(T.NON_WORD + '+')}), "
         f"{T.sql_strings(first_words)})"
@@ -151,5 +158,10 @@ def lexicon_evidence(hits: str) -> str:
 
 
 def lexicon_hit_rows(df: DataFrame, keep: Sequence[str] = ("ticket_id",)) -> DataFrame:
-    """The hits as a table, one row per occurrence."""
-    return df.select(*keep, F.explode("lexicon_hits").alias("h")).select(*keep, "h.*")
+    """The hits as a table, one row per occurrence.
+
+    A plain explode makes the optimizer test the array for emptiness first, and
+    compute it again for that.
+    """
+    rows = df.select(*keep, F.explode_outer("lexicon_hits").alias("h"))
+    return rows.filter("h IS NOT NULL").select(*keep, "h.*")

@@ -17,11 +17,14 @@ LABEL, PROBABILITY = "is_mismatch", "mismatch_probability"
 def score_histogram(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY,
                     by: list[str] | None = None) -> DataFrame:
     """One row per distinct score: how many rows of each class have it."""
-    known = T.derive(df, {"score": f"nanvl({probability}, CAST(NULL AS DOUBLE))"})
-    return known.filter("score IS NOT NULL").groupBy(*(by or []), "score").agg(
+    # known as an aggregate: a filter on the score would be pushed below its computation
+    return T.derive(df, {"score": f"nanvl({probability}, CAST(NULL AS DOUBLE))"}).groupBy(
+        *(by or []), "score"
+    ).agg(
         F.expr(f"sum(CAST({label} = 1 AS BIGINT))").alias("pos"),
         F.expr(f"sum(CAST({label} = 0 AS BIGINT))").alias("neg"),
-    )
+        F.expr("bool_or(score IS NOT NULL)").alias("known"),
+    ).filter("known").drop("known")
 
 
 def auc(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY,

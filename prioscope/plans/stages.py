@@ -27,8 +27,12 @@ def infer(raw: DataFrame, config: AuditConfig = AuditConfig(),
           valence: Mapping[str, float] | None = None,
           label_probabilities: DataFrame | None = None,
           stats: StructuralStats | None = None) -> DataFrame:
-    """Raw tickets to pseudo-labelled tickets, made durable for the later stages."""
-    tickets = prepare_tickets(raw)
+    """Raw tickets to pseudo-labelled tickets, made durable for the later stages.
+
+    The cleaned tickets are made durable too: the whole-table statistics then read
+    three narrow columns instead of parsing the source again.
+    """
+    tickets = durable(prepare_tickets(raw))
     if label_probabilities is not None:
         tickets = join_label_probabilities(tickets, label_probabilities)
     return durable(labels.pseudo_labels(infer_severity(tickets, stats, config, valence), config))

@@ -71,9 +71,12 @@ def test_a_long_text_with_very_many_hits(spark):
 
 
 def test_own_lexicon(spark):
-    df = spark.createDataFrame([("it's a c++ 'mess'",)], "full_text STRING")
+    df = spark.createDataFrame([("It's a c++ 'mess' \\ it's",)], "full_text STRING")
     found = LX.with_lexicon_hits(df, lexicon=[("high", 2, ["it's", "mess"])]).first().lexicon_hits
-    assert [h.phrase for h in found] == ["mess"] or [h.phrase for h in found] == ["it's", "mess"]
+    assert [(h.phrase, h.matched, h.char_pos) for h in found] == [
+        ("it's", "It's", 0), ("it's", "it's", 20), ("mess", "mess", 12)]
+    with pytest.raises(ValueError, match="word character"):
+        LX.with_lexicon_hits(df, lexicon=[("high", 2, ["c++"])])
 
 
 def evaluate(spark, sql, **columns):
