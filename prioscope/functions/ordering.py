@@ -22,7 +22,7 @@ QUANTILE_BINS = 1024
 
 def small_or_shuffled(dim: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint for a side table of a checked size; none above the limit."""
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+    return F.broadcast(dim) if dim.count() <= limit else dim
 
 
 def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
@@ -49,7 +49,7 @@ def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
 def number_by(df: DataFrame, order: list, name: str = "position",
               small_rows: int = SMALL_ROWS) -> DataFrame:
     """Consecutive 0-based numbers by an order, for any number of rows."""
-    if df.limit(small_rows + 1).count() <= small_rows:
+    if df.count() <= small_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     return number_rows(df.orderBy(*order), name)
 
@@ -70,7 +70,7 @@ def running_totals(hist: DataFrame, key: str, values: list[str], partition: list
             .rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    if hist.limit(small_rows + 1).count() <= small_rows:
+    if hist.count() <= small_rows:
         w = before(by, key)
         return hist.withColumns(
             {f"{v}_before": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values}
@@ -113,7 +113,7 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
     )
     if rows is None:
-        rows = clean.limit(small_rows + 1).count()
+        rows = clean.count()
     if rows <= small_rows:
         row = clean.agg(*[
             F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c)

@@ -150,7 +150,7 @@ def fit_encoders(df: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS,
         f"named_struct('column', '{c}', 'value', {category_value(c)})" for c in columns
     )
     values = durable(df.selectExpr(f"inline(array({pairs}))").distinct())
-    if values.limit(small_rows + 1).count() <= small_rows:
+    if values.count() <= small_rows:
         code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
         return values.withColumn("code", code.cast("int"))
     placed = durable(number_by(values, ["column", "value"], "_at", small_rows))

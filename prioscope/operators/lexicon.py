@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from prioscope.config import LEVELS, LEXICON, NEGATION_WORDS
 from prioscope.functions import text as T
 
+# Items per block when an array is collected step by step.
+BLOCK = 64
+
 Lexicon = Sequence[tuple[str, int, Sequence[str]]]
 
 
@@ -77,16 +80,32 @@ def _measure(split: str) -> str:
     ))
 
 
+def _collect(source: str, item_type: str, numbers: str, step: str, item: str) -> str:
+    """Run ``step`` over an array and collect an ``item`` per element.
+
+    Appending to an array copies it, so items are collected in blocks; a text with
+    very many matches stays linear.
+    """
+    empty = f"CAST(array() AS ARRAY<{item_type}>)"
+    grown = f"array_append(acc.block, {item})"
+    full = f"size(acc.block) = {BLOCK - 1}"
+    return (
+        f"aggregate({source}, named_struct({numbers}, 'block', {empty}, "
+        f"'blocks', CAST(array() AS ARRAY<ARRAY<{item_type}>>)), "
+        f"(acc, p) -> named_struct({step}, 'block', IF({full}, {empty}, {grown}), "
+        f"'blocks', IF({full}, array_append(acc.blocks, {grown}), acc.blocks)), "
+        "acc -> concat(flatten(acc.blocks), acc.block))"
+    )
+
+
 def negation_tokens(text: str) -> str:
     """Indexes of the tokens that contain a negation word."""
     words = T.sql_string(T.bounded("|".join(re.escape(w) for w in NEGATION_WORDS)))
-    return (
-        f"aggregate({_measure(f'split(lower({text}), {words}, -1)')}, "
-        "named_struct('n', 0, 'at', CAST(array() AS ARRAY<INT>)), "
-        "(acc, p) -> named_struct('n', acc.n + p.spaces, "
-        "'at', array_append(acc.at, acc.n + p.spaces)), "
-        "acc -> array_distinct(acc.at))"
+    tokens = _collect(
+        _measure(f"split(lower({text}), {words}, -1)"), "INT",
+        "'n', 0", "'n', acc.n + p.spaces", "acc.n + p.spaces",
     )
+    return f"array_distinct({tokens})"
 
 
 def negation_zone(text: str) -> str:
@@ -98,30 +117,41 @@ def negation_zone(text: str) -> str:
     return f"array_sort(array_distinct({zone}))"
 
 
+def _zone_flags(text: str) -> str:
+    """The zone as one flag per token, up to its last token, for direct lookup."""
+    run = "concat(repeat('0', z - IF(k = 0, -1, get(zone, k - 1)) - 1), '1')"
+    flags = f"split(array_join(transform(zone, (z, k) -> {run}), ''), '')"
+    return T.let("zone", negation_zone(text), flags)
+
+
 def _phrase_hits() -> str:
     """All occurrences of phrase ``e`` in row ``r``, as an array of structs.
 
     The case-folded text has the same length as the text, so positions carry over.
     """
-    positions = (
-        f"aggregate({_measure('split(r.folded, e.pattern, -1)')}, "
-        "named_struct('chars', 0, 'spaces', 0, "
-        "'hits', CAST(array() AS ARRAY<STRUCT<char_pos: INT, word_pos: INT>>)), "
-        "(acc, p) -> named_struct("
-        "'chars', acc.chars + p.chars + e.n_chars, "
-        "'spaces', acc.spaces + p.spaces + e.n_spaces, "
-        "'hits', array_append(acc.hits, named_struct("
-        "'char_pos', acc.chars + p.chars, 'word_pos', acc.spaces + p.spaces + p.inside))), "
-        "acc -> acc.hits)"
+    positions = _collect(
+        _measure("split(r.folded, e.pattern, -1)"), "STRUCT<char_pos: INT, word_pos: INT>",
+        "'chars', 0, 'spaces', 0",
+        "'chars', acc.chars + p.chars + e.n_chars, 'spaces', acc.spaces + p.spaces + e.n_spaces",
+        "named_struct('char_pos', acc.chars + p.chars, "
+        "'word_pos', acc.spaces + p.spaces + p.inside)",
     )
-    negated = "exists(r.negations, i -> h.word_pos BETWEEN i - 1 AND i + 3)"
-    return (
-        f"transform({positions}, (h, occ) -> named_struct("
+    # cutting one match out of the text costs its distance from the start
+    all_matched = (
+        f"IF(size(hs) > {BLOCK}, regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0), "
+        "CAST(array() AS ARRAY<STRING>))"
+    )
+    matched = (
+        "IF(size(ms) = size(hs), get(ms, occ), substring(r.text, h.char_pos + 1, e.n_chars))"
+    )
+    negated = "coalesce(get(r.zone, h.word_pos), '') = '1'"
+    described = (
+        "transform(hs, (h, occ) -> named_struct("
         "'level', e.level, 'level_score', e.level_score, 'phrase_idx', e.phrase_idx, "
         "'phrase', e.phrase, 'occ', occ, 'char_pos', h.char_pos, "
-        "'matched', substring(r.text, h.char_pos + 1, e.n_chars), "
-        f"'word_pos', h.word_pos, 'weight', IF({negated}, 0.5D, 1D)))"
+        f"'matched', {matched}, 'word_pos', h.word_pos, 'weight', IF({negated}, 0.5D, 1D)))"
     )
+    return T.let("hs", positions, T.let("ms", all_matched, described))
 
 
 def with_lexicon_hits(df: DataFrame, text: str = "full_text",
@@ -132,7 +162,7 @@ def with_lexicon_hits(df: DataFrame, text: str = "full_text",
     """
     row = (
         f"named_struct('text', {text}, 'folded', {T.fold_case(text)}, "
-        f"'negations', {negation_tokens(text)})"
+        f"'zone', {_zone_flags(text)})"
     )
     hits = f"flatten(transform({_possible_phrases('r.folded', lexicon)}, e -> {_phrase_hits()}))"
     return T.derive(df, {"lexicon_hits": T.let("r", row, hits)})

@@ -190,7 +190,7 @@ def explain(df: DataFrame) -> tuple[list[float], list[float]]:
 
 
 def check_training_size(df: DataFrame, config: AuditConfig = AuditConfig()) -> None:
-    if df.limit(config.min_training_rows).count() < config.min_training_rows:
+    if len(df.select(LABEL).take(config.min_training_rows)) < config.min_training_rows:
         raise ValueError(
             f"Fewer than {config.min_training_rows} confident training rows; "
             "lower min_confidence or check the table."

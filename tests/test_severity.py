@@ -70,6 +70,14 @@ def test_a_long_text_with_very_many_hits(spark):
     assert score == pytest.approx(1 / 3, abs=1e-6)
 
 
+def test_matched_text_of_many_hits_keeps_its_case(spark):
+    found, _ = hits(spark, " ".join(["é ISSUE", "not İſſUE", "iſsue"] * 100))
+    assert len(found) == 300
+    assert [h.matched for h in found[:3]] == ["ISSUE", "İſſUE", "iſsue"]
+    assert [h.weight for h in found[:4]] == [0.5, 0.5, 0.5, 0.5]
+    assert [h.word_pos for h in found[-3:]] == [496, 498, 499]
+
+
 def test_own_lexicon(spark):
     df = spark.createDataFrame([("It's a c++ 'mess' \\ it's",)], "full_text STRING")
     found = LX.with_lexicon_hits(df, lexicon=[("high", 2, ["it's", "mess"])]).first().lexicon_hits
