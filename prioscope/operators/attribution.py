@@ -65,7 +65,7 @@ def with_attributions(df: DataFrame, names: Sequence[str], coefficients: Sequenc
     absent = (
         f"transform(filter(transform(sequence(0, least({len(base)}, {top_n} + size({entries})) - 1), "
         "j -> named_struct('idx', get(bi, j), 'c', get(bv, j))), "
-        f"b -> NOT array_contains({entries}.idx, b.idx)), "
+        "b -> NOT array_contains(present, b.idx)), "
         "b -> named_struct('o', -round(abs(b.c), 12), 'idx', b.idx, 'c', b.c))"
     )
     present = (
@@ -76,6 +76,7 @@ def with_attributions(df: DataFrame, names: Sequence[str], coefficients: Sequenc
     top = f"slice(array_sort(concat({present}, {absent})), 1, {top_n})"
     record = describe("get(names, x.idx)", "x.c")
     body = f"transform({top}, x -> {record})"
+    body = T.let("present", f"{entries}.idx", body)
     for name, constant in (
         ("names", T.sql_strings(names)),
         ("bv", _doubles([v for _, v in base])),

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -318,12 +318,16 @@ def assemble_vector(idf: list[float], size: int):
     return assemble
 
 
-@F.udf(ArrayType(StructType([
-    StructField("idx", IntegerType()), StructField("weight", DoubleType()),
-])))
-def vector_entries(vector):
-    """The non-zero features of a vector, by index."""
-    return [(int(i), float(x)) for i, x in zip(vector.indices, vector.values)]
+def vector_entries(vector: str) -> Column:
+    """The non-zero features of a vector column, by index."""
+    entry = StructType([StructField("idx", IntegerType()), StructField("weight", DoubleType())])
+
+    # local functions travel to the workers whole: they need not have this package
+    @F.udf(ArrayType(entry))
+    def entries(v):
+        return [(int(i), float(x)) for i, x in zip(v.indices, v.values)]
+
+    return entries(vector)
 
 
 @dataclass(frozen=True)

@@ -478,11 +478,11 @@ def linear_contributions(spark, sf):
     return rounded(A.linear_contributions(rows, _coefficients(rows)))
 
 
-def _attributed(spark, sf) -> DataFrame:
+def _attributed(spark, sf, *keep: str) -> DataFrame:
     """Tickets with attributions over all text and structural features."""
     df = durable_labelled(spark, sf)
     model = FE.FeatureModel.fit(df)
-    rows = durable(model.transform(df))
+    rows = durable(model.transform(df).select(*(keep or df.columns), "features"))
     # the driver gets one number per feature
     means = rows.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
     coefficients = [_coefficient(i) for i in range(model.size)]
@@ -492,7 +492,7 @@ def _attributed(spark, sf) -> DataFrame:
 
 @query
 def top_attributions(spark, sf):
-    return _attributed(spark, sf).selectExpr(
+    return _attributed(spark, sf, "ticket_id").selectExpr(
         "ticket_id", "posexplode(shap_attributions) AS (rank, a)").select(
         "ticket_id", "rank", "a.feature", "a.human_name", "a.shap_value", "a.direction")
 
