@@ -185,11 +185,13 @@ _PHRASE_ROWS = [
 stage("lex", (), "SELECT * FROM ("
       + values([(i, *row) for i, row in enumerate(_PHRASE_ROWS)])
       + ") t(phrase_idx, level, level_score, phrase)")
-stage("masked", ("tickets",), r"""
+# four letters that equal an ASCII letter when case is ignored
+CASE_VARIANTS = "\u0130\u0131\u017f\u212a"
+stage("masked", ("tickets",), rf"""
 SELECT ticket_id, full_text, regexp_replace(regexp_replace(
-         lower(translate(full_text, 'İıſK', 'iisk')), '[^\x00-\x7F\p{L}\p{N}]', '-', 'g'),
-       '[^\x00-\x7F]', 'x', 'g') AS m
-FROM tickets""".replace("K', 'iisk", "K', 'iisk"))
+         lower(translate(full_text, '{CASE_VARIANTS}', 'iisk')),
+         '[^\x00-\x7F\p{{L}}\p{{N}}]', '-', 'g'), '[^\x00-\x7F]', 'x', 'g') AS m
+FROM tickets""")
 _NEG = "|".join(NEGATION_WORDS).replace("'", "''")
 stage("zones", ("masked",), rf"""
 SELECT ticket_id, list_sort(list_distinct(flatten(list_transform(

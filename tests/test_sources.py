@@ -91,3 +91,17 @@ def test_pseudo_labels_round_trip(spark, labelled, tmp_path, format):
 def test_read_back_of_a_missing_export(spark, tmp_path):
     with pytest.raises(AnalysisException):
         sinks.read_pseudo_labels(spark, str(tmp_path / "absent"))
+
+
+def test_a_whole_table_through_csv(spark, sf_dir, labelled, tmp_path):
+    """The stage from CSV files gives the labels of the same tickets read from parquet."""
+    from prioscope import fixtures
+    from prioscope.plans import stages
+
+    path = str(tmp_path / "csv")
+    fixtures.raw_tickets(spark, sf_dir).write.option("header", True).option(
+        "quote", '"').option("escape", '"').csv(path)
+    got = stages.infer(ST.read_ticket_csv(spark, path), valence=fixtures.VALENCE)
+    key = ["ticket_id", "full_text", "is_mismatch", "pseudo_label_quality"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(
+        map(tuple, labelled.select(*key).collect()))
