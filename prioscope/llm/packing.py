@@ -34,7 +34,7 @@ class PackingConfig:
     known_words: int = 400_000
 
 
-class WordIds(dict):
+class WordIds:
     """Word between white space -> its token ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
@@ -42,7 +42,6 @@ class WordIds(dict):
     """
 
     def __init__(self, config: PackingConfig):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,6 +51,7 @@ class WordIds(dict):
 
             path = public_tokenizers.path(path)
         self.tokenizer, self.most = Tokenizer.from_file(path), config.known_words
+        self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.marks = dict(zip(",.", self._encoded([",", "."]), strict=True))
 
@@ -61,8 +61,6 @@ class WordIds(dict):
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenize words not seen before; a last comma or full stop after a letter is a token apart."""
-        if len(self) + len(words) > self.most:
-            self.clear()
         if len(self.stems) > self.most:
             self.stems.clear()
         split: list[tuple[bytes, str, bytes]] = []
@@ -75,16 +73,16 @@ class WordIds(dict):
             split.append((word, stem, tail))
         new = list({stem for _, stem, _ in split}.difference(self.stems))
         self.stems.update(zip(new, self._encoded(new), strict=True))
-        self.update((word, self.stems[stem] + tail) for word, stem, tail in split)
+        self.known.update((word, self.stems[stem] + tail) for word, stem, tail in split)
 
     def ids(self, text: str | None, end: bytes) -> bytes:
         words = (text or "").encode().split()
-        new = set(words).difference(self)
-        if new:
+        different = set(words)
+        if len(self.known) > self.most:
+            self.known.clear()
+        if new := different.difference(self.known):
             self.learn(new)
-            if len(new) < len(set(words)) and not all(w in self for w in words):
-                self.learn(set(words).difference(self))  # words forgotten just now
-        return b"".join(map(self.__getitem__, words)) + end
+        return b"".join(map(self.known.__getitem__, words)) + end
 
 
 Piece = tuple[int | None, int, bytes, int]  # document, start in it, ids, the document's tokens
