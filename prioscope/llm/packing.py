@@ -9,6 +9,7 @@ cutting the emptiest windows into the gaps of the fullest; the last rest is cut
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,13 +26,16 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 @dataclass(frozen=True)
 class PackingConfig:
-    """``vocabulary`` is a path, or the name of a file of the public tokenizers' package."""
+    """``vocabulary`` is a path, or the name of a file of the public tokenizers' package.
+
+    ``known_words`` bounds the words whose ids a worker process remembers from task to task.
+    """
 
     window: int = 4096
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
     open_windows: int = 1024
-    known_words: int = 400_000
+    known_words: int = 1_000_000
 
 
 class WordIds:
@@ -75,8 +79,8 @@ class WordIds:
         self.stems.update(zip(new, self._encoded(new), strict=True))
         self.known.update((word, self.stems[stem] + tail) for word, stem, tail in split)
 
-    def ids(self, text: str | None, end: bytes) -> bytes:
-        words = (text or "").encode().split()
+    def ids(self, text: bytes | None, end: bytes) -> bytes:
+        words = (text or b"").split()
         different = set(words)
         if len(self.known) > self.most:
             self.known.clear()
@@ -85,6 +89,12 @@ class WordIds:
         return b"".join(map(self.known.__getitem__, words)) + end
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(config: PackingConfig) -> WordIds:
+    """One for each worker process, which Spark uses for many tasks."""
+    return WordIds(config)
+
+
 Piece = tuple[int | None, int, bytes, int]  # document, start in it, ids, the document's tokens
 
 
@@ -196,7 +206,7 @@ def packed(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFram
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordIds(config)
+        words = word_ids(config)
         end = np.array([config.end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -224,4 +234,4 @@ def packed(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFram
         packer.end()
         yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(pack, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(pack, SCHEMA)
