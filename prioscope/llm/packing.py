@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -61,32 +64,37 @@ class WordIds:
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        numbers = array("I", chain.from_iterable(ids := [e.ids for e in found]))
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        raw, ends = numbers.tobytes(), [0, *accumulate(map(len, ids))]
+        return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenize words not seen before; a last comma or full stop after a letter is a token apart."""
         if len(self.stems) > self.most:
             self.stems.clear()
-        split: list[tuple[bytes, str, bytes]] = []
-        for word in words:
-            stem, tail = word.decode(), b""
-            if len(stem) > 1 and stem[-1] in self.marks and stem[-2].isalpha():
-                stem, tail = stem[:-1], self.marks[stem[-1]]
-            if stem.isascii() and stem.isalpha():
-                stem = stem.lower()
-            split.append((word, stem, tail))
-        new = list({stem for _, stem, _ in split}.difference(self.stems))
+        tails = [b""] * len(words)
+        stems = [word.decode() for word in words]
+        for k, stem in enumerate(stems):
+            if stem[-1] in self.marks and stem[-2:-1].isalpha():
+                tails[k], stem = self.marks[stem[-1]], stem[:-1]
+            stems[k] = stem.lower() if stem.isascii() and stem.isalpha() else stem
+        new = list(set(stems).difference(self.stems))
         self.stems.update(zip(new, self._encoded(new), strict=True))
-        self.known.update((word, self.stems[stem] + tail) for word, stem, tail in split)
+        self.known.update(zip(words, [self.stems[s] + t for s, t in zip(stems, tails, strict=True)], strict=True))
 
     def ids(self, text: bytes | None, end: bytes) -> bytes:
         words = (text or b"").split()
-        different = set(words)
         if len(self.known) > self.most:
             self.known.clear()
-        if new := different.difference(self.known):
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words)) + end
+        found = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            self.learn({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.known[words[k]]
+        return b"".join(found) + end
 
 
 @functools.lru_cache(maxsize=1)
