@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from prioscope.llm.tables import fresh
 
@@ -77,7 +78,7 @@ def without_repeated_lines(docs: DataFrame, removed: str | None = None) -> DataF
     return joined.select(*columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(texts: pd.Series, gone: pd.Series) -> pd.Series:
     """Texts without the non-blank lines whose numbers are in ``gone``."""
 

@@ -233,14 +233,14 @@ def links(different: DataFrame, config: SimHashConfig) -> DataFrame:
 
 
 def classes(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of ``docs``."""
+    """(doc_id, text_hash, fp, root, component_id) of every row; a component is named by its least fingerprint, root."""
     rows = durable(fingerprints(docs, config))
     different = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(different, config))
     joined = different.join(roots, F.col("fp") == F.col("node"), "left")
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "root").select(F.col("fp").alias("own_fp"), "component_id")
+    named = joined.join(smallest, "root").select(F.col("fp").alias("own_fp"), "root", "component_id")
     return rows.join(named, F.col("fp") == F.col("own_fp")).drop("own_fp")
 
 
@@ -263,8 +263,7 @@ def one_of_each(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> Dat
     smallest text hash stays.
     """
     found = durable(classes(docs, config))
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-    best = found.groupBy(group.alias("grp")).agg(
+    best = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     )
     own_id, own_hash, key = (fresh(docs, c) for c in ("own_id", "own_hash", "key"))

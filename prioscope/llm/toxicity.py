@@ -44,7 +44,7 @@ class ToxicityConfig:
     purity: float = 0.85
     stem_lengths: tuple[int, int] = (4, 10)
     window: int = 8
-    known_words: int = 400_000
+    known_words: int = 100_000
 
 
 class LexiconAutomaton:
