@@ -162,17 +162,14 @@ PREDICTION_COLUMNS = (
     "mismatch_predicted", "mismatch_direction", "confidence_level", "subject", "description",
 )
 
-# Rows up to which a side table may be broadcast, or an ordered list of distinct
-# values may be handled by one task. Larger inputs take the distributed path.
-SMALL_ROWS = 200_000
-
-
 @dataclass(frozen=True)
 class BoosterConfig:
     """Boosted-tree settings, in Spark ML terms.
 
-    ``max_depth`` 6 gives at most 64 leaves per tree. Rounds stop early when a
-    held-out fold stops improving by ``validation_tol``.
+    ``max_depth`` 6 gives at most 64 leaves per tree. Rounds stop when the loss on a
+    held-out fold has not improved for ``patience`` rounds; the best round is kept.
+    ``ridge`` and ``max_iter`` also hold for the linear learner, ``explainer_iter`` for
+    the linear model that explains boosted trees.
     """
 
     learner: str = "gbt"  # or "logistic"
@@ -182,7 +179,9 @@ class BoosterConfig:
     min_instances_per_node: int = 20
     subsampling_rate: float = 0.8
     feature_subset: str = "0.8"
-    validation_tol: float = 0.01
+    patience: int = 50
+    ridge: float = 0.01
+    explainer_iter: int = 50
     max_memory_mb: int = 512
 
 
@@ -196,7 +195,7 @@ class AuditConfig:
     weight_structural: float = 0.20
     weight_sentiment: float = 0.10
     structural_min_rows: int = 10
-    model_text_chars: int = 512
+    model_text_chars: int | None = None  # a model's own input limit, if it has one
     # pseudo labels
     gap_threshold: int = 1
     min_confidence: float = 0.55
@@ -218,5 +217,3 @@ class AuditConfig:
     document_title: str = "Ticket Priority Dossier"
     generator_name: str = "prioscope"
     timestamp: str = ""
-    # scale
-    small_rows: int = SMALL_ROWS

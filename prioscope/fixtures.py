@@ -38,8 +38,7 @@ def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten raw columns, all strings, one row per document."""
     docs = table(spark, sf_dir, "documents")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    # both sides grow with the data, so neither is broadcast
-    rows = docs.join(orders.hint("shuffle_hash"), docs.doc_id == orders.o_orderkey)
+    rows = docs.join(orders, docs.doc_id == orders.o_orderkey)
     a, b, c = _phrase("doc_id"), _phrase("doc_id * 3 + 5"), _phrase("doc_id * 5 + 2")
     return rows.selectExpr(
         "CAST(doc_id AS STRING) AS Ticket_ID",

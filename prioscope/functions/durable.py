@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables of the innermost open ``scratch`` block, if there is one.
+_open: list[list[tuple[SparkSession, str]]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the session names; a temporary one only on a local master."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-        named = tempfile.mkdtemp(prefix="prioscope-")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder the session names, else one below its warehouse; any master alike."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -29,6 +25,38 @@ def durable(df: DataFrame) -> DataFrame:
     checkpoint it is columnar: later steps read only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextmanager
+def scratch(*, keep_last: bool = False) -> Iterator[None]:
+    """Delete the tables written inside the block when it ends.
+
+    For steps whose result is stored elsewhere, or whose last table is the result
+    (``keep_last``). Nothing lazy that reads the other tables may leave the block.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        mine = _open.pop()
+        if keep_last and mine:
+            last = mine.pop()
+            if _open:
+                _open[-1].append(last)
+        for spark, path in mine:
+            _delete(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table this application wrote; call it once all results are stored elsewhere."""
+    _delete(spark, f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}")

@@ -1,28 +1,32 @@
 """Row numbers, running totals and exact quantiles that do not need one big task.
 
-Each helper looks at how many rows it must order. Up to ``small_rows`` a single
-window is the cheapest plan; beyond that the work is split over ranges of the
-order key and only per-range totals, whose number is fixed, meet in one place.
+Each helper has one way to work, whatever the number of rows: the rows are split over
+ranges of the order key, and only per-range totals, whose number is fixed or that of
+the partitions, meet in one place.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prioscope.config import SMALL_ROWS
 from prioscope.functions.durable import durable
 
 RANGES = 1024
-QUANTILE_BINS = 1024
+QUANTILE_CUTS = 256
+# More passes than any input takes; the search stops with an error beyond it.
+QUANTILE_PASSES = 6
+# A side table is broadcast up to this many rows, and joined by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
-def small_or_shuffled(dim: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+def broadcast_if_bounded(dim: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast hint for a side table of a checked size; none above the limit."""
-    return F.broadcast(dim) if dim.count() <= limit else dim
+    return F.broadcast(dim) if (dim.count() if rows is None else rows) <= BROADCAST_ROWS else dim
 
 
 def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
@@ -46,16 +50,13 @@ def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
     )
 
 
-def number_by(df: DataFrame, order: list, name: str = "position",
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+def number_by(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     """Consecutive 0-based numbers by an order, for any number of rows."""
-    if df.count() <= small_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
     return number_rows(df.orderBy(*order), name)
 
 
-def running_totals(hist: DataFrame, key: str, values: list[str], partition: list[str] | None = None,
-                   small_rows: int = SMALL_ROWS) -> DataFrame:
+def running_totals(hist: DataFrame, key: str, values: list[str],
+                   partition: list[str] | None = None) -> DataFrame:
     """Add ``<value>_before``: the sum over all rows with a smaller ``key``.
 
     ``hist`` has one row per distinct key (per partition), so a key that many
@@ -70,12 +71,6 @@ def running_totals(hist: DataFrame, key: str, values: list[str], partition: list
             .rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    if hist.count() <= small_rows:
-        w = before(by, key)
-        return hist.withColumns(
-            {f"{v}_before": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values}
-        )
-
     probs = [i / RANGES for i in range(1, RANGES)]
     edges = sorted(set(hist.approxQuantile(key, probs, 0.25 / RANGES)))
     ranged = Bucketizer(
@@ -89,7 +84,7 @@ def running_totals(hist: DataFrame, key: str, values: list[str], partition: list
     )
     w_rows = before([*by, "_range"], key)
     return (
-        ranged.join(small_or_shuffled(offsets, small_rows), [*by, "_range"])
+        ranged.join(broadcast_if_bounded(offsets), [*by, "_range"])
         .withColumns({
             f"{v}_before": F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(w_rows), F.lit(0))
             for v in values
@@ -99,94 +94,86 @@ def running_totals(hist: DataFrame, key: str, values: list[str], partition: list
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
-                    small_rows: int = SMALL_ROWS,
-                    rows: int | None = None) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of several numeric columns.
-
-    Small inputs use Spark's ``percentile``, which keeps every distinct value in
-    one buffer. Larger inputs find the needed order statistics by narrowing value
-    intervals: each pass counts at most ``QUANTILE_BINS`` bins per interval.
-    ``rows`` is an upper bound of the values per column, if the caller knows one.
+                    facts: dict | None = None) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of several numeric columns; nulls and NaN are left out.
+
+    The wanted order statistics are searched in intervals of values. A pass counts the
+    rows between cuts that are approximate quantiles of the values inside an interval, so
+    an interval loses the same share of its rows however the values are spread; infinities
+    are ordinary values at the ends. An interval with one value left is the answer.
+    ``facts`` may give ``n_<column>``, ``lo_<column>`` and ``hi_<column>`` of known values.
     """
     columns = list(wanted)
-    clean = df.select(
+    df = df.select(
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
     )
-    if rows is None:
-        rows = clean.count()
-    if rows <= small_rows:
-        row = clean.agg(*[
-            F.percentile(c, F.array(*[F.lit(float(p)) for p in ps])).alias(c)
-            for c, ps in wanted.items()
-        ]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(ps)
-                for c, ps in wanted.items()}
-    return _quantiles_by_narrowing(clean, wanted)
-
-
-def _quantiles_by_narrowing(df: DataFrame,
-                            wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
-    columns = list(wanted)
-    aggs = []
-    for c in columns:
-        aggs += [F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
-    facts = df.agg(*aggs).first()
-
-    # order statistics to find: (column, rank) -> (lo, hi, rows below lo)
+    if facts is None:
+        facts = df.agg(*[
+            f(c).alias(f"{name}_{c}") for c in columns
+            for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+        ]).first().asDict()
+
+    def ranks(c: str, p: float) -> tuple[int, int]:
+        spot = p * (facts[f"n_{c}"] - 1)
+        return math.floor(spot), math.ceil(spot)
+
+    # (column, rank) -> (lo, hi, rows below lo), all ends closed
+    open_ = {
+        (c, rank): (facts[f"lo_{c}"], facts[f"hi_{c}"], 0)
+        for c, probs in wanted.items() if facts[f"n_{c}"] for p in probs for rank in ranks(c, p)
+    }
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}
-    for c, probs in wanted.items():
-        n = facts[f"n_{c}"]
-        for p in probs if n else []:
-            spot = p * (n - 1)
-            for rank in {math.floor(spot), math.ceil(spot)}:
-                open_[(c, rank)] = (facts[f"lo_{c}"], facts[f"hi_{c}"], 0)
-
-    while open_:
-        for target, (lo, hi, _) in list(open_.items()):
-            if lo == hi:
-                found[target] = lo
-                del open_[target]
+    for _ in range(QUANTILE_PASSES + 1):
+        found |= {t: lo for t, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {t: b for t, b in open_.items() if t not in found}
         if not open_:
             break
-        intervals = sorted({(c, *bounds) for (c, _), bounds in open_.items()})
-        pieces = []
-        for k, (c, lo, hi, _) in enumerate(intervals):
-            v = F.col(c)
-            share = (v - F.lit(lo)) / F.lit(hi - lo)
-            slot = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).cast("int")
-            pieces.append(F.when(
-                v.between(lo, hi),
-                F.struct(F.lit(k).alias("k"), slot.alias("slot"), v.alias("v")),
-            ))
-        counted = (
-            df.select(F.explode(F.array_compact(F.array(*pieces))).alias("e"))
-            .groupBy("e.k", "e.slot")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
-            .collect()  # bounded: intervals x QUANTILE_BINS rows
-        )
-        slots: dict[int, list] = {}
-        for row in sorted(counted, key=lambda r: (r["k"], r["slot"])):
-            slots.setdefault(row["k"], []).append(row)
-        for target, bounds in list(open_.items()):
-            c, rank = target
-            below = bounds[2]
-            for row in slots[intervals.index((c, *bounds))]:
-                if rank < below + row["n"]:
-                    open_[target] = (row["lo"], row["hi"], below)
-                    break
-                below += row["n"]
-
-    result: dict[str, list[float | None]] = {}
-    for c, probs in wanted.items():
-        n = facts[f"n_{c}"]
-        values: list[float | None] = []
-        for p in probs:
-            if not n:
-                values.append(None)
-                continue
-            spot = p * (n - 1)
-            a, b = found[(c, math.floor(spot))], found[(c, math.ceil(spot))]
-            values.append(a + (b - a) * (spot - math.floor(spot)))
-        result[c] = values
-    return result
+        open_ = _narrowed(df, open_)
+    if open_:
+        raise RuntimeError(f"Quantiles not found in {QUANTILE_PASSES} passes: {sorted(open_)}")
+
+    def value(c: str, p: float) -> float | None:
+        if not facts[f"n_{c}"]:
+            return None
+        a, b = (found[(c, rank)] for rank in ranks(c, p))
+        share = p * (facts[f"n_{c}"] - 1) - ranks(c, p)[0]
+        return a if a == b or share == 0 else a + (b - a) * share
+
+    return {c: [value(c, p) for p in probs] for c, probs in wanted.items()}
+
+
+def _narrowed(df: DataFrame, open_: dict) -> dict:
+    """The same targets with smaller intervals: one job for the cuts, one for the counts."""
+    intervals = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
+    probs = F.array(*[F.lit(i / QUANTILE_CUTS) for i in range(1, QUANTILE_CUTS)])
+    inside = [F.when(F.col(c).between(lo, hi), F.col(c)) for c, lo, hi in intervals]
+    cut_rows = df.agg(*[
+        F.percentile_approx(v, probs, 4 * QUANTILE_CUTS).alias(str(k)) for k, v in enumerate(inside)
+    ]).first()
+    cuts = [sorted({lo, hi, *(cut_rows[str(k)] or [])}) for k, (_, lo, hi) in enumerate(intervals)]
+    # a value's bin is 2i if it equals cut i, and 2i + 1 between cuts i and i + 1
+    def piece(k: int, v: Column) -> Column:
+        points = F.array(*[F.lit(float(x)) for x in cuts[k]])
+        at = F.size(F.filter(points, lambda x: x <= v))
+        slot = 2 * at - F.when(F.element_at(points, F.greatest(at, F.lit(1))) == v, 2).otherwise(1)
+        return F.when(v.isNotNull(), F.struct(F.lit(k).alias("k"), slot.alias("slot"), v.alias("v")))
+
+    pieces = [piece(k, v) for k, v in enumerate(inside)]
+    counted = (
+        df.select(F.explode(F.array_compact(F.array(*pieces))).alias("e"))
+        .groupBy("e.k", "e.slot")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
+        .collect()  # bounded: intervals x 2 QUANTILE_CUTS rows
+    )
+    slots: dict[int, list] = {}
+    for row in sorted(counted, key=lambda r: (r["k"], r["slot"])):
+        slots.setdefault(row["k"], []).append(row)
+    out = {}
+    for (c, rank), (lo, hi, below) in open_.items():
+        rows = slots[bisect.bisect_left(intervals, (c, lo, hi))]
+        for row in rows:
+            if rank < below + row["n"]:
+                out[(c, rank)] = (row["lo"], row["hi"], below)
+                break
+            below += row["n"]
+    return out

@@ -39,10 +39,20 @@ def sql_strings(values) -> str:
     return f"array({', '.join(sql_string(v) for v in values)})"
 
 
-def sql_case(value: str, table: dict[str, object]) -> str:
-    """Look a string up in a short fixed table; null if it is not there."""
+def doubles(values) -> str:
+    """A constant array, short to parse however long it is."""
+    return f"CAST(split('{','.join(repr(float(v)) for v in values)}', ',') AS ARRAY<DOUBLE>)"
+
+
+def finite(c: str) -> str:
+    """Null instead of infinity or NaN."""
+    return f"CASE WHEN abs({c}) < CAST('Infinity' AS DOUBLE) THEN {c} END"
+
+
+def sql_case(value: str, table: dict[str, object], raw: bool = False) -> str:
+    """Look a string up in a short fixed table; null if it is not there. ``raw`` values are SQL."""
     whens = " ".join(
-        f"WHEN {sql_string(k)} THEN {sql_string(v) if isinstance(v, str) else v}"
+        f"WHEN {sql_string(k)} THEN {sql_string(v) if isinstance(v, str) and not raw else v}"
         for k, v in table.items()
     )
     return f"CASE {value} {whens} END"
@@ -148,9 +158,10 @@ def priority_rank(level: str) -> str:
 
 
 def to_number(c: str) -> str:
-    """Plain decimal numbers; everything else is null."""
+    """Plain decimal numbers within the range of doubles; everything else is null."""
     value = strip(f"CAST({c} AS STRING)")
-    return let("v", value, f"CASE WHEN v RLIKE {sql_string(NUMBER)} THEN try_cast(v AS DOUBLE) END")
+    number = f"CASE WHEN v RLIKE {sql_string(NUMBER)} THEN try_cast(v AS DOUBLE) END"
+    return let("v", value, let("x", number, finite("x")))
 
 
 def duration_minutes(c: str, seconds_per_plain_unit: float = 1.0) -> str:
@@ -172,4 +183,4 @@ def duration_minutes(c: str, seconds_per_plain_unit: float = 1.0) -> str:
     total = let("t", f"aggregate({parts}, 0D, (acc, x) -> acc + x)", "CASE WHEN t > 0 THEN t END")
     plain = f"try_cast(s AS DOUBLE) * {float(seconds_per_plain_unit)}D / 60"
     body = f"CASE WHEN s RLIKE {sql_string(NUMBER)} THEN {plain} ELSE {total} END"
-    return let("s", f"lower({strip(f'CAST({c} AS STRING)')})", body)
+    return let("s", f"lower({strip(f'CAST({c} AS STRING)')})", let("x", body, finite("x")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.functions import text as T
@@ -13,11 +13,6 @@ from prioscope.operators.features import humanised_name
 UP, DOWN = "↑ Towards Mismatch", "↓ Away from Mismatch"
 
 
-def _doubles(values: Sequence[float]) -> str:
-    """A constant array, short to parse however long it is."""
-    return f"CAST(split('{','.join(repr(float(v)) for v in values)}', ',') AS ARRAY<DOUBLE>)"
-
-
 def linear_contributions(df: DataFrame, coefficients: DataFrame, key: str = "ticket_id",
                          value: str = "value") -> DataFrame:
     """(key, idx, contribution) of a long feature table.
@@ -30,16 +25,6 @@ def linear_contributions(df: DataFrame, coefficients: DataFrame, key: str = "tic
     )
 
 
-def top_contributions(contributions: DataFrame, key: str = "ticket_id",
-                      top_n: int = 5) -> DataFrame:
-    """Per key, the features with the largest absolute contribution, ranked."""
-    ranked = Window.partitionBy(key).orderBy(F.desc(F.round(F.abs("contribution"), 12)), "idx")
-    return (
-        contributions.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= top_n)
-    )
-
-
 def describe(name: str, contribution: str) -> str:
     """The attribution record of one feature."""
     return (
@@ -54,35 +39,33 @@ def with_attributions(df: DataFrame, names: Sequence[str], coefficients: Sequenc
                       entries: str = "entries") -> DataFrame:
     """Add ``shap_attributions``: the exact top features of each row, without a shuffle.
 
-    Features the row does not have contribute -coef * mean. Sorted once for all
-    rows, the first ``top_n`` + (number of present features) of them contain the
-    row's strongest absent ones, so the long tail is never expanded.
+    Features the row does not have contribute -coef * mean. Sorted once for all rows,
+    the first ``top_n`` of them that the row lacks are among the first ``top_n`` + (number
+    of present features), and are found in time linear in that number.
     """
     base = sorted(
-        ((i, -c * m) for i, (c, m) in enumerate(zip(coefficients, means))),
-        key=lambda x: (-abs(x[1]), x[0]),
+        range(len(coefficients)), key=lambda i: (-abs(coefficients[i] * means[i]), i)
     )
     absent = (
-        f"transform(filter(transform(sequence(0, least({len(base)}, {top_n} + size({entries})) - 1), "
-        "j -> named_struct('idx', get(bi, j), 'c', get(bv, j))), "
-        "b -> NOT array_contains(present, b.idx)), "
-        "b -> named_struct('o', -round(abs(b.c), 12), 'idx', b.idx, 'c', b.c))"
+        f"transform(slice(array_except(slice(bi, 1, {top_n} + size(present)), present), 1, {top_n}), "
+        "i -> named_struct('idx', i, 'c', -get(coef, i) * get(mean, i)))"
+    )
+    own = (
+        f"transform({entries}, e -> named_struct('idx', e.idx, "
+        "'c', get(coef, e.idx) * (e.weight - get(mean, e.idx))))"
     )
-    present = (
-        f"transform(transform({entries}, e -> named_struct('idx', e.idx, "
-        "'c', get(coef, e.idx) * (e.weight - get(mean, e.idx)))), "
+    ordered = (
+        f"transform(concat({own}, {absent}), "
         "b -> named_struct('o', -round(abs(b.c), 12), 'idx', b.idx, 'c', b.c))"
     )
-    top = f"slice(array_sort(concat({present}, {absent})), 1, {top_n})"
     record = describe("get(names, x.idx)", "x.c")
-    body = f"transform({top}, x -> {record})"
+    body = f"transform(slice(array_sort({ordered}), 1, {top_n}), x -> {record})"
     body = T.let("present", f"{entries}.idx", body)
     for name, constant in (
         ("names", T.sql_strings(names)),
-        ("bv", _doubles([v for _, v in base])),
-        ("bi", f"CAST(split('{','.join(str(i) for i, _ in base)}', ',') AS ARRAY<INT>)"),
-        ("mean", _doubles(means)),
-        ("coef", _doubles(coefficients)),
+        ("bi", f"CAST(split('{','.join(map(str, base))}', ',') AS ARRAY<INT>)"),
+        ("mean", T.doubles(means)),
+        ("coef", T.doubles(coefficients)),
     ):
         body = T.let(name, constant, body)
     return T.derive(df, {"shap_attributions": body})

@@ -188,7 +188,7 @@ MARKDOWN_MIDDLE = """\
 
 ## 📊 Top Feature Attributions (SHAP)
 
-_These are the model features with the highest influence on the mismatch prediction._
+_Contributions of single features to a linear score of the mismatch; for boosted trees, of a linear model of the same tickets._
 
 """
 MARKDOWN_TABLE = """\
@@ -197,7 +197,7 @@ MARKDOWN_TABLE = """\
 """
 MARKDOWN_ATTRIBUTION = "| {rank} | {name} | `{value}` | {direction} |\n"
 MARKDOWN_NO_ATTRIBUTION = (
-    "_SHAP attributions not available (requires classifier run with --shap flag)._\n"
+    "_SHAP attributions not available: the model was trained without an explainer._\n"
 )
 MARKDOWN_END = """\
 

@@ -10,19 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-import numpy as np
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from prioscope.config import (
-    ENCODED_COLUMNS, FEATURE_DISPLAY_NAMES, SMALL_ROWS, STRUCTURAL_FEATURES, AuditConfig,
+    ENCODED_COLUMNS, FEATURE_DISPLAY_NAMES, STRUCTURAL_FEATURES, AuditConfig,
 )
 from prioscope.functions import text as T
 from prioscope.functions.durable import durable
-from prioscope.functions.ordering import exact_quantiles, number_by, small_or_shuffled
+from prioscope.functions.ordering import broadcast_if_bounded, exact_quantiles, number_by
 from prioscope.operators.signals import num, usable_minutes
 
 ENTRY_TYPE = "ARRAY<STRUCT<idx: INT, weight: DOUBLE>>"
@@ -76,40 +75,32 @@ class TfidfModel:
         """The vocabulary in index order: at most ``tfidf_max_features`` rows."""
         return self.vocabulary.select("term", "idf").orderBy("idx").collect()
 
-    def transform(self, df: DataFrame, key: str = "ticket_id",
-                  text: str = "full_text") -> DataFrame:
-        """``key`` and ``entries``: the L2-normalised weights of the row, by index.
+    def with_entries(self, df: DataFrame, name: str = "entries", text: str = "full_text") -> DataFrame:
+        """Add the L2-normalised weights of the row's terms, by index: (1 + ln tf) x idf.
 
-        The table form of the weights, for joins and reports; vectors for the model
-        are built row by row in ``FeatureModel``. ``key`` must identify a row. All terms of a row are in one partition, so the
-        grouping combines them before the shuffle. Rows without any known term are
-        absent from the result.
+        Row by row, without a shuffle: terms are looked up by hash in the vocabulary. An
+        id that repeats is two rows. Rows without any known term have no entries.
         """
-        known = F.broadcast(self.vocabulary.select("term", "idx", "idf"))  # tfidf_max_features rows
-        gathered = (
-            df.selectExpr(key, f"explode_outer({T.terms(text)}) AS term")
-            .join(known, "term")
-            .groupBy(key)
-            .agg(F.expr("sort_array(collect_list(struct(idx, idf)))").alias("g"))
-        )
-        starts = (
-            "filter(sequence(0, size(g) - 1), "
-            "i -> i = 0 OR get(g, i).idx <> get(g, i - 1).idx)"
-        )
-        weights = T.let("st", starts, (
-            "transform(st, (s, j) -> named_struct('idx', get(g, s).idx, 'weight', "
-            "(1D + ln(coalesce(get(st, j + 1), size(g)) - s)) * get(g, s).idf))"
+        terms = self.terms()
+        if not terms:
+            return df.withColumn(name, F.expr(f"CAST(array() AS {ENTRY_TYPE})"))
+        counted = CountVectorizerModel.from_vocabulary(
+            [t.term for t in terms], inputCol="_terms", outputCol="_counts", minTF=1.0
+        ).transform(T.derive(df, {"_terms": T.terms(text)})).withColumn("_u", F.unwrap_udt("_counts"))
+        weights = T.let("idf", T.doubles([t.idf for t in terms]), (
+            "zip_with(_u.indices, _u.values, (i, tf) -> "
+            "named_struct('idx', i, 'weight', (1D + ln(tf)) * get(idf, i)))"
         ))
         norm = "sqrt(aggregate(e, 0D, (acc, x) -> acc + x.weight * x.weight))"
         scaled = T.let("e", weights, T.let("norm", norm, (
             "transform(e, x -> named_struct('idx', x.idx, 'weight', x.weight / norm))"
         )))
-        return gathered.selectExpr(key, f"CAST({scaled} AS {ENTRY_TYPE}) AS entries")
+        return T.derive(counted, {name: f"CAST({scaled} AS {ENTRY_TYPE})"}).drop("_terms", "_counts", "_u")
 
     def weights(self, df: DataFrame, key: str = "ticket_id",
                 text: str = "full_text") -> DataFrame:
         """The same as one row per (key, idx)."""
-        return self.transform(df, key, text).selectExpr(
+        return self.with_entries(df.select(key, text), "entries", text).selectExpr(
             key, "inline_outer(entries)").filter("idx IS NOT NULL")
 
 
@@ -140,8 +131,7 @@ def category_value(column: str) -> str:
     return f"lower({T.strip(f'coalesce(CAST({column} AS STRING), {T.sql_string("unknown")})')})"
 
 
-def fit_encoders(df: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS,
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
+def fit_encoders(df: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS) -> DataFrame:
     """(column, value, code): codes follow the order of the distinct values.
 
     ``distinct`` combines before its shuffle, so a value of most rows stays one row.
@@ -149,31 +139,30 @@ def fit_encoders(df: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS,
     pairs = ", ".join(
         f"named_struct('column', '{c}', 'value', {category_value(c)})" for c in columns
     )
-    values = durable(df.selectExpr(f"inline(array({pairs}))").distinct())
-    if values.count() <= small_rows:
-        code = F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1
-        return values.withColumn("code", code.cast("int"))
-    placed = durable(number_by(values, ["column", "value"], "_at", small_rows))
+    values = df.selectExpr(f"inline(array({pairs}))").distinct()
+    placed = number_by(values, ["column", "value"], "_at")
     first = placed.groupBy("column").agg(F.min("_at").alias("_first"))  # one row per column
     return placed.join(F.broadcast(first), "column").select(
         "column", "value", (F.col("_at") - F.col("_first")).cast("int").alias("code")
     )
 
 
-def encode(df: DataFrame, encoders: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS,
-           small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Add ``<column>_enc``; unseen values take the code of 'unknown', else 0."""
-    fallback = {
-        r["column"]: r["code"]
-        for r in encoders.filter("value = 'unknown'").collect()  # at most one per column
-    }
+def encode(df: DataFrame, encoders: DataFrame, columns: tuple[str, ...] = ENCODED_COLUMNS) -> DataFrame:
+    """Add ``<column>_enc``; unseen values take the code of 'unknown', else 0.
+
+    One small job reads the size and the fallback of every column's table.
+    """
+    facts = {r["column"]: r for r in encoders.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("value") == "unknown", F.col("code"))).alias("unknown")
+    ).collect()}
     for c in columns:
         codes = encoders.filter(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code"))
+        known = facts.get(c)
         df = (
             T.derive(df, {"_value": category_value(c)})
-            .join(small_or_shuffled(codes, small_rows), "_value", "left")
-            .withColumn(f"{c}_enc", F.coalesce("_code", F.lit(fallback.get(c, 0))))
+            .join(broadcast_if_bounded(codes, known["n"] if known else 0), "_value", "left")
+            .withColumn(f"{c}_enc", F.coalesce("_code", F.lit((known["unknown"] if known else 0) or 0)))
             .drop("_value", "_code")
         )
     return df
@@ -193,17 +182,18 @@ class FeatureStats:
     resolution_median: float | None
 
     @classmethod
-    def fit(cls, df: DataFrame, small_rows: int = SMALL_ROWS) -> FeatureStats:
+    def fit(cls, df: DataFrame) -> FeatureStats:
         narrow = df.selectExpr(
             "csat_numeric AS csat",
             f"{usable_minutes('first_response_minutes')} AS response",
             f"{usable_minutes('resolution_time_minutes')} AS resolution",
         )
-        ends = narrow.agg(F.min("csat").alias("lo"), F.max("csat").alias("hi")).first()
-        medians = exact_quantiles(
-            narrow, {"csat": [0.5], "response": [0.5], "resolution": [0.5]}, small_rows
-        )
-        return cls(ends.lo, ends.hi, medians["csat"][0], medians["response"][0],
+        facts = narrow.agg(*[
+            f(c).alias(f"{name}_{c}") for c in narrow.columns
+            for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
+        ]).first().asDict()
+        medians = exact_quantiles(narrow, {c: [0.5] for c in narrow.columns}, facts)
+        return cls(facts["lo_csat"], facts["hi_csat"], medians["csat"][0], medians["response"][0],
                    medians["resolution"][0])
 
 
@@ -234,10 +224,9 @@ def structural_sql(stats: FeatureStats) -> dict[str, str]:
 
 
 def structural_features(df: DataFrame, stats: FeatureStats, encoders: DataFrame,
-                        keep: tuple[str, ...] = ("ticket_id",),
-                        small_rows: int = SMALL_ROWS) -> DataFrame:
+                        keep: tuple[str, ...] = ("ticket_id",)) -> DataFrame:
     """``keep`` and the 15 unscaled structural features, all doubles."""
-    return encode(df, encoders, small_rows=small_rows).selectExpr(
+    return encode(df, encoders).selectExpr(
         *keep, *[f"{sql} AS {c}" for c, sql in structural_sql(stats).items()]
     )
 
@@ -250,9 +239,8 @@ class RobustScaling:
     scales: dict[str, float]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: tuple[str, ...] = STRUCTURAL_FEATURES,
-            small_rows: int = SMALL_ROWS) -> RobustScaling:
-        quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns}, small_rows)
+    def fit(cls, df: DataFrame, columns: tuple[str, ...] = STRUCTURAL_FEATURES) -> RobustScaling:
+        quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
         spread = {c: (q[2] or 0.0) - (q[0] or 0.0) for c, q in quartiles.items()}
         return cls(
             {c: q[1] or 0.0 for c, q in quartiles.items()},
@@ -294,40 +282,27 @@ def humanised_name(name: str) -> str:
     )
 
 
-def assemble_vector(idf: list[float], size: int):
-    """Term counts and dense features to one sparse ML vector, text weights first.
+VECTOR = StructType([StructField("v", VectorUDT())])
 
-    Spark has no SQL function that builds sparse vectors, hence a Python function;
-    it only touches the terms the row has.
-    """
-    term_idf = np.array(idf)
-    offset = len(term_idf)
-
-    @F.udf(VectorUDT())
-    def assemble(counts, dense):
-        weights = (1.0 + np.log(counts.values)) * term_idf[counts.indices]
-        norm = np.sqrt((weights * weights).sum())
-        tail = np.array(dense, dtype=float)
-        present = np.flatnonzero(tail)
-        return SparseVector(
-            size,
-            np.concatenate([counts.indices, offset + present]),
-            np.concatenate([weights / norm if norm > 0 else weights, tail[present]]),
-        )
-
-    return assemble
 
+def as_vector(indices: str, values: str, size: int):
+    """A sparse ML vector column from SQL expressions for its indices and values.
 
-def vector_entries(vector: str) -> Column:
-    """The non-zero features of a vector column, by index."""
-    entry = StructType([StructField("idx", IntegerType()), StructField("weight", DoubleType())])
+    SQL has no cast to a vector, but the JSON reader builds one from its four fields;
+    numbers keep all their digits on the way.
+    """
+    fields = F.expr(
+        f"named_struct('v', named_struct('type', 0Y, 'size', {size}, "
+        f"'indices', {indices}, 'values', {values}))"
+    )
+    return F.from_json(F.to_json(fields), VECTOR)["v"]
 
-    # local functions travel to the workers whole: they need not have this package
-    @F.udf(ArrayType(entry))
-    def entries(v):
-        return [(int(i), float(x)) for i, x in zip(v.indices, v.values)]
 
-    return entries(vector)
+def with_vector_entries(df: DataFrame, vector: str = "features", name: str = "entries") -> DataFrame:
+    """Add the non-zero features of a sparse vector column, by index."""
+    zipped = "zip_with(_v.indices, _v.values, (i, x) -> named_struct('idx', i, 'weight', x))"
+    return T.derive(df.withColumn("_v", F.unwrap_udt(vector)), {
+        name: f"CAST({zipped} AS {ENTRY_TYPE})"}).drop("_v")
 
 
 @dataclass(frozen=True)
@@ -349,23 +324,19 @@ class FeatureModel:
         """``df`` is read several times: give a durable table when it is costly."""
         if "full_text" not in df.columns:
             raise ValueError("Features need the full_text column.")
-        stats = FeatureStats.fit(df, config.small_rows)
-        encoders = durable(fit_encoders(df, small_rows=config.small_rows))
-        raw = durable(structural_features(df, stats, encoders, (), config.small_rows))
+        stats = FeatureStats.fit(df)
+        encoders = durable(fit_encoders(df))
+        raw = durable(structural_features(df, stats, encoders, ()))
         dim = 0
         if "embedding" in df.columns:
             dim = df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
         return cls(
             TfidfModel.fit(df, config), stats, encoders,
-            RobustScaling.fit(raw, small_rows=config.small_rows), max(dim, 0),
+            RobustScaling.fit(raw), max(dim, 0),
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``features``. No shuffle: fitted tables are broadcast, rows stay in place."""
-        terms = self.tfidf.terms()
-        counter = CountVectorizerModel.from_vocabulary(
-            [t.term for t in terms], inputCol="_terms", outputCol="_counts", minTF=1.0
-        )
         dense = ", ".join(
             self.scaling.scaled(c, sql) for c, sql in structural_sql(self.stats).items()
         )
@@ -375,12 +346,13 @@ class FeatureModel:
         else:
             dense = f"array({dense})"
         codes = [f"{c}_enc" for c in ENCODED_COLUMNS]
-        counted = counter.transform(
-            T.derive(encode(df, self.encoders), {"_terms": T.terms("full_text"), "_dense": dense})
-        )
-        build = assemble_vector([t.idf for t in terms], self.size)
-        return counted.withColumn("features", build("_counts", "_dense")).drop(
-            "_terms", "_counts", "_dense", *codes)
+        rows = self.tfidf.with_entries(T.derive(encode(df, self.encoders), {"_dense": dense}), "_entries")
+        rows = T.derive(rows, {"_present": "filter(sequence(0, size(_dense) - 1), j -> get(_dense, j) <> 0)"})
+        indices = f"concat(_entries.idx, transform(_present, j -> j + {self.tfidf.size}))"
+        present = T.let("d", "_dense", "transform(_present, j -> get(d, j))")
+        return rows.withColumn(
+            "features", as_vector(indices, f"concat(_entries.weight, {present})", self.size)
+        ).drop("_entries", "_dense", "_present", *codes)
 
     def names(self) -> list[str]:
         """Feature names in vector order: as many as the model has features."""

@@ -4,59 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from prioscope.config import SMALL_ROWS
-from prioscope.functions.durable import durable
-from prioscope.functions.ordering import small_or_shuffled
+from prioscope.functions.ordering import number_by
 
 
 def stratified_folds(df: DataFrame, label: str = "is_mismatch", key: str = "ticket_id",
-                     folds: int = 5, seed: int = 42, hot_rows: int = SMALL_ROWS) -> DataFrame:
+                     folds: int = 5, seed: int = 42) -> DataFrame:
     """Add ``fold``: the rank of the row's hash within its class, modulo ``folds``.
 
-    Fold sizes differ by at most one per class. The rank is the number of rows in
-    earlier hash ranges (4096 per class, so that no class is one sort) plus the
-    rank within the range. Distinct ids spread evenly over the ranges; a range that
-    is much larger than the others holds an id with very many copies, and its rows
-    are ranked per input partition instead. ``df`` is read twice: give a durable,
-    narrow table.
+    Fold sizes differ by at most one per class. Rows are ordered by class, by the hash of
+    their id, and for a repeated id by a hash of the row, in ranges over all tasks; a class
+    or an id that a third of the rows share is many ranges. Nothing depends on how rows are
+    partitioned, except which of several equal rows gets which fold.
     """
-    spark = df.sparkSession
-    hashed = df.withColumn(
-        "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ).withColumn("_range", F.substring("_h", 1, 3))
-    group = [label, "_range", "_shard"]
-
-    # at most 4096 rows per class
-    counts = hashed.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n")).collect()
-    usual = sum(r["_n"] for r in counts) / 4096
-    hot = [r for r in counts if r["_n"] > 2 * usual + hot_rows]
-    if hot:
-        names = [f"{r[label]}:{r['_range']}" for r in hot]
-        is_hot = F.concat_ws(":", F.col(label).cast("string"), "_range").isin(names)
-        ranged = durable(hashed.withColumn(
-            "_shard", F.when(is_hot, F.spark_partition_id()).otherwise(-1)))
-        sizes = ranged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        ranged = hashed.withColumn("_shard", F.lit(-1))
-        sizes = spark.createDataFrame(
-            [(r[label], r["_range"], -1, r["_n"]) for r in counts],
-            StructType([df.schema[label], StructField("_range", StringType()),
-                        StructField("_shard", IntegerType()), StructField("_n", LongType())]),
-        )
-
-    earlier = (
-        Window.partitionBy(label).orderBy("_range", "_shard")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(*group, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("_h"))
+    hashed = df.withColumns({
+        "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))),
+        "_c": F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith(("map", "vector"))]),
+        "_m": F.monotonically_increasing_id(),
+    })
+    placed = number_by(hashed, [label, "_h", "_c", "_m"], "_at")
+    first = placed.groupBy(label).agg(F.min("_at").alias("_first"))
     return (
-        ranged.withColumn("_rank", rank)
-        # 4096 rows per class, and one per hot range and input partition
-        .join(small_or_shuffled(offsets) if hot else F.broadcast(offsets), group)
-        .withColumn("fold", ((F.col("_off") + F.col("_rank") - 1) % folds).cast("int"))
+        placed.join(F.broadcast(first), label)  # one row per class
+        .withColumn("fold", ((F.col("_at") - F.col("_first")) % folds).cast("int"))
         .select(*df.columns, "fold")
     )
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prioscope.config import SMALL_ROWS
 from prioscope.functions import text as T
 from prioscope.functions.ordering import number_by, number_rows
 from prioscope.sources.tickets import check_required_columns, resolve_columns, standardise
@@ -40,12 +39,9 @@ def with_numbers(df: DataFrame, seconds_per_plain_unit: float = 1.0) -> DataFram
     })
 
 
-def synthetic_ids(df: DataFrame, order: list | None = None,
-                  small_rows: int = SMALL_ROWS) -> DataFrame:
+def synthetic_ids(df: DataFrame, order: list | None = None) -> DataFrame:
     """``TKT-000000``, ``TKT-000001``, ... by row order, or by ``order`` if given."""
-    numbered = (
-        number_by(df, order, "_position", small_rows) if order else number_rows(df, "_position")
-    )
+    numbered = number_by(df, order, "_position") if order else number_rows(df, "_position")
     return numbered.withColumn(
         "ticket_id", F.format_string("TKT-%06d", F.col("_position"))
     ).drop("_position")

@@ -138,8 +138,7 @@ def _phrase_hits() -> str:
     )
     # cutting one match out of the text costs its distance from the start
     all_matched = (
-        f"IF(size(hs) > {BLOCK}, regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0), "
-        "CAST(array() AS ARRAY<STRING>))"
+        "regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0)"
     )
     matched = (
         "IF(size(ms) = size(hs), get(ms, occ), substring(r.text, h.char_pos + 1, e.n_chars))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prioscope.config import LEVELS, SMALL_ROWS
+from prioscope.config import LEVELS
 from prioscope.functions import text as T
 from prioscope.functions.ordering import running_totals
 from prioscope.operators.signals import num
@@ -28,21 +28,20 @@ def score_histogram(df: DataFrame, label: str = LABEL, probability: str = PROBAB
 
 
 def auc(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY,
-        by: list[str] | None = None, small_rows: int = SMALL_ROWS) -> DataFrame:
+        by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; null if a class is absent."""
     hist = score_histogram(df, label, probability, by)
-    cumulated = running_totals(hist, "score", ["neg"], by, small_rows)
+    cumulated = running_totals(hist, "score", ["neg"], by)
     wins = "sum(CAST(pos AS DOUBLE) * (neg_before + neg / 2D))"
     return cumulated.groupBy(*(by or [])).agg(
         F.expr(f"try_divide({wins}, CAST(sum(pos) AS DOUBLE) * sum(neg))").alias("auc")
     )
 
 
-def roc_curve(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY,
-              small_rows: int = SMALL_ROWS) -> DataFrame:
+def roc_curve(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY) -> DataFrame:
     """A point per distinct score, counting rows at or above it, plus the origin."""
     hist = score_histogram(df, label, probability)
-    cumulated = running_totals(hist, "score", ["pos", "neg"], None, small_rows)
+    cumulated = running_totals(hist, "score", ["pos", "neg"])
     totals = cumulated.selectExpr("sum(pos) AS p", "sum(neg) AS n").first()
     points = cumulated.selectExpr(
         f"try_divide(CAST({totals.n} - neg_before AS DOUBLE), {totals.n}) AS fpr",
@@ -131,15 +130,14 @@ def classification_report(df: DataFrame, threshold: float = 0.5, label: str = LA
     ]) + "))")
 
 
-def fold_metrics(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY,
-                 small_rows: int = SMALL_ROWS) -> DataFrame:
+def fold_metrics(df: DataFrame, label: str = LABEL, probability: str = PROBABILITY) -> DataFrame:
     """Per fold: AUC, and the scores at the fold's own best threshold."""
     best = T.derive(sweep_arrays(df, label, probability, ["fold"]), {"_b": best_step()})
     scores = best.selectExpr(
         "fold", "_b.f1 AS f1", "_b.precision AS precision", "_b.recall AS recall",
         "squared_error / (n_positive + n_negative) AS brier", "_b.threshold AS threshold",
     )
-    areas = auc(df, label, probability, ["fold"], small_rows)
+    areas = auc(df, label, probability, ["fold"])
     return areas.join(F.broadcast(scores), "fold").select(
         "fold", "auc", "f1", "precision", "recall", "brier", "threshold"
     )  # one row per fold on both sides
@@ -189,7 +187,7 @@ def adversarial_slices(df: DataFrame) -> DataFrame:
         df.groupBy("priority").agg(
             F.count(F.lit(1)).alias("n"),
             F.round(100 * F.avg(LABEL), 2).alias("mismatch_pct"),
-            F.round(F.avg(PROBABILITY), 4).alias("mean_prob"),
+            F.round(F.avg(F.nanvl(PROBABILITY, F.lit(None).cast("double"))), 4).alias("mean_prob"),
             (F.min(LABEL) != F.max(LABEL)).alias("_both"),
         )
         .filter("n > 10 AND _both").drop("_both")
@@ -201,7 +199,7 @@ def sanity_checks(df: DataFrame) -> DataFrame:
     facts = df.selectExpr(
         f"avg({LABEL}) AS balance",
         f"CAST(count_if(nanvl({PROBABILITY}, CAST(NULL AS DOUBLE)) IS NULL) AS DOUBLE) AS missing",
-        "avg(CAST(severity_confidence < 0.40D AS DOUBLE)) AS unsure",
+        "count_if(severity_confidence < 0.40D) / count(1) AS unsure",  # of all rows, nulls too
         "CAST(count_if(include_in_training) AS DOUBLE) AS n_train",
     )
 

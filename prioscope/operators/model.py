@@ -6,6 +6,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from statistics import median_high
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -36,20 +37,40 @@ def weighted(df: DataFrame, label: str = LABEL) -> DataFrame:
                          "label": f"CAST({label} AS DOUBLE)"})
 
 
-def learner(booster: BoosterConfig, seed: int, validation: str | None = None):
+def learner(booster: BoosterConfig, seed: int, rounds: int | None = None):
+    """The learner of a config; ``rounds`` fixes the number of boosting rounds."""
     if booster.learner == "logistic":
         return LogisticRegression(
             featuresCol="features", labelCol="label", weightCol="weight",
-            maxIter=min(booster.max_iter, 100), regParam=0.01,
+            maxIter=booster.max_iter, regParam=booster.ridge,
         )
-    gbt = GBTClassifier(
+    return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight",
-        maxIter=booster.max_iter, stepSize=booster.step_size, maxDepth=booster.max_depth,
+        maxIter=rounds or booster.max_iter, stepSize=booster.step_size, maxDepth=booster.max_depth,
         minInstancesPerNode=booster.min_instances_per_node,
         subsamplingRate=booster.subsampling_rate, featureSubsetStrategy=booster.feature_subset,
-        validationTol=booster.validation_tol, maxMemoryInMB=booster.max_memory_mb, seed=seed,
+        maxMemoryInMB=booster.max_memory_mb, seed=seed,
     )
-    return gbt.setValidationIndicatorCol(validation) if validation else gbt
+
+
+def fit_patiently(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple:
+    """The model with the round count of least loss on ``held``, and that count.
+
+    The loss must not have improved for ``patience`` rounds after it, or ``max_iter`` must
+    be reached. Spark's own early stop ends at the first round without improvement, so
+    rounds are doubled until the condition holds; a seed gives the same first trees again.
+    """
+    if booster.learner == "logistic":
+        return learner(booster, seed).fit(train), None
+    rounds = min(booster.max_iter, 2 * booster.patience)
+    while True:
+        model = learner(booster, seed, rounds).fit(train)
+        losses = model.evaluateEachIteration(held)
+        best = min(range(rounds), key=lambda k: losses[k]) + 1
+        if best + booster.patience <= rounds or rounds == booster.max_iter:
+            break
+        rounds = min(booster.max_iter, 2 * rounds)
+    return (model if best == rounds else learner(booster, seed, best).fit(train)), best
 
 
 def score(model, df: DataFrame, name: str) -> DataFrame:
@@ -67,19 +88,17 @@ def in_parallel(spark: SparkSession, tasks: list, width: int = 4) -> list:
 
 
 def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Score every row with the model that was trained without its fold."""
-    booster = config.booster
+    """Score every row with the model that was trained without its fold.
+
+    ``rounds`` is the number of boosting rounds that the fold chose; null for the linear learner.
+    """
 
     def one(fold: int) -> DataFrame:
-        train = T.derive(weighted(df.filter(F.col("fold") != fold)), {"held_out": "false"})
-        held = T.derive(df.filter(F.col("fold") == fold),
-                        {"weight": "1D", "label": f"CAST({LABEL} AS DOUBLE)", "held_out": "true"})
-        if booster.learner == "logistic":
-            model = learner(booster, config.seed).fit(train)
-        else:
-            # the held-out fold also tells the booster when to stop
-            model = learner(booster, config.seed, "held_out").fit(train.unionByName(held))
-        return score(model, held, "mismatch_probability").drop("weight", "label", "held_out")
+        train = weighted(df.filter(F.col("fold") != fold))
+        held = df.filter(F.col("fold") == fold)
+        marked = T.derive(held, {"weight": "1D", "label": f"CAST({LABEL} AS DOUBLE)"})
+        model, rounds = fit_patiently(train, marked, config.booster, config.seed)
+        return score(model, held, "mismatch_probability").withColumn("rounds", F.lit(rounds).cast("int"))
 
     scored = in_parallel(df.sparkSession, [lambda f=f: one(f) for f in range(config.cv_folds)])
     return reduce(DataFrame.unionByName, scored)
@@ -97,19 +116,24 @@ def calibrate(model, held: DataFrame) -> IsotonicRegressionModel:
     return IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="n").fit(merged)
 
 
-def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig()) -> list[tuple]:
-    """Per calibration fold: a model of the other folds, and its calibration on this one."""
-    parts = config.calibration_folds
-    split = durable(stratified_folds(
-        df.withColumnRenamed("fold", "_cv") if "fold" in df.columns else df,
-        LABEL, "ticket_id", parts, config.seed + 1))
+def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig(),
+                   rounds: int | None = None) -> list[tuple]:
+    """Per calibration fold: a model of the other folds, and its calibration on this one.
+
+    ``df`` has the calibration fold in ``part``. ``rounds`` is the number of boosting rounds
+    that the validation folds chose; without it, each model looks for its own.
+    """
 
     def one(part: int) -> tuple:
-        model = learner(config.booster, config.seed).fit(
-            weighted(split.filter(F.col("fold") != part)))
-        return model, calibrate(model, split.filter(F.col("fold") == part))
+        train, held = weighted(df.filter(F.col("part") != part)), df.filter(F.col("part") == part)
+        if rounds:
+            model = learner(config.booster, config.seed, rounds).fit(train)
+        else:
+            marked = T.derive(held, {"weight": "1D", "label": f"CAST({LABEL} AS DOUBLE)"})
+            model, _ = fit_patiently(train, marked, config.booster, config.seed)
+        return model, calibrate(model, held)
 
-    return in_parallel(df.sparkSession, [lambda p=p: one(p) for p in range(parts)])
+    return in_parallel(df.sparkSession, [lambda p=p: one(p) for p in range(config.calibration_folds)])
 
 
 def score_calibrated(pairs: list[tuple], df: DataFrame) -> DataFrame:
@@ -144,7 +168,7 @@ class MismatchModel:
         """Add the top attributions of every given row, without a shuffle."""
         if not self.coefficients:
             raise ValueError("The model was trained without an explainer.")
-        rows = self.features.transform(df).withColumn("entries", FE.vector_entries("features"))
+        rows = FE.with_vector_entries(self.features.transform(df))
         return with_attributions(
             rows, self.features.names(), self.coefficients, self.means, config.top_attributions
         ).drop("features", "entries")
@@ -177,16 +201,22 @@ class MismatchModel:
         )
 
 
-def explain(df: DataFrame) -> tuple[list[float], list[float]]:
-    """Coefficients of a linear model of the same rows, and the feature means.
+def explain(df: DataFrame, pairs: list[tuple], config: AuditConfig = AuditConfig()) -> tuple[list[float], list[float]]:
+    """Coefficients to explain scores with, and the feature means: two numbers per feature.
 
-    They are two numbers per feature, and give exact attributions of that model.
+    For the linear learner they are the means of the scoring models' own coefficients. For
+    boosted trees they are those of a linear model of the same rows, a stand-in.
     """
-    model = LogisticRegression(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=50, regParam=0.01
-    ).fit(weighted(df))
+    if config.booster.learner == "logistic":
+        models = [model for model, _ in pairs]
+    else:
+        models = [LogisticRegression(
+            featuresCol="features", labelCol="label", weightCol="weight",
+            maxIter=config.booster.explainer_iter, regParam=config.booster.ridge,
+        ).fit(weighted(df))]
     mean = df.select(Summarizer.mean(F.col("features"))).first()[0]
-    return [float(x) for x in model.coefficients.toArray()], [float(x) for x in mean.toArray()]
+    own = sum(m.coefficients.toArray() for m in models) / len(models)
+    return [float(x) for x in own], [float(x) for x in mean.toArray()]
 
 
 def check_training_size(df: DataFrame, config: AuditConfig = AuditConfig()) -> None:
@@ -198,11 +228,16 @@ def check_training_size(df: DataFrame, config: AuditConfig = AuditConfig()) -> N
 
 
 def prepare_training(rows: DataFrame, config: AuditConfig = AuditConfig()):
-    """The fitted feature model, and the durable table of vectors with their folds."""
+    """The fitted feature model, and the durable table of vectors with both kinds of folds.
+
+    ``fold`` is for validation, ``part`` for calibration. Folds are assigned before vectors
+    are made: the tables that are sorted for them hold texts, not vectors.
+    """
     model = FE.FeatureModel.fit(rows, config)
-    vectors = durable(model.transform(rows).select("ticket_id", LABEL, "features"))
-    return model, durable(
-        stratified_folds(vectors, LABEL, "ticket_id", config.cv_folds, config.seed))
+    folds = stratified_folds(rows, LABEL, "ticket_id", config.calibration_folds, config.seed + 1)
+    folds = stratified_folds(
+        folds.withColumnRenamed("fold", "part"), LABEL, "ticket_id", config.cv_folds, config.seed)
+    return model, durable(model.transform(folds).select("ticket_id", LABEL, "fold", "part", "features"))
 
 
 def train(labelled: DataFrame, config: AuditConfig = AuditConfig(),
@@ -215,9 +250,11 @@ def train(labelled: DataFrame, config: AuditConfig = AuditConfig(),
     check_training_size(rows, config)
     feature_model, table = prepare_training(rows, config)
     oof = durable(out_of_fold(table, config).select(
-        "ticket_id", LABEL, "fold", "mismatch_probability"))
+        "ticket_id", LABEL, "fold", "rounds", "mismatch_probability"))
     folds = durable(M.fold_metrics(oof))
     threshold = M.fold_threshold_median(folds).first().threshold
-    pairs = fit_calibrated(table, config)
-    coefficients, means = explain(table) if explainer else ([], [])
+    # a number a fold; null for the linear learner
+    rounds = [r.rounds for r in oof.select("fold", "rounds").distinct().collect() if r.rounds]
+    pairs = fit_calibrated(table, config, int(median_high(rounds)) if rounds else None)
+    coefficients, means = explain(table, pairs, config) if explainer else ([], [])
     return MismatchModel(feature_model, pairs, threshold, folds, oof, coefficients, means)

@@ -66,7 +66,7 @@ def infer_severity(df: DataFrame, stats: S.StructuralStats | None = None,
     """
     use_model = set(LABEL_PROBABILITY_WEIGHTS) <= set(df.columns)
     if stats is None:
-        stats = S.StructuralStats.fit(df, config.small_rows)
+        stats = S.StructuralStats.fit(df)
     used = [c for c in SIGNALS if use_model or c != "nli_severity_score"]
     scored = T.derive(with_signals(df, stats, config, valence), {
         "inferred_severity_score": severity_score(config, use_model),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prioscope.config import LABEL_PROBABILITY_WEIGHTS, SMALL_ROWS, AuditConfig
+from prioscope.config import LABEL_PROBABILITY_WEIGHTS, AuditConfig
 from prioscope.functions import text as T
 from prioscope.functions.ordering import exact_quantiles
 
@@ -64,11 +65,10 @@ class StructuralStats:
         return df.selectExpr(*parts)
 
     @classmethod
-    def fit(cls, df: DataFrame, small_rows: int = SMALL_ROWS) -> StructuralStats:
+    def fit(cls, df: DataFrame) -> StructuralStats:
         facts = cls.aggregate(df).first().asDict()
-        median = exact_quantiles(
-            df, {"csat_numeric": [0.5]}, small_rows, rows=facts["csat_n"]
-        )["csat_numeric"][0]
+        known = {f"{k}_csat_numeric": facts[f"csat_{v}"] for k, v in (("n", "n"), ("lo", "min"), ("hi", "max"))}
+        median = exact_quantiles(df, {"csat_numeric": [0.5]}, known)["csat_numeric"][0]
         return cls(csat_median=median, **facts)
 
 
@@ -105,15 +105,34 @@ def structural_score(stats: StructuralStats, min_rows: int = 10) -> str:
 def sentiment_compound(text: str, valence: Mapping[str, float]) -> str:
     """Sum of token valences s, normalised to s / sqrt(s*s + 15).
 
-    The valence dictionary is a literal in the plan; the row's tokens are first
-    intersected with it, so the lookups are few whatever the text length.
+    For a dictionary of a few dozen words: each token is looked up once in a literal.
+    ``with_sentiment_compound`` takes a table of any size.
     """
-    table = ", ".join(f"{T.sql_string(w)}, {num(v)}" for w, v in valence.items())
+    total = f"aggregate(w, 0D, (acc, t) -> acc + coalesce({T.sql_case('t', {w: num(v) for w, v in valence.items()}, raw=True)}, 0D))"
+    return T.let("s", T.let("w", T.tokens(text), total), "s / sqrt(s * s + 15D)")
+
+
+def with_sentiment_compound(df: DataFrame, valence: DataFrame, text: str = "full_text",
+                            name: str = "compound") -> DataFrame:
+    """The same from a valence table (word, valence), of any size that fits the driver.
+
+    Tokens are counted by hash lookup in Spark ML's count vectors, so a row costs time
+    linear in its tokens whatever the size of the table. A word that repeats in the
+    table has the sum of its valences.
+    """
+    rows = valence.selectExpr("lower(word) AS word", "CAST(valence AS DOUBLE) AS valence").filter(
+        "word IS NOT NULL AND valence IS NOT NULL"
+    ).groupBy("word").agg(F.sum("valence").alias("valence")).orderBy("word").collect()
+    if not rows:
+        return df.withColumn(name, F.lit(0.0))
+    counted = CountVectorizerModel.from_vocabulary(
+        [r.word for r in rows], inputCol="_tokens", outputCol="_counts", minTF=1.0
+    ).transform(T.derive(df, {"_tokens": T.tokens(text)})).withColumn("_u", F.unwrap_udt("_counts"))
     total = (
-        f"aggregate(array_intersect(w, {T.sql_strings(valence)}), 0D, "
-        f"(acc, k) -> acc + element_at(map({table}), k) * size(filter(w, t -> t = k)))"
+        "aggregate(zip_with(_u.indices, _u.values, (i, n) -> n * get(v, i)), 0D, (acc, x) -> acc + x)"
     )
-    return T.let("s", T.let("w", T.tokens(text), total), "s / sqrt(s * s + 15D)")
+    compound = T.let("s", T.let("v", T.doubles([r.valence for r in rows]), total), "s / sqrt(s * s + 15D)")
+    return T.derive(counted, {name: compound}).drop("_tokens", "_counts", "_u")
 
 
 def sentiment_score(compound: str, text: str) -> str:
@@ -144,11 +163,11 @@ def join_label_probabilities(df: DataFrame, probabilities: DataFrame) -> DataFra
 def score_label_probabilities(df: DataFrame, make_predict: Callable,
                               config: AuditConfig = AuditConfig(),
                               batch_size: int = 8) -> DataFrame:
-    """Run a caller's model over the start of each text, in Arrow batches.
+    """Run a caller's model over each text, in Arrow batches.
 
     ``make_predict`` returns a function from an array of strings to an array of
     shape (n, 4): critical, high, medium, low. It is built once per Python worker.
-    The model's input length limit is the only reason for the cut.
+    It gets the whole text, unless ``model_text_chars`` states the model's input limit.
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, DoubleType
@@ -156,6 +175,8 @@ def score_label_probabilities(df: DataFrame, make_predict: Callable,
     model = predict_batch_udf(
         make_predict, return_type=ArrayType(DoubleType()), batch_size=batch_size
     )
-    scored = df.withColumn("_p", model(F.substring("full_text", 1, config.model_text_chars)))
+    limit = config.model_text_chars
+    text = F.col("full_text") if limit is None else F.substring("full_text", 1, limit)
+    scored = df.withColumn("_p", model(text))
     names = list(LABEL_PROBABILITY_WEIGHTS)
     return T.derive(scored, {c: f"_p[{i}]" for i, c in enumerate(names)}).drop("_p")

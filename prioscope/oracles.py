@@ -650,7 +650,8 @@ ORACLES["top_attributions"] = W(("shown5",), "SELECT * FROM shown5")
 ORACLES["humanised_names"] = W(("vocab",), f"""
 SELECT name, {human('name')} AS human_name FROM (
   SELECT 'tfidf:' || term AS name FROM vocab
-  UNION ALL SELECT * FROM (VALUES ('sbert_0'), ('sbert_1')) s(name)
+  UNION ALL SELECT 'sbert_' || CAST(i AS VARCHAR)
+  FROM (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS i) d
   UNION ALL SELECT name FROM ({_COLUMN_ROWS}) t(i, name)
   UNION ALL SELECT DISTINCT 'order_' || lower(o_orderstatus) || '_flag' FROM orders) t""")
 stage("spans", ("hits",), """
@@ -735,7 +736,7 @@ _MARKDOWN = """'# Ticket Priority Dossier — Ticket ' || ticket_id
 || coalesce(s.spans, '_No direct urgency signals detected in ticket text._' || chr(10) || chr(10))
 || '---' || chr(10) || chr(10)
 || '## 📊 Top Feature Attributions (SHAP)' || chr(10) || chr(10)
-|| '_These are the model features with the highest influence on the mismatch prediction._'
+|| '_Contributions of single features to a linear score of the mismatch; for boosted trees, of a linear model of the same tickets._'
 || chr(10) || chr(10)
 || '| Rank | Feature | SHAP Value | Direction |' || chr(10)
 || '|------|---------|------------|-----------|' || chr(10)
@@ -839,3 +840,32 @@ FROM (
   UNION ALL SELECT 'pseudo_labels', 'in_training', '',
                    count(*) FILTER (WHERE include_in_training) FROM predicted
   UNION ALL SELECT 'predictions', 'mismatches', '', sum(mismatch_predicted) FROM predicted) t""")
+
+# ---------------------------------------- the same results on another way
+for _name, _of in (
+    ("csv_scan", "scan_tickets"), ("sentiment_compound_table", "sentiment_compound"),
+    ("label_prob_join", "label_prob_blend"), ("pseudo_label_roundtrip", "pseudo_labels"),
+):
+    ORACLES[_name] = ORACLES[_of]
+ORACLES["dossier_roundtrip"] = W(
+    ("records",), "SELECT ticket_id, recommended_action AS action, inferred_severity, priority_gap FROM records")
+_SCALED = ", ".join(f"({i}, '{c}', {c})" for i, c in enumerate(STRUCTURAL_FEATURES))
+ORACLES["feature_vector_entries"] = W(("weights", "vocab", "scaled"), f"""
+SELECT ticket_id, CAST(idx AS INTEGER) AS idx, round(value, 6) AS value FROM (
+  SELECT ticket_id, idx, weight AS value FROM weights
+  UNION ALL
+  SELECT CAST(vec_id AS VARCHAR), (SELECT count(*) FROM vocab) + dim, CASE WHEN n > 0 THEN x / n ELSE x END
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n
+        FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x,
+                     generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings) a) b
+  WHERE CAST(vec_id AS VARCHAR) IN (SELECT ticket_id FROM scaled)
+  UNION ALL
+  SELECT ticket_id, (SELECT count(*) FROM vocab) + (SELECT max(len(embedding)) FROM embeddings) + t.i, t.value
+  FROM scaled, LATERAL (VALUES {_SCALED}) t(i, name, value)
+) e WHERE value <> 0""")
+ORACLES["train_predict_checks"] = W(("labelled",), """
+SELECT 'out_of_fold' AS part, fold, count(*) AS n, count(*) AS n_ids, count(*) AS n_in_range
+FROM (SELECT CAST((row_number() OVER (PARTITION BY is_mismatch ORDER BY md5('42:' || ticket_id)) - 1)
+                  % 5 AS INTEGER) AS fold FROM labelled WHERE include_in_training) f GROUP BY fold
+UNION ALL
+SELECT 'scored', NULL, count(*), count(*), count(*) FROM labelled""")

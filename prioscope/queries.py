@@ -6,6 +6,7 @@ them up in another order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, fields
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from prioscope import fixtures as X
 from prioscope.config import STRUCTURAL_FEATURES, AuditConfig, BoosterConfig
 from prioscope.functions import text as T
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import durable, shared_dir
 from prioscope.operators import attribution as A
 from prioscope.operators import evidence as EV
 from prioscope.operators import features as FE
@@ -36,9 +37,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 THRESHOLD = 0.23
+LINEAR = AuditConfig(booster=BoosterConfig(learner="logistic"))
+# boosted trees of full depth with the patient stop, in larger steps: the default step of 0.05
+# takes over a hundred rounds of several jobs each for every fold
+QUICK = AuditConfig(booster=BoosterConfig(step_size=0.3, patience=10))
 DOSSIER_CONFIG = AuditConfig(timestamp="2026-01-01T00:00:00")
-# few rounds: the learner is not what the checks look at
-SMALL_BOOSTER = AuditConfig(booster=BoosterConfig(max_iter=3, max_depth=3))
 
 
 def query(f: Query) -> Query:
@@ -73,6 +76,20 @@ def scan_tickets(spark, sf):
     return ST.standardise(X.raw_tickets(spark, sf))
 
 
+def exported(spark: SparkSession) -> str:
+    """A new folder for an export that the query reads back."""
+    return f"{shared_dir(spark)}/exports/{uuid.uuid4().hex}"
+
+
+@query
+def csv_scan(spark, sf):
+    """The raw table written as CSV and scanned."""
+    path = exported(spark)
+    X.raw_tickets(spark, sf).write.option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return ST.standardise(ST.read_ticket_csv(spark, path))
+
+
 @query
 def required_column_counts(spark, sf):
     return ST.required_column_counts(ST.standardise(X.raw_tickets(spark, sf)))
@@ -197,6 +214,22 @@ def sentiment_compound(spark, sf):
         "ticket_id", f"{SG.sentiment_compound('full_text', X.VALENCE)} AS compound"))
 
 
+@query
+def sentiment_compound_table(spark, sf):
+    """The same from a valence table."""
+    table = spark.createDataFrame(list(X.VALENCE.items()), "word STRING, valence DOUBLE")
+    return rounded(SG.with_sentiment_compound(X.tickets(spark, sf), table).select("ticket_id", "compound"))
+
+
+@query
+def label_prob_join(spark, sf):
+    """The model signal from a table of label probabilities by ticket id."""
+    df = X.tickets(spark, sf)
+    table = X.with_label_probabilities(df).select("ticket_id", *SG.LABEL_PROBABILITY_WEIGHTS)
+    return rounded(SG.join_label_probabilities(df, table).selectExpr(
+        "ticket_id", f"{SG.label_probability_blend()} AS nli_severity_score"))
+
+
 @query
 def sentiment_score(spark, sf):
     df = T.derive(X.tickets(spark, sf),
@@ -255,6 +288,13 @@ def training_set(spark, sf):
         "ticket_id", "priority", "is_mismatch", "pseudo_label_confidence"))
 
 
+@query
+def pseudo_label_roundtrip(spark, sf):
+    path = exported(spark)
+    sinks.write_pseudo_labels(X.labelled(spark, sf), path)
+    return rounded(sinks.read_pseudo_labels(spark, path).select(*LABEL_COLUMNS))
+
+
 @query
 def pseudo_label_summary(spark, sf):
     return rounded(LA.pseudo_label_summary(X.labelled(spark, sf)))
@@ -346,9 +386,16 @@ def _with_embeddings(spark, sf, df):
 @query
 def feature_vectors(spark, sf):
     df = _with_embeddings(spark, sf, durable_labelled(spark, sf))
-    vectors = FE.FeatureModel.fit(df).transform(df)
-    return vectors.select(
-        "ticket_id", F.size(FE.vector_entries("features")).alias("non_zero"), "features")
+    vectors = FE.with_vector_entries(FE.FeatureModel.fit(df).transform(df))
+    return vectors.select("ticket_id", F.size("entries").alias("non_zero"), "features")
+
+
+@query
+def feature_vector_entries(spark, sf):
+    """The vectors as a table: text weights, embedding, scaled columns."""
+    df = _with_embeddings(spark, sf, durable_labelled(spark, sf))
+    vectors = FE.with_vector_entries(FE.FeatureModel.fit(df).transform(df))
+    return rounded(vectors.selectExpr("ticket_id", "inline(entries)").withColumnRenamed("weight", "value"))
 
 
 # --------------------------------------------------------------- classifier
@@ -429,29 +476,42 @@ def isotonic_fit(spark, sf):
 
 def _training_table(spark, sf):
     df = durable_labelled(spark, sf)
-    return MO.prepare_training(LA.training_set(df), SMALL_BOOSTER)[1]
+    return MO.prepare_training(LA.training_set(df), QUICK)[1]
 
 
 @query
 def oof_predictions(spark, sf):
-    scored = MO.out_of_fold(_training_table(spark, sf), SMALL_BOOSTER)
-    return scored.select("ticket_id", "fold", "is_mismatch", "mismatch_probability")
+    scored = MO.out_of_fold(_training_table(spark, sf), QUICK)
+    return scored.select("ticket_id", "fold", "is_mismatch", "rounds", "mismatch_probability")
 
 
 @query
 def calibrated_predict(spark, sf):
     table = _training_table(spark, sf)
-    scored = MO.score_calibrated(MO.fit_calibrated(table, SMALL_BOOSTER), table)
+    scored = MO.score_calibrated(MO.fit_calibrated(table, QUICK), table)
     return scored.select("ticket_id", "is_mismatch", "mismatch_probability")
 
 
 @query
 def train_predict(spark, sf):
     """The whole training with the linear learner, then every ticket scored."""
-    config = AuditConfig(booster=BoosterConfig(learner="logistic", max_iter=20))
     df = durable_labelled(spark, sf)
-    model = MO.train(df, config, explainer=False)
-    return sinks.prediction_columns(model.predict(df)).drop("description")
+    return sinks.prediction_columns(MO.train(df, LINEAR, explainer=False).predict(df))
+
+
+@query
+def train_predict_checks(spark, sf):
+    """What holds for a trained model: rows, ids and probabilities of its folds and scores."""
+    df = durable_labelled(spark, sf)
+    model = MO.train(df, LINEAR, explainer=False)
+
+    def facts(rows, part, fold):
+        return rows.groupBy(F.lit(part).alias("part"), fold.alias("fold")).agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("ticket_id").alias("n_ids"),
+            F.count_if(F.col("mismatch_probability").between(0, 1)).alias("n_in_range"))
+
+    return facts(model.oof, "out_of_fold", F.col("fold")).unionByName(
+        facts(model.predict(df), "scored", F.lit(None).cast("int")))
 
 
 # ---------------------------------------------------- attributions, evidence
@@ -486,8 +546,7 @@ def _attributed(spark, sf, *keep: str) -> DataFrame:
     # the driver gets one number per feature
     means = rows.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
     coefficients = [_coefficient(i) for i in range(model.size)]
-    entries = rows.withColumn("entries", FE.vector_entries("features"))
-    return A.with_attributions(entries, model.names(), coefficients, means)
+    return A.with_attributions(FE.with_vector_entries(rows), model.names(), coefficients, means)
 
 
 @query
@@ -500,7 +559,8 @@ def top_attributions(spark, sf):
 @query
 def humanised_names(spark, sf):
     model = FE.TfidfModel.fit(X.tickets(spark, sf))
-    names = FE.feature_names(model.vocabulary, 2).select("name")
+    dim = X.table(spark, sf, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    names = FE.feature_names(model.vocabulary, dim).select("name")
     extra = X.table(spark, sf, "orders").selectExpr(
         "concat('order_', lower(o_orderstatus), '_flag') AS name").distinct()
     return names.unionByName(extra).selectExpr("name", f"{FE.humanised_name('name')} AS human_name")
@@ -545,6 +605,16 @@ def dossiers(spark, sf):
         f"{spans} AS spans", "ticket_subject", "ticket_snippet")
 
 
+@query
+def dossier_roundtrip(spark, sf):
+    """Documents written out and read back, with a few fields of each record."""
+    path = exported(spark)
+    sinks.write_dossiers(_dossiers(spark, sf), path, DOSSIER_CONFIG)
+    return sinks.read_dossiers(spark, path).selectExpr(
+        "ticket_id", "action", "get_json_object(json, '$.inferred_severity') AS inferred_severity",
+        "CAST(get_json_object(json, '$.priority_gap') AS INT) AS priority_gap")
+
+
 @query
 def dossier_markdown(spark, sf):
     rows = EV.with_markdown(_dossiers(spark, sf, _attributed(spark, sf)), DOSSIER_CONFIG)

@@ -45,8 +45,8 @@ def test_unknown_categories(spark):
 
 def test_row_vectors_agree_with_the_weights_table(labelled):
     model = FE.FeatureModel.fit(labelled)
-    vectors = model.transform(labelled).withColumn("e", FE.vector_entries("features")).selectExpr(
-        "ticket_id", "inline(e)").filter(F.col("idx") < model.tfidf.size)
+    vectors = FE.with_vector_entries(model.transform(labelled)).selectExpr(
+        "ticket_id", "inline(entries)").filter(F.col("idx") < model.tfidf.size)
     table = model.tfidf.weights(labelled)
 
     def rounded(df):
@@ -132,12 +132,29 @@ def test_every_ticket_is_scored_and_attributed(labelled, trained, predictions):
     assert full.filter("size(shap_attributions) <> 5").count() == 0
 
 
-def test_boosted_trees_learn(labelled):
-    config = AuditConfig(booster=BoosterConfig(max_iter=2, max_depth=2), cv_folds=2,
-                         calibration_folds=2)
-    model = MO.train(labelled, config, explainer=False)
-    scored = model.predict(labelled)
-    assert scored.filter("mismatch_probability BETWEEN 0 AND 1").count() == labelled.count()
+def test_default_booster_stops_patiently(spark):
+    """On a table that can be learned it keeps many trees, and they beat two."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 8))
+    p = 1 / (1 + np.exp(-(x[:, 0] * x[:, 1] + np.sin(2 * x[:, 2]) + 0.5 * x[:, 3])))
+    y = (rng.random(3000) < p).astype(int)
+    rows = spark.createDataFrame(
+        [(str(i), int(b), Vectors.dense(a.tolist()), i % 3) for i, (a, b) in enumerate(zip(x, y))],
+        ["ticket_id", "is_mismatch", "features", "fold"]).coalesce(1).cache()
+    train = MO.weighted(rows.filter("fold <> 0")).cache()
+    held = MO.weighted(rows.filter("fold = 0")).cache()
+    booster = BoosterConfig()
+    model, rounds = MO.fit_patiently(train, held, booster, 42)
+    assert rounds == model.getNumTrees > 20
+
+    def area(m):
+        scored = MO.score(m, held, "mismatch_probability")
+        return M.auc(scored.withColumn("is_mismatch", F.col("label").cast("int"))).first().auc
+
+    assert area(model) > area(MO.learner(booster, 42, 2).fit(train)) + 0.01
 
 
 def test_save_and_load(spark, labelled, trained, tmp_path):
@@ -153,6 +170,8 @@ def test_save_and_load(spark, labelled, trained, tmp_path):
                           "ticket_id", "mismatch_probability").collect())
 
     assert scores(again) == scores(trained)
+    again.save(path)  # to the folder it was loaded from
+    assert scores(MO.MismatchModel.load(spark, path)) == scores(trained)
 
 
 def test_action_needs_a_probability_of_forty_percent(spark):

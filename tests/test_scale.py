@@ -24,19 +24,34 @@ def numbers(spark):
 def test_quantiles_by_narrowing(numbers):
     df, rows = numbers
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    small = O.exact_quantiles(df, {c: probs for c in "abc"})
-    large = O.exact_quantiles(df, {c: probs for c in "abc"}, small_rows=0)
+    found = O.exact_quantiles(df, {c: probs for c in "abc"})
     for k, c in enumerate("abc"):
         column = np.array([r[k] for r in rows if r[k] is not None and r[k] == r[k]])
-        want = list(np.quantile(column, probs))
-        assert small[c] == pytest.approx(want)
-        assert large[c] == pytest.approx(want)
+        assert found[c] == pytest.approx(list(np.quantile(column, probs)))
+
+
+@pytest.mark.parametrize("spread", ["infinite", "wide", "one value", "both ends"])
+def test_quantiles_of_any_spread(spark, spread):
+    """Six passes are enough, or the search raises."""
+    rng = np.random.default_rng(5)
+    values = {
+        "infinite": [*rng.normal(size=3000), float("inf")],
+        "wide": [10.0 ** e for e in rng.uniform(-300, 297, 3000)],
+        "one value": [7.25 if i % 3 == 0 else x for i, x in enumerate(rng.normal(size=3000))],
+        "both ends": [float("-inf")] * 1000 + list(rng.normal(size=1500)) + [float("inf")] * 400,
+    }[spread]
+    values = [float(v) for v in values]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = O.exact_quantiles(spark.createDataFrame([(v,) for v in values], "a DOUBLE"), {"a": probs})["a"]
+    ordered = sorted(values)
+    for p, x in zip(probs, got):
+        lo, hi = ordered[int(np.floor(p * (len(values) - 1)))], ordered[int(np.ceil(p * (len(values) - 1)))]
+        assert x == lo if lo == hi else lo <= x <= hi
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "a DOUBLE")
     assert O.exact_quantiles(df, {"a": [0.5]}) == {"a": [None]}
-    assert O.exact_quantiles(df, {"a": [0.5]}, small_rows=0) == {"a": [None]}
 
 
 def test_running_totals(spark):
@@ -44,12 +59,15 @@ def test_running_totals(spark):
         "pmod(hash(id), 3) AS g", "pmod(hash(id, 1), 1000) / 1000D AS score",
         "pmod(hash(id, 2), 5) AS n").groupBy("g", "score").agg(F.sum("n").alias("n"))
     key = ["g", "score", "n", "n_before"]
-    small = O.running_totals(df, "score", ["n"], ["g"]).select(key)
-    large = O.running_totals(df, "score", ["n"], ["g"], small_rows=0).select(key)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    rows = O.running_totals(df, "score", ["n"], ["g"]).select(key).collect()
+    for g in {r.g for r in rows}:
+        before = 0
+        for r in sorted((r for r in rows if r.g == g), key=lambda r: r.score):
+            assert r.n_before == before
+            before += r.n
 
 
-def test_auc_on_both_paths_and_by_hand(spark):
+def test_auc_by_hand(spark):
     rng = np.random.default_rng(2)
     rows = [(int(y), 0.5 if i % 3 == 0 else round(float(p), 3))
             for i, (y, p) in enumerate(zip(rng.integers(0, 2, 900), rng.random(900)))]
@@ -58,7 +76,6 @@ def test_auc_on_both_paths_and_by_hand(spark):
     neg = [p for y, p in rows if not y]
     want = np.mean([[1.0 if p > n else 0.5 if p == n else 0.0 for n in neg] for p in pos])
     assert M.auc(df).first().auc == pytest.approx(want)
-    assert M.auc(df, small_rows=0).first().auc == pytest.approx(want)
 
 
 def test_auc_of_one_class_is_null(spark):
@@ -66,15 +83,14 @@ def test_auc_of_one_class_is_null(spark):
     assert M.auc(df).first().auc is None
 
 
-@pytest.mark.parametrize("hot_rows", [50, 10**6])
-def test_folds_with_a_hot_id(spark, hot_rows):
+def test_folds_with_a_hot_id(spark):
     df = spark.range(0, 3000, 1, 6).selectExpr(
-        "IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS ticket_id",
+        "IF(id % 3 = 0, 'hot', CAST(id AS STRING)) AS ticket_id", "id AS content",
         "CAST(id % 7 = 0 AS INT) AS is_mismatch")
-    from prioscope.functions.durable import durable
-
-    got = FO.stratified_folds(durable(df), hot_rows=hot_rows)
+    got = FO.stratified_folds(df.repartition(2))
     assert got.count() == 3000
+    other = {r.content: r.fold for r in FO.stratified_folds(df.repartition(5)).collect()}
+    assert {r.content: r.fold for r in got.collect()} == other
     for label in (0, 1):
         sizes = [r["count"] for r in
                  got.filter(F.col("is_mismatch") == label).groupBy("fold").count().collect()]
@@ -88,13 +104,12 @@ def test_folds_do_not_depend_on_the_layout(spark):
     assert a == b
 
 
-def test_encoders_on_both_paths(spark, labelled):
-    small = FE.fit_encoders(labelled)
-    large = FE.fit_encoders(labelled, small_rows=0)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
-    a = FE.encode(labelled, small).select("ticket_id", "channel_enc", "status_enc").collect()
-    b = FE.encode(labelled, large, small_rows=0).select(
-        "ticket_id", "channel_enc", "status_enc").collect()
+def test_encoders_by_a_shuffled_join(labelled, monkeypatch):
+    encoders = FE.fit_encoders(labelled)
+    columns = ["ticket_id", "channel_enc", "status_enc"]
+    a = FE.encode(labelled, encoders).select(columns).collect()
+    monkeypatch.setattr(O, "BROADCAST_ROWS", -1)
+    b = FE.encode(labelled, encoders).select(columns).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
@@ -137,3 +152,37 @@ def test_scoring_does_not_move_rows(spark, labelled):
     model = FE.FeatureModel.fit(labelled)
     plan = plan_of(model.transform(labelled))
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_no_row_runs_through_python(spark, labelled):
+    model = FE.FeatureModel.fit(labelled)
+    plan = plan_of(FE.with_vector_entries(model.transform(labelled)))
+    assert "Python" not in plan
+
+
+def test_repeated_ids_are_weighed_row_by_row(spark, labelled):
+    model = FE.TfidfModel.fit(labelled)
+    one = labelled.select("full_text").limit(40)
+    shared = one.selectExpr("'same' AS ticket_id", "full_text")
+    assert model.with_entries(shared).count() == one.count()
+    assert all(abs(sum(e.weight**2 for e in r.entries) - 1) < 1e-9 for r in model.with_entries(shared).collect() if r.entries)
+
+
+def test_tables_of_a_block_are_deleted(spark, tmp_path):
+    import os
+
+    from prioscope.functions import durable as D
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        with D.scratch(keep_last=True):
+            D.durable(spark.range(5))
+            kept = D.durable(spark.range(7))
+        assert kept.count() == 7
+        tables = f"{tmp_path}/tables/{spark.sparkContext.applicationId}"
+        assert len(os.listdir(tables)) == 1
+        D.release(spark)
+        assert not os.path.exists(tables)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")

@@ -74,7 +74,7 @@ def test_ids_are_made_after_the_drop(spark, tmp_path):
 def test_ids_by_order_on_both_paths(spark):
     df = spark.range(0, 500, 1, 7).selectExpr("id", "hash(id) AS k")
     small = {r.id: r.ticket_id for r in synthetic_ids(df, ["k", "id"]).collect()}
-    large = {r.id: r.ticket_id for r in synthetic_ids(df, ["k", "id"], small_rows=0).collect()}
+    large = {r.id: r.ticket_id for r in synthetic_ids(df, ["k", "id"]).collect()}
     assert small == large and len(set(small.values())) == 500
 
 
