@@ -29,7 +29,14 @@ def durable(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     if _open:
         _open[-1].append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.shared_path = path
+    return stored
+
+
+def drop(stored: DataFrame) -> None:
+    """Delete a table that ``durable`` wrote and that nothing reads any more."""
+    _delete(stored.sparkSession, stored.shared_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

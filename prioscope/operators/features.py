@@ -20,7 +20,7 @@ from prioscope.config import (
     ENCODED_COLUMNS, FEATURE_DISPLAY_NAMES, STRUCTURAL_FEATURES, AuditConfig,
 )
 from prioscope.functions import text as T
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import drop, durable
 from prioscope.functions.ordering import broadcast_if_bounded, exact_quantiles, number_by
 from prioscope.operators.signals import num, usable_minutes
 
@@ -327,12 +327,13 @@ class FeatureModel:
         stats = FeatureStats.fit(df)
         encoders = durable(fit_encoders(df))
         raw = durable(structural_features(df, stats, encoders, ()))
+        scaling = RobustScaling.fit(raw)
+        drop(raw)
         dim = 0
         if "embedding" in df.columns:
             dim = df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0]
         return cls(
-            TfidfModel.fit(df, config), stats, encoders,
-            RobustScaling.fit(raw), max(dim, 0),
+            TfidfModel.fit(df, config), stats, encoders, scaling, max(dim, 0),
         )
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -362,8 +363,9 @@ class FeatureModel:
     def save(self, path: str) -> None:
         """Tables for the vocabulary, the encoders and the handful of numbers."""
         spark = self.encoders.sparkSession
-        self.tfidf.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-        self.encoders.write.mode("overwrite").parquet(f"{path}/encoders")
+        # copied first: the model may have been loaded from this folder
+        durable(self.tfidf.vocabulary).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        durable(self.encoders).write.mode("overwrite").parquet(f"{path}/encoders")
         spark.createDataFrame(
             [(c, self.scaling.centers[c], self.scaling.scales[c]) for c in self.scaling.centers],
             "name STRING, center DOUBLE, scale DOUBLE",

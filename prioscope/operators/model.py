@@ -19,7 +19,7 @@ from pyspark.util import inheritable_thread_target
 
 from prioscope.config import AuditConfig, BoosterConfig
 from prioscope.functions import text as T
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import drop, durable
 from prioscope.operators import features as FE
 from prioscope.operators import metrics as M
 from prioscope.operators.attribution import with_attributions
@@ -175,14 +175,16 @@ class MismatchModel:
 
     def save(self, path: str) -> None:
         self.features.save(f"{path}/features")
-        self.folds.write.mode("overwrite").parquet(f"{path}/folds")
-        self.oof.write.mode("overwrite").parquet(f"{path}/oof")
+        # copied first: the model may have been loaded from this folder
+        durable(self.folds).write.mode("overwrite").parquet(f"{path}/folds")
+        oof = durable(self.oof)
+        oof.write.mode("overwrite").parquet(f"{path}/oof")
         for i, (model, calibration) in enumerate(self.pairs):
             PipelineModel([model]).write().overwrite().save(f"{path}/model_{i}")
             calibration.write().overwrite().save(f"{path}/calibration_{i}")
         facts = {"threshold": self.threshold, "n_pairs": len(self.pairs),
                  "coefficients": self.coefficients, "means": self.means}
-        self.oof.sparkSession.createDataFrame(
+        oof.sparkSession.createDataFrame(
             [(json.dumps(facts),)], "facts STRING"
         ).write.mode("overwrite").json(f"{path}/facts")
 
@@ -257,4 +259,5 @@ def train(labelled: DataFrame, config: AuditConfig = AuditConfig(),
     rounds = [r.rounds for r in oof.select("fold", "rounds").distinct().collect() if r.rounds]
     pairs = fit_calibrated(table, config, int(median_high(rounds)) if rounds else None)
     coefficients, means = explain(table, pairs, config) if explainer else ([], [])
+    drop(table)
     return MismatchModel(feature_model, pairs, threshold, folds, oof, coefficients, means)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import AuditConfig
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import durable, scratch
 from prioscope.operators import evidence, labels, metrics, model
 from prioscope.operators.ingest import prepare_tickets
 from prioscope.operators.severity import infer_severity
@@ -30,12 +30,13 @@ def infer(raw: DataFrame, config: AuditConfig = AuditConfig(),
     """Raw tickets to pseudo-labelled tickets, made durable for the later stages.
 
     The cleaned tickets are made durable too: the whole-table statistics then read
-    three narrow columns instead of parsing the source again.
+    three narrow columns instead of parsing the source again. That table is deleted here.
     """
-    tickets = durable(prepare_tickets(raw))
-    if label_probabilities is not None:
-        tickets = join_label_probabilities(tickets, label_probabilities)
-    return durable(labels.pseudo_labels(infer_severity(tickets, stats, config, valence), config))
+    with scratch(keep_last=True):
+        tickets = durable(prepare_tickets(raw))
+        if label_probabilities is not None:
+            tickets = join_label_probabilities(tickets, label_probabilities)
+        return durable(labels.pseudo_labels(infer_severity(tickets, stats, config, valence), config))
 
 
 def train(labelled: DataFrame, config: AuditConfig = AuditConfig()) -> model.MismatchModel:
@@ -92,28 +93,24 @@ def evaluate(predictions: DataFrame, trained: model.MismatchModel) -> DataFrame:
 
 
 SECTION_TITLES = {
-    "dataset": "DATASET OVERVIEW", "severity": "SEVERITY INFERENCE",
-    "pseudo_labels": "PSEUDO-LABELS", "cross_validation": "CROSS-VALIDATION (on pseudo-labels)",
-    "out_of_fold": "OOF METRICS", "oof_report": "CLASSIFICATION REPORT (OOF)",
-    "predictions": "PREDICTIONS", "slices": "ADVERSARIAL ANALYSIS (by assigned priority)",
-    "sanity": "SANITY CHECKS",
+    "dataset": "Tickets", "severity": "Inferred severity", "pseudo_labels": "Pseudo-labels",
+    "cross_validation": "Validation folds", "out_of_fold": "Scores of held-out tickets",
+    "oof_report": "Classes of held-out tickets", "predictions": "Predictions",
+    "slices": "By assigned priority", "sanity": "Checks",
 }
 
 
-def report_text(report: DataFrame, title: str = "EVALUATION REPORT", generated: str = "") -> str:
-    """The report as text, from its few dozen metric rows."""
+def report_text(report: DataFrame, title: str = "Audit report", generated: str = "") -> str:
+    """The report as Markdown tables, from its few dozen metric rows."""
     rows = report.orderBy("section", "metric", F.desc("value")).collect()
-    out = ["=" * 70, f"  {title}", f"  Generated: {generated}", "=" * 70, ""]
+    out = [f"# {title}", *([f"{generated}"] if generated else [])]
     for section, heading in SECTION_TITLES.items():
         mine = [r for r in rows if r.section == section]
         if not mine:
             continue
-        out += [heading, "-" * 40]
+        out += ["", f"## {heading}", "", "| metric | of | value | share |", "|---|---|---|---|"]
         for r in mine:
-            name = f"{r.metric} {r.dim}".strip()
-            value = "n/a" if r.value is None else (
-                f"{r.value:,.0f}" if float(r.value).is_integer() else f"{r.value:.4f}")
-            pct = "" if r.pct is None else f"  ({r.pct:.1f}%)"
-            out.append(f"  {name:<40s} {value:>12s}{pct}")
-        out.append("")
-    return "\n".join(out + ["=" * 70])
+            value = "" if r.value is None else (
+                str(int(r.value)) if float(r.value).is_integer() else f"{r.value:.4f}")
+            out.append(f"| {r.metric} | {r.dim or ''} | {value} | {'' if r.pct is None else f'{r.pct:.1f} %'} |")
+    return "\n".join(out) + "\n"

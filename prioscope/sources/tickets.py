@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from prioscope.config import COLUMN_ALIASES, NA_TOKENS, REQUIRED_COLUMNS
 
 
-def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_ticket_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Scan a CSV of tickets; every column is a string, missing-value tokens are null.
 
     A missing path raises Spark's AnalysisException. Quoted fields may hold line
-    breaks, so one file is one task: keep a large table in many files.
+    breaks, so one file is one task; with ``line_breaks`` off, the caller says that no
+    field holds one, and a file is split over many tasks.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("quote", '"')
         .option("escape", '"')
         .option("inferSchema", False)
@@ -25,6 +26,20 @@ def read_ticket_csv(spark: SparkSession, path: str) -> DataFrame:
     return null_tokens(raw)
 
 
+def read_ticket_table(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Scan tickets kept as Parquet, ORC or JSON lines, on the same all-string path.
+
+    All of them are split over many tasks. Nested columns become JSON text.
+    """
+    df = spark.read.format(format)
+    raw = (df.option("primitivesAsString", True) if format == "json" else df).load(path)
+    nested = ("struct", "array", "map")
+    return null_tokens(raw.select(*[
+        (F.to_json(F.col(f"`{c}`")) if kind.startswith(nested) else F.col(f"`{c}`").cast("string")).alias(c)
+        for c, kind in raw.dtypes
+    ]))
+
+
 def null_tokens(df: DataFrame) -> DataFrame:
     def known(name: str):
         c = F.col(f"`{name}`")

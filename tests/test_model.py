@@ -99,6 +99,39 @@ def test_first_maximum_wins_and_fallback(spark):
     assert (none.threshold, none.f1) == (0.5, 0.0)
 
 
+def test_slices_skip_nan_and_checks_divide_by_all_rows(spark):
+    rows = [("high", i % 2, float("nan") if i == 0 else 0.5, None if i < 9 else 0.1, True) for i in range(20)]
+    df = spark.createDataFrame(rows, "priority STRING, is_mismatch INT, mismatch_probability DOUBLE, "
+                                     "severity_confidence DOUBLE, include_in_training BOOLEAN")
+    assert M.adversarial_slices(df).first().mean_prob == 0.5
+    checks = {r.check: r.value for r in M.sanity_checks(df).collect()}
+    assert checks["low severity confidence"] == pytest.approx(11 / 20)
+
+
+def test_embeddings_of_a_callers_model(spark):
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t), 0.0, 4.0] for t in texts], dtype=np.float32)
+
+    df = spark.createDataFrame([("abc",), (None,)], "full_text STRING")
+    got = {r.full_text: r.embedding for r in FE.embed_texts(df, make).collect()}
+    assert got["abc"] == pytest.approx([0.6, 0.0, 0.8]) and got[None] == pytest.approx([0.0, 0.0, 1.0])
+
+
+def test_predictions_export(predictions, tmp_path, spark):
+    path = str(tmp_path / "predictions")
+    sinks.write_predictions(predictions, path)
+    back = spark.read.parquet(path)
+    assert back.count() == predictions.count() and "mismatch_probability" in back.columns
+
+
+def test_linear_explainer_is_the_scoring_model(trained):
+    own = [list(m.coefficients.toArray()) for m, _ in trained.pairs]
+    mean = [sum(x) / len(own) for x in zip(*own)]
+    assert trained.coefficients == pytest.approx(mean)
+
+
 def test_metrics_without_positives(spark):
     row = M.classification_metrics(spark.createDataFrame([(0, 0.2), (0, 0.7)], SCORES)).first()
     assert (row.f1, row.precision, row.recall) == (0.0, 0.0, 0.0)

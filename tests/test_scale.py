@@ -168,21 +168,30 @@ def test_repeated_ids_are_weighed_row_by_row(spark, labelled):
     assert all(abs(sum(e.weight**2 for e in r.entries) - 1) < 1e-9 for r in model.with_entries(shared).collect() if r.entries)
 
 
-def test_tables_of_a_block_are_deleted(spark, tmp_path):
+def test_tables_of_a_block_are_deleted(spark, tmp_path, monkeypatch):
     import os
 
     from prioscope.functions import durable as D
 
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        with D.scratch(keep_last=True):
-            D.durable(spark.range(5))
-            kept = D.durable(spark.range(7))
-        assert kept.count() == 7
-        tables = f"{tmp_path}/tables/{spark.sparkContext.applicationId}"
-        assert len(os.listdir(tables)) == 1
-        D.release(spark)
-        assert not os.path.exists(tables)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(D, "shared_dir", lambda spark: str(tmp_path))
+    with D.scratch(keep_last=True):
+        D.durable(spark.range(5))
+        kept = D.durable(spark.range(7))
+    assert kept.count() == 7
+    tables = f"{tmp_path}/tables/{spark.sparkContext.applicationId}"
+    assert len(os.listdir(tables)) == 1
+    D.release(spark)
+    assert not os.path.exists(tables)
+
+
+def test_infer_leaves_its_result_alone(spark, sf_dir, tmp_path, monkeypatch):
+    import os
+
+    from prioscope import fixtures
+    from prioscope.functions import durable as D
+    from prioscope.plans import stages
+
+    monkeypatch.setattr(D, "shared_dir", lambda spark: str(tmp_path))
+    labelled = stages.infer(fixtures.raw_tickets(spark, sf_dir))
+    assert labelled.count() > 0
+    assert len(os.listdir(f"{tmp_path}/tables/{spark.sparkContext.applicationId}")) == 1

@@ -105,3 +105,37 @@ def test_a_whole_table_through_csv(spark, sf_dir, labelled, tmp_path):
     key = ["ticket_id", "full_text", "is_mismatch", "pseudo_label_quality"]
     assert sorted(map(tuple, got.select(*key).collect())) == sorted(
         map(tuple, labelled.select(*key).collect()))
+
+
+def test_one_file_is_many_tasks_where_fields_hold_no_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "flat")
+    rows = spark.range(20_000).selectExpr(
+        "CAST(id AS STRING) AS id", "'s' AS subject", "repeat('d', 40) AS description", "'high' AS priority")
+    rows.coalesce(1).write.option("header", True).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        assert ST.read_ticket_csv(spark, path).rdd.getNumPartitions() == 1
+        split = ST.read_ticket_csv(spark, path, line_breaks=False)
+        assert split.rdd.getNumPartitions() > 1 and split.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_other_formats_take_the_same_path(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "N/A", [1, 2]), (2, "007", None)], "id INT, subject STRING, tags ARRAY<INT>")
+    for kind in ("parquet", "json", "orc"):
+        path = str(tmp_path / kind)
+        rows.write.format(kind).save(path)
+        got = ST.read_ticket_table(spark, path, kind)
+        assert {t for _, t in got.dtypes} == {"string"}
+        assert sorted((r.id, r.subject, r.tags) for r in got.collect()) == [("1", None, "[1,2]"), ("2", "007", None)]
+
+
+@pytest.mark.parametrize("value", ["1e400", "-1e400", "1e309", "inf", "nan"])
+def test_numbers_beyond_doubles_are_missing(spark, value):
+    from prioscope.functions import text as T
+
+    row = spark.createDataFrame([(value,)], "v STRING").selectExpr(
+        f"{T.to_number('v')} AS n", f"{T.duration_minutes('v')} AS d").first()
+    assert row.n is None and row.d is None
