@@ -2,45 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prioscope.functions.durable import drop, durable, scratch, shared_dir
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one below the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
-    return f"{named}/llm-{spark.sparkContext.applicationId}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read that from then on.
-
-    This cuts lineage: a lost executor costs the tasks it ran, not the steps before.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    stored = df.sparkSession.read.schema(df.schema).parquet(path)
-    stored.shared_path = path
-    return stored
-
-
-def drop(*stored: DataFrame) -> None:
-    """Delete tables that ``durable`` wrote and that nothing reads any more."""
-    for df in stored:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.shared_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table this application wrote; call it once its results are stored elsewhere."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["components", "drop", "durable", "fresh", "ranked", "ranked_within", "scratch", "shared_dir"]
 
 
 def fresh(df: DataFrame, name: str) -> str:
