@@ -171,9 +171,9 @@ def test_default_booster_stops_patiently(spark):
     from pyspark.ml.linalg import Vectors
 
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(3000, 8))
+    x = rng.normal(size=(1500, 8))
     p = 1 / (1 + np.exp(-(x[:, 0] * x[:, 1] + np.sin(2 * x[:, 2]) + 0.5 * x[:, 3])))
-    y = (rng.random(3000) < p).astype(int)
+    y = (rng.random(1500) < p).astype(int)
     rows = spark.createDataFrame(
         [(str(i), int(b), Vectors.dense(a.tolist()), i % 3) for i, (a, b) in enumerate(zip(x, y))],
         ["ticket_id", "is_mismatch", "features", "fold"]).coalesce(1).cache()
