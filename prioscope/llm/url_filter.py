@@ -65,11 +65,15 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
 def buckets_of(host: Column, path: Column, config: UrlConfig) -> Column:
     """The distinct buckets of the n-grams of host and of path, each with marks at both ends."""
     def grams(kind: str, text: Column, n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(
-            F.expr("cast(array() as array<int>)")
-        )
-        hashed = lambda i: F.xxhash64(F.lit(kind), F.substring(text, i, F.lit(n)))
-        return F.transform(starts, lambda i: F.pmod(hashed(i), F.lit(config.buckets)).cast("int"))
+        def of(chars: Column) -> Column:
+            starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(
+                F.expr("cast(array() as array<int>)")
+            )
+            gram = lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])
+            return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(kind), gram(i)), F.lit(config.buckets)).cast("int"))
+
+        # split once: cutting each gram out of the text would cost its distance from the start
+        return F.get(F.transform(F.array(F.split(text, "")), of), 0)
 
     parts = [
         grams(kind, F.concat(F.lit("^"), text, F.lit("$")), n)
