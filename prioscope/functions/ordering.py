@@ -7,17 +7,18 @@ the partitions, meet in one place.
 
 from __future__ import annotations
 
-import bisect
 import math
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import drop, durable
 
 RANGES = 1024
-QUANTILE_CUTS = 256
+# Approximate quantiles are exact to one in so many rows; cuts lie at these distances of a target.
+QUANTILE_ACCURACY = 4096
+QUANTILE_CUTS = tuple(d / 2048 for d in (-3, -1, 0, 1, 3))
 # More passes than any input takes; the search stops with an error beyond it.
 QUANTILE_PASSES = 6
 # A side table is broadcast up to this many rows, and joined by a shuffle beyond.
@@ -97,16 +98,17 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
                     facts: dict | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several numeric columns; nulls and NaN are left out.
 
-    The wanted order statistics are searched in intervals of values. A pass counts the
-    rows between cuts that are approximate quantiles of the values inside an interval, so
-    an interval loses the same share of its rows however the values are spread; infinities
-    are ordinary values at the ends. An interval with one value left is the answer.
+    The wanted order statistics are searched in intervals of values. A pass counts the rows
+    between cuts that are approximate quantiles close to the wanted ones, so an interval keeps
+    under a hundredth of its rows however the values are spread; infinities are ordinary values
+    at the ends. An interval with one value left is the answer.
     ``facts`` may give ``n_<column>``, ``lo_<column>`` and ``hi_<column>`` of known values.
     """
     columns = list(wanted)
-    df = df.select(
+    # a few narrow columns, written once: the passes then don't compute them again
+    df = durable(df.select(
         *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns],
-    )
+    ))
     if facts is None:
         facts = df.agg(*[
             f(c).alias(f"{name}_{c}") for c in columns
@@ -117,18 +119,19 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
         spot = p * (facts[f"n_{c}"] - 1)
         return math.floor(spot), math.ceil(spot)
 
-    # (column, rank) -> (lo, hi, rows below lo), all ends closed
+    # (column, rank) -> (lo, hi, rows below lo, rows inside), all ends closed
     open_ = {
-        (c, rank): (facts[f"lo_{c}"], facts[f"hi_{c}"], 0)
+        (c, rank): (facts[f"lo_{c}"], facts[f"hi_{c}"], 0, facts[f"n_{c}"])
         for c, probs in wanted.items() if facts[f"n_{c}"] for p in probs for rank in ranks(c, p)
     }
     found: dict[tuple[str, int], float] = {}
     for _ in range(QUANTILE_PASSES + 1):
-        found |= {t: lo for t, (lo, hi, _) in open_.items() if lo == hi}
+        found |= {t: lo for t, (lo, hi, _, _) in open_.items() if lo == hi}
         open_ = {t: b for t, b in open_.items() if t not in found}
         if not open_:
             break
         open_ = _narrowed(df, open_)
+    drop(df)
     if open_:
         raise RuntimeError(f"Quantiles not found in {QUANTILE_PASSES} passes: {sorted(open_)}")
 
@@ -144,13 +147,18 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
 
 def _narrowed(df: DataFrame, open_: dict) -> dict:
     """The same targets with smaller intervals: one job for the cuts, one for the counts."""
-    intervals = sorted({(c, lo, hi) for (c, _), (lo, hi, _) in open_.items()})
-    probs = F.array(*[F.lit(i / QUANTILE_CUTS) for i in range(1, QUANTILE_CUTS)])
+    wanted: dict[tuple, set[float]] = {}
+    for (c, rank), (lo, hi, below, n) in open_.items():
+        spot = (rank - below) / max(1, n - 1)
+        wanted.setdefault((c, lo, hi), set()).update(min(max(spot + d, 0.0), 1.0) for d in QUANTILE_CUTS)
+    intervals = list(wanted)
     inside = [F.when(F.col(c).between(lo, hi), F.col(c)) for c, lo, hi in intervals]
     cut_rows = df.agg(*[
-        F.percentile_approx(v, probs, 4 * QUANTILE_CUTS).alias(str(k)) for k, v in enumerate(inside)
+        F.percentile_approx(v, F.array(*map(F.lit, sorted(wanted[i]))), QUANTILE_ACCURACY).alias(str(k))
+        for k, (i, v) in enumerate(zip(intervals, inside))
     ]).first()
     cuts = [sorted({lo, hi, *(cut_rows[str(k)] or [])}) for k, (_, lo, hi) in enumerate(intervals)]
+
     # a value's bin is 2i if it equals cut i, and 2i + 1 between cuts i and i + 1
     def piece(k: int, v: Column) -> Column:
         points = F.array(*[F.lit(float(x)) for x in cuts[k]])
@@ -163,17 +171,16 @@ def _narrowed(df: DataFrame, open_: dict) -> dict:
         df.select(F.explode(F.array_compact(F.array(*pieces))).alias("e"))
         .groupBy("e.k", "e.slot")
         .agg(F.count(F.lit(1)).alias("n"), F.min("e.v").alias("lo"), F.max("e.v").alias("hi"))
-        .collect()  # bounded: intervals x 2 QUANTILE_CUTS rows
+        .collect()  # bounded: some ten rows a target
     )
     slots: dict[int, list] = {}
     for row in sorted(counted, key=lambda r: (r["k"], r["slot"])):
         slots.setdefault(row["k"], []).append(row)
     out = {}
-    for (c, rank), (lo, hi, below) in open_.items():
-        rows = slots[bisect.bisect_left(intervals, (c, lo, hi))]
-        for row in rows:
+    for (c, rank), (lo, hi, below, _) in open_.items():
+        for row in slots[intervals.index((c, lo, hi))]:
             if rank < below + row["n"]:
-                out[(c, rank)] = (row["lo"], row["hi"], below)
+                out[(c, rank)] = (row["lo"], row["hi"], below, row["n"])
                 break
             below += row["n"]
     return out
