@@ -50,7 +50,7 @@ class WordIds:
 
     def __init__(self, config: PackingConfig):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         path = config.vocabulary
         if not os.path.isabs(path):
@@ -58,12 +58,17 @@ class WordIds:
 
             path = public_tokenizers.path(path)
         self.tokenizer, self.most = Tokenizer.from_file(path), config.known_words
+        # for words that are nothing but small Latin letters, which need no normalising or splitting
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.marks = dict(zip(",.", self._encoded([",", "."]), strict=True))
+        self.marks = dict(zip(",.", self._encoded(self.tokenizer, [",", "."]), strict=True))
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
         numbers = array("I", chain.from_iterable(ids := [e.ids for e in found]))
         if sys.byteorder == "big":
             numbers.byteswap()
@@ -79,9 +84,12 @@ class WordIds:
         for k, stem in enumerate(stems):
             if stem[-1] in self.marks and stem[-2:-1].isalpha():
                 tails[k], stem = self.marks[stem[-1]], stem[:-1]
-            stems[k] = stem.lower() if stem.isascii() and stem.isalpha() else stem
-        new = list(set(stems).difference(self.stems))
-        self.stems.update(zip(new, self._encoded(new), strict=True))
+            stems[k] = stem.lower() if stem.isalpha() and max(stem) <= "ÿ" else stem
+        new = set(stems).difference(self.stems)
+        letters = [stem for stem in new if stem.isalpha() and max(stem) <= "ÿ"]
+        others = list(new.difference(letters))
+        for tokenizer, part in ((self.plain, letters), (self.tokenizer, others)):
+            self.stems.update(zip(part, self._encoded(tokenizer, part), strict=True))
         self.known.update(zip(words, [self.stems[s] + t for s, t in zip(stems, tails, strict=True)], strict=True))
 
     def ids(self, text: bytes | None, end: bytes) -> bytes:

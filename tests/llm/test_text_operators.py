@@ -290,6 +290,7 @@ def checked(rows, docs, window=4096):
 ODD_TEXTS = [
     None, "", "Mixed CASE words, and marks... (so) it's «fine», é, ß. İstanbul ΑΣ ǰ J̌ Ḱo", "a\x1cb\x85c\xa0d e",
     "<|endoftext|> <|ENDOFTEXT|>, x<|startoftext|>y.", "12,345. 6,7 8. _,_ .,,. ,", LONG, "한국어 日本語, 中文。 русский, ελληνικά.", "🙂🙂, 👩‍👩‍👧.", "don't, won't. 'll, 's.",
+    "ÀÉÎ, ªº µ ß. ÿŸ Ÿ, ÷× naïve STRASSE Straße, Œuvre ĲÍ", "aª1 b²c ½ x_y Z.",
 ]
 
 
