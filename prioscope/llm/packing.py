@@ -58,10 +58,16 @@ class WordIds:
 
             path = public_tokenizers.path(path)
         self.tokenizer, self.most = Tokenizer.from_file(path), config.known_words
-        # for words that are nothing but small Latin letters, which need no normalising or splitting
+        # for words that are nothing but small Latin letters: no normalising, a split at spaces alone, and
+        # the characters that stand for the bytes of a letter looked up here
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {n: shown.pre_tokenize_str(chr(n))[0][0] for n in range(128, 256) if chr(n).isalpha()}
+        vocabulary, suffix = self.plain.get_vocab(), self.plain.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[n for token, n in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.marks = dict(zip(",.", self._encoded(self.tokenizer, [",", "."]), strict=True))
@@ -75,6 +81,20 @@ class WordIds:
         raw, ends = numbers.tobytes(), [0, *accumulate(map(len, ids))]
         return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
 
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of small Latin letters: a block at a time as one text, cut after the ids that end a word."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            text = " ".join(part)
+            text = text if text.isascii() else text.translate(self.shown)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):  # a vocabulary without such ids
+                yield from self._encoded(self.tokenizer, part)
+                continue
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in pairwise([0, *ends]))
+
     def learn(self, words: set[bytes]) -> None:
         """Tokenize words not seen before; a last comma or full stop after a letter is a token apart."""
         if len(self.stems) > self.most:
@@ -88,8 +108,8 @@ class WordIds:
         new = set(stems).difference(self.stems)
         letters = [stem for stem in new if stem.isalpha() and max(stem) <= "ÿ"]
         others = list(new.difference(letters))
-        for tokenizer, part in ((self.plain, letters), (self.tokenizer, others)):
-            self.stems.update(zip(part, self._encoded(tokenizer, part), strict=True))
+        self.stems.update(zip(letters, self._letters(letters), strict=True))
+        self.stems.update(zip(others, self._encoded(self.tokenizer, others), strict=True))
         self.known.update(zip(words, [self.stems[s] + t for s, t in zip(stems, tails, strict=True)], strict=True))
 
     def ids(self, text: bytes | None, end: bytes) -> bytes:
