@@ -39,8 +39,14 @@ def whole(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def narrowest(data: np.ndarray) -> np.ndarray:
+    """The same whole numbers in 2, 4 or 8 bytes each: blocks are copied once for each block on the other side."""
+    most = np.abs(data).max(initial=0)
+    return data.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<f8")
+
+
 def blocks(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
-    """(block, ids, data, width): up to ``rows`` vectors of a partition, quantised, a vector a column."""
+    """(block, ids, data, kind, width): up to ``rows`` vectors of a partition, quantised, a vector a column."""
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids: list[int] = []
@@ -51,7 +57,10 @@ def blocks(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
             data = np.zeros((width, len(kept)), np.float64)
             for j, v in enumerate(kept):
                 data[: len(v), j] = np.floor(v * scale)
-            made = pd.DataFrame({"ids": [np.array(ids, np.int64).tobytes()], "data": [data.tobytes()], "width": [width]})
+            data = narrowest(data)
+            made = pd.DataFrame({
+                "ids": [np.array(ids, np.int64).tobytes()], "data": [data.tobytes()], "kind": [data.dtype.str], "width": [width],
+            })
             ids.clear()
             kept.clear()
             return made
@@ -65,7 +74,7 @@ def blocks(vectors: DataFrame, scale: float, rows: int) -> DataFrame:
         if ids:
             yield out()
 
-    made = vectors.mapInPandas(packed, "ids binary, data binary, width int")
+    made = vectors.mapInPandas(packed, "ids binary, data binary, kind string, width int")
     return made.withColumn("block", F.monotonically_increasing_id())
 
 
@@ -141,9 +150,9 @@ def top_k(embeddings: DataFrame, queries: DataFrame, config: SearchConfig = Sear
     if not n_asked or not n_held:
         return _merged(asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score long"), config.k)
     pieces = asked.select(
-        F.col("block").alias("q"), F.explode(F.from_json(F.lit(str(n_held)), "array<long>")).alias("c"), F.lit(True).alias("asking"), "ids", "data", "width"
+        F.col("block").alias("q"), F.explode(F.from_json(F.lit(str(n_held)), "array<long>")).alias("c"), F.lit(True).alias("asking"), "ids", "data", "kind", "width"
     ).unionByName(held.select(
-        F.explode(F.from_json(F.lit(str(n_asked)), "array<long>")).alias("q"), F.col("block").alias("c"), F.lit(False).alias("asking"), "ids", "data", "width"
+        F.explode(F.from_json(F.lit(str(n_asked)), "array<long>")).alias("q"), F.col("block").alias("c"), F.lit(False).alias("asking"), "ids", "data", "kind", "width"
     ))
     k = config.k
 
@@ -151,7 +160,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, config: SearchConfig = Sear
         parts = {}
         for r in pair.itertuples():
             ids = np.frombuffer(r.ids, np.int64)
-            parts[bool(r.asking)] = ids, np.frombuffer(r.data, np.float64).reshape(r.width, len(ids))
+            parts[bool(r.asking)] = ids, np.frombuffer(r.data, r.kind).reshape(r.width, len(ids))
         return best(parts[True], parts[False], k)
 
     found = pieces.groupBy("q", "c").applyInPandas(search, "query_id long, vec_id long, score long")

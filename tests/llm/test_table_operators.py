@@ -311,3 +311,11 @@ def test_order_of_the_schedule_is_kept(spark):
     assert found.columns == docs.columns and found.count() == docs.count()
     places = [order[r.doc_id] for r in found.collect() if r.doc_id in order]
     assert places == sorted(places)
+
+
+@pytest.mark.parametrize(("most", "kind"), [(256, "<i2"), (32767, "<i2"), (32768, "<i4"), (1 << 31, "<f8"), (1e300, "<f8")])
+def test_search_blocks_are_stored_narrow_and_whole(most, kind):
+    data = np.array([[0.0, -most], [most, 1.0]])
+    stored = topk_search.narrowest(data)
+    assert stored.dtype.str == kind and (stored == data).all()
+    assert topk_search.narrowest(data[:, :0]).size == 0
