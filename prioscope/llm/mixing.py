@@ -121,7 +121,8 @@ def mixed(
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, seed: int = 23, **options) -> DataFrame:
     """The rows of ``docs``, all columns, in the order of the schedule.
 
-    Written out, each file is a stretch of the schedule. Repeated rows stay side by side.
+    Written out, each file is a stretch of the schedule, but reading the files again does not keep the
+    order: call this again on what was read, it gives the same order. Repeated rows stay side by side.
     """
     place, key, own = (fresh(docs, c) for c in ("place", "key", "own"))
     order = (
