@@ -262,7 +262,11 @@ def one_of_each(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> Dat
     Documents without an id form groups only with others; where all ids of a group are null, the
     smallest text hash stays.
     """
-    found = durable(classes(docs, config))
+    return first_of_each(docs, durable(classes(docs, config)))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, text_hash, root) puts first in their group, each once."""
     best = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     )
