@@ -253,6 +253,36 @@ def test_line_dedup_of_odd_rows(spark):
     assert line_dedup.line_dedup(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("end", [".", "!", '."', "\u3002"])
+def test_passages_inside_long_lines_are_cut(spark, end):
+    rng = random.Random(3)
+    gap = "" if end == "\u3002" else " "
+    sentence = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(11)) + end
+    passage = gap.join(sentence() for _ in range(5))  # 55 words
+    a, b, c, d, e = (sentence() for _ in range(5))
+    rows = [
+        (1, gap.join([a, passage, b])),  # one line
+        (2, f"first\n\n{gap.join([c, passage, d])}\nlast"),  # part of a longer line
+        (3, passage), (4, passage.replace(end + gap, end + "\n")),  # under three lines, and in lines of its own
+        (5, gap.join([e, passage])), (6, e),
+    ]
+    found = line_dedup.without_repeated_lines(documents(spark, rows), "n", sentences=True)
+    text = {r.doc_id: r.text for r in found.collect()}
+    assert text == {1: rows[0][1], 2: f"first\n\n{gap.join([c, d])}\nlast", 3: "", 4: "", 5: e, 6: e}
+
+
+def test_sentence_dedup_takes_all_that_lines_take(spark):
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice(["a. ", "b", "c. d.", "d", "", " ", "e f? g", "\u3002x\u3002"]) for _ in range(rng.randint(0, 12)))) for i in range(200)]
+    docs = documents(spark, rows)
+    plain = [(i, re.sub(line_dedup.SENTENCE, "\n", t)) for i, t in rows]
+    expected = plain_line_dedup(plain)
+    found = {r.doc_id: (r.text, r.n) for r in line_dedup.without_repeated_lines(docs, "n", sentences=True).collect()}
+    assert {k: n for k, (_, n) in found.items()} == {k: n for k, (_, n) in expected.items()}
+    for k, (text, _) in found.items():
+        assert re.sub(r"\s", "", text) == re.sub(r"\s", "", expected[k][0])
+
+
 # ---- packing
 
 
