@@ -18,6 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder for one table, or other files, in the shared folder; deleted like the tables of ``durable``."""
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append((spark, path))
+    return path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder as a table, and read that from then on.
 
@@ -25,10 +33,8 @@ def durable(df: DataFrame) -> DataFrame:
     checkpoint it is columnar: later steps read only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    if _open:
-        _open[-1].append((spark, path))
     stored = spark.read.schema(df.schema).parquet(path)
     stored.shared_path = path
     return stored
