@@ -31,37 +31,38 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class PackingConfig:
     """``vocabulary`` is a path, or the name of a file of the public tokenizers' package.
 
-    ``known_words`` bounds the words whose ids a worker process remembers from task to task.
+    ``known_bytes`` bounds what a worker process remembers of words and their ids, about as the process
+    counts it; with ``remember`` it keeps that, and the tokenizer, from task to task.
     """
 
     window: int = 4096
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 2
     open_windows: int = 1024
-    known_words: int = 1_000_000
+    known_bytes: int = 192 << 20
+    remember: bool = True
 
 
 class WordIds:
     """Word between white space -> its token ids as little-endian 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
-    Words seen are kept, and forgotten when there are too many.
+    Words seen are kept, and forgotten when they take too many bytes.
     """
 
     def __init__(self, config: PackingConfig):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         path = config.vocabulary
         if not os.path.isabs(path):
             import public_tokenizers
 
             path = public_tokenizers.path(path)
-        self.tokenizer, self.most = Tokenizer.from_file(path), config.known_words
+        self.tokenizer, self.most = Tokenizer.from_file(path), config.known_bytes
         # for words that are nothing but small Latin letters: no normalising, a split at spaces alone, and
         # the characters that stand for the bytes of a letter looked up here
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
+        self.plain = Tokenizer(self.tokenizer.model)  # shares the vocabulary
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {n: shown.pre_tokenize_str(chr(n))[0][0] for n in range(128, 256) if chr(n).isalpha()}
@@ -70,6 +71,7 @@ class WordIds:
         self.last[[n for token, n in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
+        self.used = 0
         self.marks = dict(zip(",.", self._encoded(self.tokenizer, [",", "."]), strict=True))
 
     @staticmethod
@@ -97,8 +99,6 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenize words not seen before; a last comma or full stop after a letter is a token apart."""
-        if len(self.stems) > self.most:
-            self.stems.clear()
         tails = [b""] * len(words)
         stems = [word.decode() for word in words]
         for k, stem in enumerate(stems):
@@ -111,11 +111,15 @@ class WordIds:
         self.stems.update(zip(letters, self._letters(letters), strict=True))
         self.stems.update(zip(others, self._encoded(self.tokenizer, others), strict=True))
         self.known.update(zip(words, [self.stems[s] + t for s, t in zip(stems, tails, strict=True)], strict=True))
+        # a word and its ids: some 70 bytes of objects and table besides the bytes, twice for the stem
+        self.used += sum(90 + 3 * len(w) for w in words) + sum(120 + 3 * len(s) for s in new)
 
     def ids(self, text: bytes | None, end: bytes) -> bytes:
         words = (text or b"").split()
-        if len(self.known) > self.most:
+        if self.used > self.most:
             self.known.clear()
+            self.stems.clear()
+            self.used = 0
         found = list(map(self.known.get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
@@ -242,7 +246,7 @@ def packed(docs: DataFrame, config: PackingConfig = PackingConfig()) -> DataFram
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = word_ids(config)
+        words = word_ids(config) if config.remember else WordIds(config)
         end = np.array([config.end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
