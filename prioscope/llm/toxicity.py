@@ -27,6 +27,7 @@ LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 OPENING = "\"“„«'‘"
 CLOSING = "\"”“»'’"
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes term word sagte nannte dit dijo llamó".split())
+LONGEST = 64
 EDGES = ".,;:?!\"'“”„«»‘’()[]{}<>#*&%$|_-"
 
 
@@ -35,7 +36,8 @@ class ToxicityConfig:
     """``sample_rows`` bounds the labelled rows used for fitting, ``terms`` the lexicon.
 
     A term needs ``evidence``: the log likelihood ratio (nats) of its rows' labels against
-    chance; and ``purity``: its rate in toxic rows over the sum of its rates in both.
+    chance; and ``purity``: its rate in toxic rows over the sum of its rates in both. A task
+    forgets what it has looked up beyond ``known_words`` words or ``known_states`` automaton states.
     """
 
     sample_rows: int = 12_000
@@ -45,6 +47,7 @@ class ToxicityConfig:
     stem_lengths: tuple[int, int] = (4, 10)
     window: int = 8
     known_words: int = 100_000
+    known_states: int = 20_000
 
 
 class LexiconAutomaton:
@@ -67,6 +70,10 @@ class LexiconAutomaton:
                 at = self.children[at][ch]
                 self.reach[at] = max(self.reach[at], most)
             self.ends[at].append(k)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all states determinised so far; they are made again as words are read."""
         self.states: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -127,20 +134,30 @@ class LexiconAutomaton:
 
 
 class Words(dict):
-    """Word as written -> (term, edits) or None; forgets when it holds too many."""
+    """Word as written -> (term, edits) or None; forgets when it holds too many.
+
+    A word is looked up without the marks around it, then with letters for lookalikes, then each of the
+    parts that marks, digits or dashes join in it.
+    """
 
-    def __init__(self, automaton: LexiconAutomaton, most: int):
+    def __init__(self, automaton: LexiconAutomaton, most: int, most_states: int = 20_000):
         super().__init__()
-        self.automaton, self.most = automaton, most
+        self.automaton, self.most, self.most_states = automaton, most, most_states
 
     def __missing__(self, word: str):
         if len(self) >= self.most:
             self.clear()
+        if len(self.automaton.states) > self.most_states:
+            self.automaton.forget()
         bare = word.strip(EDGES)
         found = self.automaton.find(bare) if bare else None
         if found is None and bare and not bare.isalpha():
             found = self.automaton.find(bare.translate(LOOKALIKES))
-        self[word] = found
+            if found is None:
+                hits = filter(None, map(self.automaton.find, re.findall(r"[^\W\d_]+", bare)))
+                found = min(hits, key=lambda hit: hit[1], default=None)
+        if len(word) <= LONGEST:  # longer ones hardly come again
+            self[word] = found
         return found
 
 
@@ -232,7 +249,7 @@ class ToxicityModel:
     config: ToxicityConfig = field(default_factory=ToxicityConfig)
 
     def known(self) -> Words:
-        return Words(LexiconAutomaton(self.terms), self.config.known_words)
+        return Words(LexiconAutomaton(self.terms), self.config.known_words, self.config.known_states)
 
     def score(self, text: str | None, known: Words) -> float:
         if not self.weights:
@@ -332,7 +349,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = Toxici
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    """The rows of ``docs`` that score below 0.5, with all their columns.
+
+    Null and empty texts score like a text without hits, and so stay wherever most labelled rows are clean.
+    Repeated rows are kept or go alike; null ids do not matter; an empty table stays empty. Columns of any
+    name are kept.
+    """
     score = fresh(docs, "score")
     model = fit(docs, labels, config)
     return docs.withColumn(score, scorer(model)(F.col("text"))).filter(F.col(score) < 0.5).drop(score)
