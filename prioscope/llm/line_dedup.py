@@ -47,10 +47,10 @@ def windows(docs: DataFrame, sentences: bool = False) -> DataFrame:
 def repeated_lines(docs: DataFrame, sentences: bool = False) -> DataFrame:
     """(doc_id, text_hash, gone): which non-blank lines of a document stand in a later occurrence.
 
-    Counting shuffles one row a window and task; only windows that repeat are joined back, and a
-    window that a third of all documents share is split by the skew handling of that join. Of
-    sentences, which are many, the count takes half of the hash alone. Counts are stored before they
-    are joined: a join that aggregates one side in its own tasks is not split.
+    Counting shuffles one row a window and task; only windows that repeat are joined back. Their
+    counts are stored before: the skew handling then splits a window that a third of all documents
+    share, which it does not where a join aggregates one side in its own tasks. Of sentences, which
+    are many, the count takes half of the hash alone.
     """
     place = F.struct("doc_id", "text_hash", "at")
     found = windows(docs, sentences)
@@ -58,8 +58,7 @@ def repeated_lines(docs: DataFrame, sentences: bool = False) -> DataFrame:
         again = durable(found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1"))
         found = durable(found.join(again, "h1"))
     first = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = durable(first) if sentences else first
-    later = found.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = found.join(durable(first), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("starts")).select(
         "doc_id", "text_hash",
         F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (WINDOW - 1))))).alias("gone"),

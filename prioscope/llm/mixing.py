@@ -125,7 +125,8 @@ def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     order: call this again on what was read, it gives the same order. Repeated rows stay side by side.
     """
     place, key, own = (fresh(docs, c) for c in ("place", "key", "own"))
-    order = (
+    # stored, so that the join can split a row that repeats a million times
+    order = durable(
         mixed(docs, weights, seed=seed, **options)
         .groupBy("row_hash").agg(F.min("position").alias(place)).withColumnRenamed("row_hash", own)
     )

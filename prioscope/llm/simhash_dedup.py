@@ -239,7 +239,8 @@ def classes(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFra
     roots = components(links(different, config))
     joined = different.join(roots, F.col("fp") == F.col("node"), "left")
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that the join can split a component of a third of all fingerprints
+    smallest = durable(joined.groupBy("root").agg(F.min("least").alias("component_id")))
     named = joined.join(smallest, "root").select(F.col("fp").alias("own_fp"), "root", "component_id")
     return rows.join(named, F.col("fp") == F.col("own_fp")).drop("own_fp")
 

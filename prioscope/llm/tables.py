@@ -48,13 +48,14 @@ def ranked(df: DataFrame, by: list[str | Column], name: str) -> DataFrame:
 def ranked_within(df: DataFrame, group: str, by: list[str | Column], name: str, size: str) -> DataFrame:
     """Add the row's place (from 0) among the rows of its ``group`` and the group's row count.
 
-    No task sees a whole group: the place is the one among all rows less the group's first.
+    No task sees a whole group: the place is the one among all rows less the group's first. The groups
+    are stored, so that the join with them can split a group that has a third of all rows.
     """
     place = fresh(df, "place")
     everywhere = ranked(df, [group, *by], place)
-    groups = everywhere.groupBy(F.col(group).alias("own_group")).agg(
+    groups = durable(everywhere.groupBy(F.col(group).alias("own_group")).agg(
         F.min(place).alias("group_start"), F.count(F.lit(1)).alias(size)
-    )
+    ))
     return (
         everywhere.join(groups, F.col(group).eqNullSafe(F.col("own_group")))
         .withColumn(name, F.col(place) - F.col("group_start"))
@@ -63,10 +64,13 @@ def ranked_within(df: DataFrame, group: str, by: list[str | Column], name: str,
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step over edges (a, b) with a > b."""
+    """One large-star or small-star step over edges (a, b) with a > b.
+
+    The least neighbours are stored: the join with them can then split a node that has a third of all edges.
+    """
     down = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     both = down.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else down
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = durable(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     pairs = both.join(least, "u")
     if large:
         out = pairs.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
