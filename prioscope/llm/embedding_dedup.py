@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.llm.simhash_dedup import lowest_labels
-from prioscope.llm.tables import components, durable
+from prioscope.llm.tables import components, drop, durable
 
 
 @dataclass(frozen=True)
@@ -111,9 +111,10 @@ def units(vectors: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _pieces(rows: DataFrame, piece: int) -> DataFrame:
     """Add (i, j): each pair of pieces of a cell, i <= j; a cell of up to ``piece`` rows is one piece.
 
-    Cells of one row go. Counting the cells shuffles one row a cell and task.
+    Cells of one row go. Counting the cells shuffles one row a cell and task; the counts are stored, so that
+    the join can split a hot cell.
     """
-    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = durable(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     parts = F.expr(f"int((n + {piece - 1}) div {piece})")
     own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     sized = rows.join(sizes, "cell").withColumn("parts", parts).withColumn("own", own)
@@ -196,11 +197,16 @@ def _verified(batches: Iterator[pd.DataFrame], config: LatticeConfig) -> Iterato
                 np.fill_diagonal(near, False)
                 if i != j:  # pairs within a piece belong to the pair (i, i)
                     near &= own[rows][:, None] != own[rows][None, :]
+                lattice = lattices.setdefault(unit.shape[1], Lattice(unit.shape[1], config))
                 hit = near.any(1)
+                if hit.any():  # a pair's own signs decide, so it is seen in all cells that it shares, or in none
+                    bits = lattice.bits(unit[hit]).view(np.uint64)
+                    apart = sum(np.bitwise_count(bits[:, None, w] ^ bits[None, :, w]).astype(np.int16) for w in range(bits.shape[1]))
+                    near[np.ix_(hit, hit)] &= apart <= config.differing_bits
+                    hit = near.any(1)
                 if not hit.any():
                     continue
                 rows, unit, near = rows[hit], unit[hit], near[np.ix_(hit, hit)]
-                lattice = lattices.setdefault(unit.shape[1], Lattice(unit.shape[1], config))
                 cells = lattice.cells(unit)
                 counted = near.copy()  # a pair counts in the smallest cell that it shares
                 values, seen = np.unique(cells[cells < cell], return_counts=True)
@@ -265,13 +271,15 @@ def embedding_links(embeddings: DataFrame, config: LatticeConfig = LatticeConfig
         near.join(classes.select("rep", "vector", "members"), "rep").repartition(*KEYS).sortWithinPartitions(*KEYS)
         .mapInPandas(lambda b: _verified(b, config), "rep long, links long, root long")
     )
+    drop(cells)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     joined = classes.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select(
         "h1", "h2", "least", (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("class_links"),
         F.coalesce("root", "rep").alias("root"),
     )
-    smallest = joined.groupBy("root").agg(F.min("least").alias("smallest"))
+    # stored, so that the join can split a component of a third of all classes
+    smallest = durable(joined.groupBy("root").agg(F.min("least").alias("smallest")))
     named = joined.join(smallest, "root").select("h1", "h2", "class_links", "smallest")
     linked = valid.select("vec_id", *hashes).join(named, ["h1", "h2"]).select("vec_id", "class_links", "smallest")
     others = embeddings.filter(f"not {FIT}").select(F.col("vec_id").cast("long").alias("vec_id"))
