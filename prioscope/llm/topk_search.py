@@ -33,7 +33,7 @@ class SearchConfig:
 
 def whole(embeddings: DataFrame) -> DataFrame:
     """(vec_id, vector) of the rows whose vector has only finite components."""
-    finite = "embedding is not null and size(embedding) > 0 and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
+    finite = "embedding is not null and vec_id is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
     return embeddings.filter(finite).select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")
     )
@@ -137,23 +137,22 @@ def best(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, n
 def top_k(embeddings: DataFrame, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows of ``embeddings`` for each row of ``queries``.
 
-    Both have (vec_id, embedding). Vectors that are null or empty, hold null or non-finite components
-    or have no id take no part. A shorter vector counts as filled up with zeros. Every row with the
-    query's own id is left out. An id repeated among candidates can fill several ranks; a repeated
-    query row is asked once. Scores beyond 64 bits are cut to the nearest long. With fewer
+    Both have (vec_id, embedding). Vectors that are null, hold null or non-finite components or have no
+    id take no part. A shorter vector counts as filled up with zeros, an empty one is zero throughout.
+    Every row with the query's own id is left out. An id repeated among candidates can fill several
+    ranks; of a repeated query id the smallest vector is asked, once. Scores beyond 64 bits are cut to the nearest long. With fewer
     candidates than ``k`` all are returned; an empty table gives no rows.
     """
-    asked = durable(blocks(whole(queries).dropDuplicates(["vec_id"]), config.scale, config.block_rows))
+    once = whole(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = durable(blocks(once, config.scale, config.block_rows))
     held = durable(blocks(whole(embeddings), config.scale, config.block_rows))
-    n_asked = [r.block for r in asked.select("block").collect()]  # a number for each block of thousands of rows
-    n_held = [r.block for r in held.select("block").collect()]
-    if not n_asked or not n_held:
-        return _merged(asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score long"), config.k)
-    pieces = asked.select(
-        F.col("block").alias("q"), F.explode(F.from_json(F.lit(str(n_held)), "array<long>")).alias("c"), F.lit(True).alias("asking"), "ids", "data", "kind", "width"
-    ).unionByName(held.select(
-        F.explode(F.from_json(F.lit(str(n_asked)), "array<long>")).alias("q"), F.col("block").alias("c"), F.lit(False).alias("asking"), "ids", "data", "kind", "width"
-    ))
+    # numbers of blocks of thousands of rows: every block of queries meets every block of candidates
+    pairs = durable(asked.select(F.col("block").alias("q")).crossJoin(held.select(F.col("block").alias("c"))))
+    columns = ["q", "c", "asking", "ids", "data", "kind", "width"]
+    pieces = (
+        asked.join(pairs, F.col("block") == F.col("q")).withColumn("asking", F.lit(True)).select(*columns)
+        .unionByName(held.join(pairs, F.col("block") == F.col("c")).withColumn("asking", F.lit(False)).select(*columns))
+    )
     k = config.k
 
     def search(pair: pd.DataFrame) -> pd.DataFrame:
