@@ -53,12 +53,14 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 class ArchiveConfig:
     """``date`` is the 14-digit time of pages that have none, ``version`` the ARC version, None for both in turn.
 
-    Payloads of at least ``least`` bytes that occur again become revisits.
+    Payloads of at least ``least`` bytes that occur again become revisits. ``compression`` is the level by its
+    name in Hadoop's codec.
     """
 
     date: str = "20000101000000"
     version: int | None = None
     least: int = 0
+    compression: str = "BEST_SPEED"
 
 
 def digest(data: bytes) -> str:
@@ -232,8 +234,9 @@ def warc_record(fields: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block
 
 
-def _write(df: DataFrame, path: str, end: str) -> None:
-    df.selectExpr("cast(record as string) as value").write.option("lineSep", end).option("compression", "gzip").text(path)
+def _write(df: DataFrame, path: str, end: str, config: ArchiveConfig) -> None:
+    options = {"lineSep": end, "compression": "gzip", "zlib.compress.level": config.compression}
+    df.selectExpr("cast(record as string) as value").write.options(**options).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, config: ArchiveConfig = ArchiveConfig()) -> None:
@@ -261,7 +264,7 @@ def write_arc(pages: DataFrame, path: str, config: ArchiveConfig = ArchiveConfig
             first = []
 
     rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.col("html").cast("binary").alias("html"))
-    _write(rows.mapInPandas(write, "record binary"), path, "\n")
+    _write(rows.mapInPandas(write, "record binary"), path, "\n", config)
 
 
 def convert(spark: SparkSession, arc: str, warc: str, config: ArchiveConfig = ArchiveConfig()) -> None:
@@ -333,7 +336,7 @@ def convert(spark: SparkSession, arc: str, warc: str, config: ArchiveConfig = Ar
         records, "id string, fields string, head binary, payload binary"
     )
     joined = parsed.join(broadcast_if_bounded(revisits), F.col("id") == F.col("own"), "left")
-    _write(joined.mapInPandas(written, "record binary"), warc, WARC_END)
+    _write(joined.mapInPandas(written, "record binary"), warc, WARC_END, config)
 
 
 # -------------------------------------------------------------- WARC, again
