@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,6 +29,8 @@ OPENING = "\"“„«'‘"
 CLOSING = "\"”“»'’"
 REPORTING = frozenset("said says say called calls wrote writes quote quoted quotes term word sagte nannte dit dijo llamó".split())
 LONGEST = 64
+#: Over the most edits that a term allows; a node and its edits are one number.
+EDITS = 8
 EDGES = ".,;:?!\"'“”„«»‘’()[]{}<>#*&%$|_-"
 
 
@@ -47,7 +50,7 @@ class ToxicityConfig:
     stem_lengths: tuple[int, int] = (4, 10)
     window: int = 8
     known_words: int = 100_000
-    known_states: int = 20_000
+    known_states: int = 100_000
 
 
 class LexiconAutomaton:
@@ -74,8 +77,8 @@ class LexiconAutomaton:
 
     def forget(self) -> None:
         """Drop all states determinised so far; they are made again as words are read."""
-        self.states: list[frozenset] = []
-        self.numbers: dict[frozenset, int] = {}
+        self.states: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
         self.steps: list[dict[str, int]] = []
         self.whole: list[tuple[int, int] | None] = []
         self.stems: list[tuple[int, int] | None] = []
@@ -96,12 +99,12 @@ class LexiconAutomaton:
                 continue
             best[node] = e
             todo += [(child, e + 1) for child in self.children[node].values()]
-        key = frozenset(best.items())
-        if not key:
+        if not best:
             return -1
+        key = array("q", sorted(EDITS * node + e for node, e in best.items())).tobytes()
         if key not in self.numbers:
             ends = sorted(
-                (e, k) for node, e in key for k in self.ends[node] if e <= self.edits(*self.terms[k][:2])
+                (e, k) for node, e in best.items() for k in self.ends[node] if e <= self.edits(*self.terms[k][:2])
             )
             first = lambda stem: next(((k, e) for e, k in ends if self.terms[k][1] == stem), None)
             self.numbers[key] = len(self.states)
@@ -113,7 +116,8 @@ class LexiconAutomaton:
 
     def step(self, state: int, ch: str) -> int:
         out = set()
-        for node, e in self.states[state]:
+        for item in array("q", self.states[state]):
+            node, e = divmod(item, EDITS)
             out.add((node, e + 1))
             for c, child in self.children[node].items():
                 out.add((child, e + (c != ch)))
@@ -136,11 +140,11 @@ class LexiconAutomaton:
 class Words(dict):
     """Word as written -> (term, edits) or None; forgets when it holds too many.
 
-    A word is looked up without the marks around it, then with letters for lookalikes, then each of the
-    parts that marks, digits or dashes join in it.
+    A word is looked up without the marks around it, then with letters for lookalikes; then the parts that
+    marks, digits or dashes join in it are, as they are spelled.
     """
 
-    def __init__(self, automaton: LexiconAutomaton, most: int, most_states: int = 20_000):
+    def __init__(self, automaton: LexiconAutomaton, most: int, most_states: int = 100_000):
         super().__init__()
         self.automaton, self.most, self.most_states = automaton, most, most_states
 
@@ -154,8 +158,8 @@ class Words(dict):
         if found is None and bare and not bare.isalpha():
             found = self.automaton.find(bare.translate(LOOKALIKES))
             if found is None:
-                hits = filter(None, map(self.automaton.find, re.findall(r"[^\W\d_]+", bare)))
-                found = min(hits, key=lambda hit: hit[1], default=None)
+                hits = map(self.automaton.find, re.findall(r"[^\W\d_]{3,}", bare))
+                found = next((hit for hit in hits if hit and not hit[1]), None)
         if len(word) <= LONGEST:  # longer ones hardly come again
             self[word] = found
         return found
