@@ -168,8 +168,7 @@ class BoosterConfig:
 
     ``max_depth`` 6 gives at most 64 leaves per tree. Rounds stop when the loss on a
     held-out fold has not improved for ``patience`` rounds; the best round is kept.
-    ``ridge`` and ``max_iter`` also hold for the linear learner, ``explainer_iter`` for
-    the linear model that explains boosted trees.
+    ``ridge`` and ``max_iter`` also hold for the linear learner.
     """
 
     learner: str = "gbt"  # or "logistic"
@@ -181,7 +180,6 @@ class BoosterConfig:
     feature_subset: str = "0.8"
     patience: int = 50
     ridge: float = 0.01
-    explainer_iter: int = 50
     max_memory_mb: int = 512
 
 

@@ -35,7 +35,7 @@ def _phrase(key: str) -> str:
 
 
 def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten raw columns, all strings, one row per document."""
+    """Ten raw columns, all strings, one row per document whose id is also an order's."""
     docs = table(spark, sf_dir, "documents")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     rows = docs.join(orders, docs.doc_id == orders.o_orderkey)
@@ -86,10 +86,6 @@ PROBABILITY = (
 )
 
 
-def scored(spark: SparkSession, sf_dir: str, config: AuditConfig = AuditConfig()) -> DataFrame:
-    return derive(labelled(spark, sf_dir, config), {"mismatch_probability": PROBABILITY})
-
-
 def with_label_probabilities(df: DataFrame) -> DataFrame:
     """Four probabilities per ticket, derived from its id."""
     factors = {"p_critical": 3, "p_high": 5, "p_medium": 11, "p_low": 13}

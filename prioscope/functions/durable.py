@@ -13,9 +13,18 @@ _open: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the session names, else one below its warehouse; any master alike."""
+    """The checkpoint folder the session names, else one below its warehouse.
+
+    A warehouse that is a local folder is shared with no other machine: on a cluster, naming no checkpoint
+    folder is then an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
+    return warehouse + "/shared"
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -50,18 +59,33 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+class Scratch:
+    """What a ``scratch`` block gives: ``keep`` names tables that outlive it."""
+
+    def __init__(self) -> None:
+        self.kept: set[str] = set()
+
+    def keep(self, *stored: DataFrame) -> None:
+        self.kept.update(table.shared_path for table in stored)
+
+
 @contextmanager
-def scratch(*, keep_last: bool = False) -> Iterator[None]:
+def scratch(*, keep_last: bool = False) -> Iterator[Scratch]:
     """Delete the tables written inside the block when it ends.
 
-    For steps whose result is stored elsewhere, or whose last table is the result
-    (``keep_last``). Nothing lazy that reads the other tables may leave the block.
+    For steps whose result is stored elsewhere, is the last table (``keep_last``), or is named to
+    ``keep``. Nothing lazy that reads the other tables may leave the block.
     """
     _open.append([])
+    block = Scratch()
     try:
-        yield
+        yield block
     finally:
         mine = _open.pop()
+        for table in [t for t in mine if t[1] in block.kept]:
+            mine.remove(table)
+            if _open:
+                _open[-1].append(table)
         if keep_last and mine:
             last = mine.pop()
             if _open:

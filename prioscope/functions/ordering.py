@@ -30,6 +30,15 @@ def broadcast_if_bounded(dim: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(dim) if (dim.count() if rows is None else rows) <= BROADCAST_ROWS else dim
 
 
+def joinable(aggregate: DataFrame) -> DataFrame:
+    """An aggregate as one side of a join with rows: stored, and broadcast if it is counted small.
+
+    A join that aggregates one side in its own tasks cannot be split; stored, the side is shuffled by itself,
+    and adaptive execution splits a key that a third of the rows on the other side share.
+    """
+    return broadcast_if_bounded(durable(aggregate))
+
+
 def number_rows(df: DataFrame, name: str = "position") -> DataFrame:
     """Consecutive 0-based numbers in the current row order, without a shuffle.
 

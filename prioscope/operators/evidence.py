@@ -186,18 +186,18 @@ MARKDOWN_NO_SPAN = "_No direct urgency signals detected in ticket text._\n\n"
 MARKDOWN_MIDDLE = """\
 ---
 
-## 📊 Top Feature Attributions (SHAP)
+## 📊 Top Feature Attributions
 
-_Contributions of single features to a linear score of the mismatch; for boosted trees, of a linear model of the same tickets._
+_Contributions of single features to the score of the mismatch: along the paths of the scoring trees, or, for a linear score, coefficient times distance from the mean._
 
 """
 MARKDOWN_TABLE = """\
-| Rank | Feature | SHAP Value | Direction |
-|------|---------|------------|-----------|
+| Rank | Feature | Contribution | Direction |
+|------|---------|--------------|-----------|
 """
 MARKDOWN_ATTRIBUTION = "| {rank} | {name} | `{value}` | {direction} |\n"
 MARKDOWN_NO_ATTRIBUTION = (
-    "_SHAP attributions not available: the model was trained without an explainer._\n"
+    "_Feature attributions not available: no model was given._\n"
 )
 MARKDOWN_END = """\
 

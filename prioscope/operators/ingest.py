@@ -40,7 +40,11 @@ def with_numbers(df: DataFrame, seconds_per_plain_unit: float = 1.0) -> DataFram
 
 
 def synthetic_ids(df: DataFrame, order: list | None = None) -> DataFrame:
-    """``TKT-000000``, ``TKT-000001``, ... by row order, or by ``order`` if given."""
+    """``TKT-000000``, ``TKT-000001``, ... by row order, or by ``order`` if given.
+
+    The rows are stored once, with their place in their task; an id is that place and the count of the tasks
+    before, so the result reads the stored rows and needs no copy of its own.
+    """
     numbered = number_by(df, order, "_position") if order else number_rows(df, "_position")
     return numbered.withColumn(
         "ticket_id", F.format_string("TKT-%06d", F.col("_position"))
@@ -49,7 +53,10 @@ def synthetic_ids(df: DataFrame, order: list | None = None) -> DataFrame:
 
 def prepare_tickets(raw: DataFrame, validate: bool = True,
                     seconds_per_plain_unit: float = 1.0) -> DataFrame:
-    """Headers, priority, text, durations and ids: the table all other steps read."""
+    """Headers, priority, text, durations and ids: the table all other steps read.
+
+    Without an id column it is a stored table already, see ``synthetic_ids``.
+    """
     has_id = resolve_columns(raw.columns)["ticket_id"] is not None
     df = standardise(raw)
     if validate:

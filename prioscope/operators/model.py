@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import median_high
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +20,17 @@ from pyspark.util import inheritable_thread_target
 
 from prioscope.config import AuditConfig, BoosterConfig
 from prioscope.functions import text as T
-from prioscope.functions.durable import drop, durable
+from prioscope.functions.durable import drop, durable, scratch
 from prioscope.operators import features as FE
 from prioscope.operators import metrics as M
-from prioscope.operators.attribution import with_attributions
-from prioscope.operators.folds import class_weights, stratified_folds
+from prioscope.operators.attribution import PathModel, with_attributions, with_path_attributions
+from prioscope.operators.folds import ROW_KEYS, class_weights, fold_table, with_folds, with_row_keys
+from prioscope.operators.isotonic import fit_isotonic
 from prioscope.operators.thresholds import with_prediction
 
 LABEL = "is_mismatch"
+#: Rounds of boosting between two looks at the loss; margins are stored as often.
+BLOCK_ROUNDS = 10
 
 
 def weighted(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -53,24 +57,74 @@ def learner(booster: BoosterConfig, seed: int, rounds: int | None = None):
     )
 
 
-def fit_patiently(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple:
-    """The model with the round count of least loss on ``held``, and that count.
+def boosted_model(trees: list[DecisionTreeRegressionModel], weights: list[float], size: int) -> GBTClassificationModel:
+    """Spark ML's model made of given trees, such as the first few of a longer training."""
+    spark = SparkSession.active()
+    gateway, ml = spark.sparkContext._gateway, spark._jvm.org.apache.spark.ml
+    own = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        own[i], shares[i] = tree._java_obj, float(weight)
+    made = ml.classification.GBTClassificationModel(f"gbtc_{uuid.uuid4().hex[:12]}", own, shares, size, 2)
+    return GBTClassificationModel(made)
+
 
-    The loss must not have improved for ``patience`` rounds after it, or ``max_iter`` must
-    be reached. Spark's own early stop ends at the first round without improvement, so
-    rounds are doubled until the condition holds; a seed gives the same first trees again.
+def boost(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple[GBTClassificationModel, int]:
+    """Boost until ``patience`` rounds brought no smaller loss on ``held``; the model of the best round, and its number.
+
+    Gradient boosting for the logistic loss, a tree a round: the first fits the labels (-1 and 1), each
+    later one the residuals 4 y / (1 + exp(2 y F)) of the margin F so far. After each block of rounds the
+    margins are stored and the losses of its rounds are looked at, so at most ``patience`` rounds rounded
+    up to a block are trained beyond the best, and none twice: the model is made of the first trees.
     """
+    columns = ["features", "label", "weight"]
+    state = durable(
+        train.select(*columns, F.lit(False).alias("held")).unionByName(held.select(*columns, F.lit(True).alias("held")))
+        .withColumn("margin", F.lit(0.0))
+    )
+    vector = F.unwrap_udt("features")
+    size = state.select(F.coalesce(vector["size"], F.size(vector["values"])).alias("n")).first().n
+    trees: list[DecisionTreeRegressionModel] = []
+    weights: list[float] = []
+    losses: list[float] = []
+    while len(trees) < booster.max_iter:
+        now, names = state, []
+        for _ in range(min(BLOCK_ROUNDS, booster.max_iter - len(trees))):
+            k = len(trees)
+            margin = names[-1] if names else "margin"
+            target = f"4 * (2 * label - 1) / (1 + exp(2 * (2 * label - 1) * {margin}))" if k else "2 * label - 1"
+            grower = RandomForestRegressor(
+                featuresCol="features", labelCol="target", weightCol="weight", predictionCol="grown", numTrees=1,
+                bootstrap=False, maxDepth=booster.max_depth, minInstancesPerNode=booster.min_instances_per_node,
+                subsamplingRate=booster.subsampling_rate, featureSubsetStrategy=booster.feature_subset,
+                maxMemoryInMB=booster.max_memory_mb, seed=seed + k,
+            )
+            tree = grower.fit(T.derive(now.filter("not held"), {"target": target})).trees[0]
+            trees.append(tree.setPredictionCol("grown"))
+            weights.append(booster.step_size if k else 1.0)
+            names.append(f"m{k}")
+            now = T.derive(tree.transform(now), {names[-1]: f"{margin} + {weights[-1]!r}D * grown"}).drop("grown")
+        after = durable(now)
+        drop(state)
+        # log(1 + exp(-2 y F)), without overflow
+        loss = "avg(2 * (greatest(z, 0D) + log1p(exp(-abs(z)))))"
+        found = after.filter("held").selectExpr(*[
+            loss.replace("z", f"(-2 * (2 * label - 1) * {m})") for m in names]).first()
+        losses += [float("inf") if x is None else x for x in found]
+        state = after.select(*columns, "held", F.col(names[-1]).alias("margin"))
+        state.shared_path = after.shared_path
+        best = min(range(len(losses)), key=losses.__getitem__) + 1
+        if best + booster.patience <= len(trees):
+            break
+    drop(state)
+    return boosted_model(trees[:best], weights[:best], size), best
+
+
+def fit_patiently(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple:
+    """The model with the round count of least loss on ``held``, and that count; None for the linear learner."""
     if booster.learner == "logistic":
         return learner(booster, seed).fit(train), None
-    rounds = min(booster.max_iter, 2 * booster.patience)
-    while True:
-        model = learner(booster, seed, rounds).fit(train)
-        losses = model.evaluateEachIteration(held)
-        best = min(range(rounds), key=lambda k: losses[k]) + 1
-        if best + booster.patience <= rounds or rounds == booster.max_iter:
-            break
-        rounds = min(booster.max_iter, 2 * rounds)
-    return (model if best == rounds else learner(booster, seed, best).fit(train)), best
+    return boost(train, held, booster, seed)
 
 
 def score(model, df: DataFrame, name: str) -> DataFrame:
@@ -105,15 +159,9 @@ def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame
 
 
 def calibrate(model, held: DataFrame) -> IsotonicRegressionModel:
-    """Monotone map from the model's probability to the observed rate.
-
-    Equal scores are merged first, so the fit sees distinct scores only.
-    """
-    merged = score(model, held, "raw").groupBy("raw").agg(
-        F.avg(F.col(LABEL).cast("double")).alias("rate"),
-        F.count(F.lit(1)).cast("double").alias("n"),
-    )
-    return IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="n").fit(merged)
+    """Monotone map from the model's probability to the observed rate."""
+    scored = durable(score(model, held, "raw").select("raw", F.col(LABEL).cast("double").alias("rate")))
+    return fit_isotonic(scored, "raw", "rate")
 
 
 def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig(),
@@ -165,13 +213,14 @@ class MismatchModel:
         return with_prediction(scored, t)
 
     def attribute(self, df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-        """Add the top attributions of every given row, without a shuffle."""
-        if not self.coefficients:
-            raise ValueError("The model was trained without an explainer.")
-        rows = FE.with_vector_entries(self.features.transform(df))
-        return with_attributions(
-            rows, self.features.names(), self.coefficients, self.means, config.top_attributions
-        ).drop("features", "entries")
+        """Add the top attributions of every given row, without a shuffle: those of the models that score it."""
+        rows, names = self.features.transform(df), self.features.names()
+        if self.coefficients:
+            rows = with_attributions(
+                FE.with_vector_entries(rows), names, self.coefficients, self.means, config.top_attributions)
+            return rows.drop("features", "entries")
+        paths = PathModel.of([model for model, _ in self.pairs])
+        return with_path_attributions(rows, names, paths, config.top_attributions).drop("features")
 
     def save(self, path: str) -> None:
         self.features.save(f"{path}/features")
@@ -203,21 +252,10 @@ class MismatchModel:
         )
 
 
-def explain(df: DataFrame, pairs: list[tuple], config: AuditConfig = AuditConfig()) -> tuple[list[float], list[float]]:
-    """Coefficients to explain scores with, and the feature means: two numbers per feature.
-
-    For the linear learner they are the means of the scoring models' own coefficients. For
-    boosted trees they are those of a linear model of the same rows, a stand-in.
-    """
-    if config.booster.learner == "logistic":
-        models = [model for model, _ in pairs]
-    else:
-        models = [LogisticRegression(
-            featuresCol="features", labelCol="label", weightCol="weight",
-            maxIter=config.booster.explainer_iter, regParam=config.booster.ridge,
-        ).fit(weighted(df))]
+def explain(df: DataFrame, pairs: list[tuple]) -> tuple[list[float], list[float]]:
+    """For linear models: the means of their coefficients, and the feature means; two numbers per feature."""
     mean = df.select(Summarizer.mean(F.col("features"))).first()[0]
-    own = sum(m.coefficients.toArray() for m in models) / len(models)
+    own = sum(model.coefficients.toArray() for model, _ in pairs) / len(pairs)
     return [float(x) for x in own], [float(x) for x in mean.toArray()]
 
 
@@ -232,32 +270,35 @@ def check_training_size(df: DataFrame, config: AuditConfig = AuditConfig()) -> N
 def prepare_training(rows: DataFrame, config: AuditConfig = AuditConfig()):
     """The fitted feature model, and the durable table of vectors with both kinds of folds.
 
-    ``fold`` is for validation, ``part`` for calibration. Folds are assigned before vectors
-    are made: the tables that are sorted for them hold texts, not vectors.
+    ``fold`` is for validation, ``part`` for calibration. Folds are dealt to keys and hashes of rows
+    alone; texts are neither sorted nor stored for them, only vectors meet their folds.
     """
     model = FE.FeatureModel.fit(rows, config)
-    folds = stratified_folds(rows, LABEL, "ticket_id", config.calibration_folds, config.seed + 1)
-    folds = stratified_folds(
-        folds.withColumnRenamed("fold", "part"), LABEL, "ticket_id", config.cv_folds, config.seed)
-    return model, durable(model.transform(folds).select("ticket_id", LABEL, "fold", "part", "features"))
+    wanted = {"part": (config.calibration_folds, config.seed + 1), "fold": (config.cv_folds, config.seed)}
+    keyed = with_row_keys(rows)
+    table = fold_table(keyed, LABEL, wanted)
+    vectors = model.transform(keyed).select("ticket_id", LABEL, *ROW_KEYS, "features")
+    return model, durable(with_folds(vectors, table, wanted).select("ticket_id", LABEL, "fold", "part", "features"))
 
 
-def train(labelled: DataFrame, config: AuditConfig = AuditConfig(),
-          explainer: bool = True) -> MismatchModel:
+def train(labelled: DataFrame, config: AuditConfig = AuditConfig()) -> MismatchModel:
     """Cross-validate, choose the threshold, and fit the calibrated model.
 
-    ``labelled`` is read several times: give the durable table of the infer stage.
+    ``labelled`` is read several times: give the durable table of the infer stage. Of all tables that
+    training writes only the model's own stay: its folds, scores and feature tables.
     """
     rows = labelled.filter("include_in_training")
     check_training_size(rows, config)
-    feature_model, table = prepare_training(rows, config)
-    oof = durable(out_of_fold(table, config).select(
-        "ticket_id", LABEL, "fold", "rounds", "mismatch_probability"))
-    folds = durable(M.fold_metrics(oof))
-    threshold = M.fold_threshold_median(folds).first().threshold
-    # a number a fold; null for the linear learner
-    rounds = [r.rounds for r in oof.select("fold", "rounds").distinct().collect() if r.rounds]
-    pairs = fit_calibrated(table, config, int(median_high(rounds)) if rounds else None)
-    coefficients, means = explain(table, pairs, config) if explainer else ([], [])
-    drop(table)
+    with scratch() as mine:
+        feature_model, table = prepare_training(rows, config)
+        oof = durable(out_of_fold(table, config).select(
+            "ticket_id", LABEL, "fold", "rounds", "mismatch_probability"))
+        folds = durable(M.fold_metrics(oof))
+        threshold = M.fold_threshold_median(folds).first().threshold
+        # a number a fold; null for the linear learner
+        rounds = [r.rounds for r in oof.select("fold", "rounds").distinct().collect() if r.rounds]
+        pairs = fit_calibrated(table, config, int(median_high(rounds)) if rounds else None)
+        linear = config.booster.learner == "logistic"
+        coefficients, means = explain(table, pairs) if linear else ([], [])
+        mine.keep(oof, folds, feature_model.encoders, feature_model.tfidf.vocabulary)
     return MismatchModel(feature_model, pairs, threshold, folds, oof, coefficients, means)

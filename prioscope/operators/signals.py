@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prioscope.config import LABEL_PROBABILITY_WEIGHTS, AuditConfig
 from prioscope.functions import text as T
-from prioscope.functions.ordering import exact_quantiles
+from prioscope.functions.durable import durable
+from prioscope.functions.ordering import exact_quantiles, joinable
 
 # What each structural signal contributes, when it is present.
 CSAT_SHARE, RESOLUTION_SHARE, RESPONSE_SHARE = 0.50, 0.35, 0.15
@@ -112,27 +112,31 @@ def sentiment_compound(text: str, valence: Mapping[str, float]) -> str:
     return T.let("s", T.let("w", T.tokens(text), total), "s / sqrt(s * s + 15D)")
 
 
+def joined_tokens(df: DataFrame, valence: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` stored with a number a row, and (number, valence) of each token that the table has."""
+    words = valence.selectExpr("lower(word) AS _word", "CAST(valence AS DOUBLE) AS _valence").filter(
+        "_word IS NOT NULL AND _valence IS NOT NULL"
+    ).groupBy("_word").agg(F.sum("_valence").alias("_valence"))
+    rows = durable(df.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = T.derive(rows.select("_row", text), {"_tokens": T.tokens(text)}).select(
+        "_row", F.explode("_tokens").alias("_word"))
+    return rows, tokens.join(joinable(words), "_word").select("_row", "_valence")
+
+
 def with_sentiment_compound(df: DataFrame, valence: DataFrame, text: str = "full_text",
                             name: str = "compound") -> DataFrame:
-    """The same from a valence table (word, valence), of any size that fits the driver.
+    """The same from a valence table (word, valence) of any size.
 
-    Tokens are counted by hash lookup in Spark ML's count vectors, so a row costs time
-    linear in its tokens whatever the size of the table. A word that repeats in the
-    table has the sum of its valences.
+    Rows are stored with a number; their tokens meet the table, which is broadcast if it is counted
+    small and shuffled beyond that, and a row's valences are added up in the tasks before they are
+    sent to its number. A word that repeats in the table has the sum of its valences. A row without
+    any of the words, or without a text, has 0.
     """
-    rows = valence.selectExpr("lower(word) AS word", "CAST(valence AS DOUBLE) AS valence").filter(
-        "word IS NOT NULL AND valence IS NOT NULL"
-    ).groupBy("word").agg(F.sum("valence").alias("valence")).orderBy("word").collect()
-    if not rows:
-        return df.withColumn(name, F.lit(0.0))
-    counted = CountVectorizerModel.from_vocabulary(
-        [r.word for r in rows], inputCol="_tokens", outputCol="_counts", minTF=1.0
-    ).transform(T.derive(df, {"_tokens": T.tokens(text)})).withColumn("_u", F.unwrap_udt("_counts"))
-    total = (
-        "aggregate(zip_with(_u.indices, _u.values, (i, n) -> n * get(v, i)), 0D, (acc, x) -> acc + x)"
-    )
-    compound = T.let("s", T.let("v", T.doubles([r.valence for r in rows]), total), "s / sqrt(s * s + 15D)")
-    return T.derive(counted, {name: compound}).drop("_tokens", "_counts", "_u")
+    rows, found = joined_tokens(df, valence, text)
+    sums = found.groupBy("_row").agg(F.sum("_valence").alias("_s"))
+    total = "coalesce(_s, 0D)"
+    joined = rows.join(joinable(sums), "_row", "left")
+    return T.derive(joined, {name: f"{total} / sqrt({total} * {total} + 15D)"}).drop("_row", "_s")
 
 
 def sentiment_score(compound: str, text: str) -> str:
@@ -152,12 +156,13 @@ def label_probability_blend() -> str:
 def join_label_probabilities(df: DataFrame, probabilities: DataFrame) -> DataFrame:
     """Attach a table of label probabilities by ticket id, one row per id.
 
-    Repeated ids are averaged before the shuffle, so a hot id cannot multiply rows.
+    Repeated ids are averaged, so a hot id cannot multiply rows; the averages are stored, so that
+    the join can split it.
     """
     unique = probabilities.groupBy("ticket_id").agg(
         *[F.avg(c).alias(c) for c in LABEL_PROBABILITY_WEIGHTS]
     )
-    return df.join(unique, "ticket_id", "left")
+    return df.join(joinable(unique), "ticket_id", "left")
 
 
 def score_label_probabilities(df: DataFrame, make_predict: Callable,

@@ -735,11 +735,11 @@ _MARKDOWN = """'# Ticket Priority Dossier — Ticket ' || ticket_id
 || chr(10) || chr(10)
 || coalesce(s.spans, '_No direct urgency signals detected in ticket text._' || chr(10) || chr(10))
 || '---' || chr(10) || chr(10)
-|| '## 📊 Top Feature Attributions (SHAP)' || chr(10) || chr(10)
-|| '_Contributions of single features to a linear score of the mismatch; for boosted trees, of a linear model of the same tickets._'
+|| '## 📊 Top Feature Attributions' || chr(10) || chr(10)
+|| '_Contributions of single features to the score of the mismatch: along the paths of the scoring trees, or, for a linear score, coefficient times distance from the mean._'
 || chr(10) || chr(10)
-|| '| Rank | Feature | SHAP Value | Direction |' || chr(10)
-|| '|------|---------|------------|-----------|' || chr(10)
+|| '| Rank | Feature | Contribution | Direction |' || chr(10)
+|| '|------|---------|--------------|-----------|' || chr(10)
 || a.attributions || chr(10) || '---' || chr(10) || chr(10)
 || '*Generated by prioscope — ' || timestamp || '*'"""
 ORACLES["dossier_markdown"] = W(("records", "spans", "shown5"), f"""
@@ -869,3 +869,41 @@ FROM (SELECT CAST((row_number() OVER (PARTITION BY is_mismatch ORDER BY md5('42:
                   % 5 AS INTEGER) AS fold FROM labelled WHERE include_in_training) f GROUP BY fold
 UNION ALL
 SELECT 'scored', NULL, count(*), count(*), count(*) FROM labelled""")
+stage("points", ("scored",), """
+SELECT x, own_n, own_pos, sum(own_n) OVER (ORDER BY x) AS n, sum(own_pos) OVER (ORDER BY x) AS pos
+FROM (SELECT mismatch_probability AS x, count(*) AS own_n, sum(is_mismatch)::DOUBLE AS own_pos
+      FROM scored GROUP BY 1) p""")
+ORACLES["isotonic_scores"] = W(("scored", "points"), """
+SELECT ticket_id, mismatch_probability, round(fitted, 6) AS fitted FROM scored JOIN (
+  SELECT x, max(low) AS fitted FROM (
+    SELECT b.x, min((b.pos - a.pos + a.own_pos) / (b.n - a.n + a.own_n))
+                  OVER (PARTITION BY a.x ORDER BY b.x DESC) AS low
+    FROM points a JOIN points b ON a.x <= b.x) m
+  GROUP BY x) f ON mismatch_probability = x""")
+_ALL_TICKETS = "(SELECT count(*) FROM labelled)"
+_TRAINING = "(SELECT count(*) FROM labelled WHERE include_in_training)"
+_FACTS = {
+    "tickets": _ALL_TICKETS, "tickets in training": _TRAINING,
+    "scores of held-out tickets": _TRAINING, "held-out tickets": _TRAINING,
+    "scored tickets": _ALL_TICKETS, "scores from 0 to 1": _ALL_TICKETS,
+    "flagged tickets without a document": "0", "documents of other tickets": "0",
+    "documents with over five attributions": "0",
+    "margins that contributions add up to": _ALL_TICKETS,
+    "report lines that differ when read back": "0",
+    "too few rows are refused": "1", "tickets without a severity are refused": "1",
+    "tickets without texts are refused": "1",
+    "report lines: dataset": "(SELECT 1 + count(DISTINCT priority) FROM labelled)",
+    "report lines: severity": "(SELECT 1 + count(DISTINCT inferred_severity) FROM labelled)",
+    "report lines: pseudo_labels": "3", "report lines: predictions": "1",
+    # six numbers of each of five folds, and four of all
+    "report lines: cross_validation": "34",
+    "report lines: out_of_fold": "9", "report lines: oof_report": "20",
+    "report lines: slices": """(SELECT 3 * count(*) FROM (SELECT priority FROM labelled GROUP BY 1
+                                HAVING count(*) > 10 AND count(DISTINCT is_mismatch) > 1) t)""",
+    "report lines: sanity": "5",
+}
+ORACLES["audit_checks"] = W(("labelled",), " UNION ALL ".join(
+    f"SELECT '{what}' AS what, CAST({n} AS BIGINT) AS n" for what, n in _FACTS.items()))
+ORACLES["model_roundtrip"] = W(("labelled",), f"""
+SELECT {_ALL_TICKETS} AS n, {_ALL_TICKETS} AS n_own, {_ALL_TICKETS} AS n_loaded, 0 AS n_differ,
+       true AS same_threshold, {_TRAINING} AS n_oof""")

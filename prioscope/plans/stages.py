@@ -21,6 +21,7 @@ from prioscope.operators import evidence, labels, metrics, model
 from prioscope.operators.ingest import prepare_tickets
 from prioscope.operators.severity import infer_severity
 from prioscope.operators.signals import StructuralStats, join_label_probabilities
+from prioscope.sources.tickets import resolve_columns
 
 
 def infer(raw: DataFrame, config: AuditConfig = AuditConfig(),
@@ -31,9 +32,12 @@ def infer(raw: DataFrame, config: AuditConfig = AuditConfig(),
 
     The cleaned tickets are made durable too: the whole-table statistics then read
     three narrow columns instead of parsing the source again. That table is deleted here.
+    Tickets that were numbered because they had no ids are stored by that already.
     """
     with scratch(keep_last=True):
-        tickets = durable(prepare_tickets(raw))
+        tickets = prepare_tickets(raw)
+        if resolve_columns(raw.columns)["ticket_id"] is not None:
+            tickets = durable(tickets)
         if label_probabilities is not None:
             tickets = join_label_probabilities(tickets, label_probabilities)
         return durable(labels.pseudo_labels(infer_severity(tickets, stats, config, valence), config))
@@ -51,10 +55,10 @@ def predict(labelled: DataFrame, trained: model.MismatchModel,
 
 def dossier(predictions: DataFrame, trained: model.MismatchModel | None = None,
             config: AuditConfig = AuditConfig(), only_flagged: bool = True) -> DataFrame:
-    """Evidence documents; with attributions if a model with an explainer is given."""
+    """Evidence documents; with attributions if a model is given."""
     if only_flagged:
         predictions = predictions.filter("mismatch_predicted = 1")
-    if trained is not None and trained.coefficients:
+    if trained is not None:
         predictions = trained.attribute(predictions, config)
     return evidence.dossiers(predictions, config, only_flagged)
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, fields
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,7 @@ from prioscope.operators import evidence as EV
 from prioscope.operators import features as FE
 from prioscope.operators import folds as FO
 from prioscope.operators import ingest as I
+from prioscope.operators import isotonic as IS
 from prioscope.operators import labels as LA
 from prioscope.operators import lexicon as LX
 from prioscope.operators import metrics as M
@@ -31,13 +34,13 @@ from prioscope.operators import model as MO
 from prioscope.operators import severity as SV
 from prioscope.operators import signals as SG
 from prioscope.operators import thresholds as TH
+from prioscope.plans import stages
 from prioscope.sources import sinks, tickets as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 THRESHOLD = 0.23
-LINEAR = AuditConfig(booster=BoosterConfig(learner="logistic"))
 # boosted trees of full depth with the patient stop, in larger steps: the default step of 0.05
 # takes over a hundred rounds of several jobs each for every fold
 QUICK = AuditConfig(booster=BoosterConfig(step_size=0.3, patience=10))
@@ -61,13 +64,24 @@ def joined(array: str) -> str:
     return f"array_join(transform({array}, x -> CAST(x AS STRING)), '|')"
 
 
+_LABELLED: dict[tuple[str, str], DataFrame] = {}
+
+
 def durable_labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled table, written once for the queries that read or filter it.
+    """The labelled table, written once an application: later steps of an audit read it, and don't label again.
 
     A filter on a label would otherwise be pushed below the phrase matching, and
     repeat it.
     """
-    return durable(X.labelled(spark, sf))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LABELLED:
+        _LABELLED[key] = durable(X.labelled(spark, sf))
+    return _LABELLED[key]
+
+
+def scored_tickets(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled table with a stand-in score."""
+    return T.derive(durable_labelled(spark, sf), {"mismatch_probability": X.PROBABILITY})
 
 
 # ------------------------------------------------------------------- ingest
@@ -302,12 +316,12 @@ def pseudo_label_summary(spark, sf):
 
 @query
 def mismatch_direction_counts(spark, sf):
-    return LA.direction_counts(X.labelled(spark, sf))
+    return LA.direction_counts(durable_labelled(spark, sf))
 
 
 @query
 def label_quality_counts(spark, sf):
-    return LA.quality_counts(X.labelled(spark, sf))
+    return LA.quality_counts(durable_labelled(spark, sf))
 
 
 # ----------------------------------------------------------------- features
@@ -401,17 +415,17 @@ def feature_vector_entries(spark, sf):
 # --------------------------------------------------------------- classifier
 @query
 def stratified_folds(spark, sf):
-    return FO.stratified_folds(durable(X.labelled(spark, sf).select("ticket_id", "is_mismatch")))
+    return FO.stratified_folds(durable_labelled(spark, sf).select("ticket_id", "is_mismatch"))
 
 
 @query
 def class_weights(spark, sf):
-    return rounded(FO.class_weights(X.labelled(spark, sf)))
+    return rounded(FO.class_weights(durable_labelled(spark, sf)))
 
 
 def _scored_folds(spark, sf):
-    return FO.stratified_folds(durable(
-        X.scored(spark, sf).select("ticket_id", "is_mismatch", "mismatch_probability")))
+    return FO.stratified_folds(
+        scored_tickets(spark, sf).select("ticket_id", "is_mismatch", "mismatch_probability"))
 
 
 @query
@@ -421,7 +435,7 @@ def threshold_sweep(spark, sf):
 
 @query
 def optimal_threshold(spark, sf):
-    return rounded(TH.optimal_threshold(X.scored(spark, sf)))
+    return rounded(TH.optimal_threshold(scored_tickets(spark, sf)))
 
 
 @query
@@ -441,7 +455,7 @@ def cv_summary(spark, sf):
 
 
 def _predicted(spark, sf):
-    return TH.with_prediction(X.scored(spark, sf), THRESHOLD)
+    return TH.with_prediction(scored_tickets(spark, sf), THRESHOLD)
 
 
 @query
@@ -463,7 +477,7 @@ def predictions_export(spark, sf):
 @query
 def isotonic_fit(spark, sf):
     """Spark ML's isotonic regression over fifty probability bins."""
-    bins = durable(X.scored(spark, sf).selectExpr(
+    bins = durable(scored_tickets(spark, sf).selectExpr(
         "CAST(least(floor(mismatch_probability * 50), 49) AS DOUBLE) AS bin", "is_mismatch"
     ).groupBy("bin").agg(
         F.avg(F.col("is_mismatch").cast("double")).alias("rate"),
@@ -492,18 +506,27 @@ def calibrated_predict(spark, sf):
     return scored.select("ticket_id", "is_mismatch", "mismatch_probability")
 
 
+@query
+def isotonic_scores(spark, sf):
+    """The fit in ranges over all different scores: the fitted rate of each ticket's score."""
+    scored = scored_tickets(spark, sf)
+    model = IS.fit_isotonic(scored, "mismatch_probability", "is_mismatch").setPredictionCol("fitted")
+    return rounded(model.setFeaturesCol("mismatch_probability").transform(scored).select(
+        "ticket_id", "mismatch_probability", "fitted"))
+
+
 @query
 def train_predict(spark, sf):
-    """The whole training with the linear learner, then every ticket scored."""
+    """The whole training with boosted trees, then every ticket scored."""
     df = durable_labelled(spark, sf)
-    return sinks.prediction_columns(MO.train(df, LINEAR, explainer=False).predict(df))
+    return sinks.prediction_columns(MO.train(df, QUICK).predict(df))
 
 
 @query
 def train_predict_checks(spark, sf):
     """What holds for a trained model: rows, ids and probabilities of its folds and scores."""
     df = durable_labelled(spark, sf)
-    model = MO.train(df, LINEAR, explainer=False)
+    model = MO.train(df, QUICK)
 
     def facts(rows, part, fold):
         return rows.groupBy(F.lit(part).alias("part"), fold.alias("fold")).agg(
@@ -514,6 +537,83 @@ def train_predict_checks(spark, sf):
         facts(model.predict(df), "scored", F.lit(None).cast("int")))
 
 
+def _refused(step: Callable) -> int:
+    """1 if the step refuses its input."""
+    try:
+        step()
+    except ValueError:
+        return 1
+    return 0
+
+
+def _fact(df: DataFrame, name: str, value) -> DataFrame:
+    return df.agg(value.cast("long").alias("n")).select(F.lit(name).alias("what"), "n")
+
+
+@query
+def audit_checks(spark, sf):
+    """An audit from raw tickets to the written report, with boosted trees: what each stage must have given."""
+    raw = X.raw_tickets(spark, sf)
+    labelled = stages.infer(raw, QUICK, X.VALENCE)
+    model = stages.train(labelled, QUICK)
+    predictions = stages.predict(labelled, model)
+    documents = durable(stages.dossier(predictions, model, QUICK))
+    flagged = predictions.filter("mismatch_predicted = 1").select("ticket_id")
+    report = durable(stages.evaluate(predictions, model))
+    path = exported(spark)
+    sinks.write_report(report, path)
+    back = sinks.read_report(spark, path)
+    booster = model.pairs[0][0]
+    paths = A.PathModel.of([booster])
+    explained = A.with_path_contributions(model.features.transform(labelled), paths)
+    margins = booster.transform(explained).select(
+        vector_to_array("rawPrediction")[1].alias("raw"),
+        F.aggregate("contributions", F.lit(0.0), lambda acc, x: acc + x["c"]).alias("own"))
+    every, in_range = F.count(F.lit(1)), F.col("mismatch_probability").between(0, 1)
+    facts = [
+        _fact(labelled, "tickets", every),
+        _fact(labelled, "tickets in training", F.count_if(F.col("include_in_training"))),
+        _fact(model.oof, "scores of held-out tickets", every),
+        _fact(model.oof, "held-out tickets", F.countDistinct("ticket_id")),
+        _fact(predictions, "scored tickets", F.countDistinct("ticket_id")),
+        _fact(predictions, "scores from 0 to 1", F.count_if(in_range)),
+        _fact(flagged.exceptAll(documents.select("ticket_id")), "flagged tickets without a document", every),
+        _fact(documents.select("ticket_id").exceptAll(flagged), "documents of other tickets", every),
+        _fact(documents, "documents with over five attributions", F.count_if(F.size("shap_attributions") > 5)),
+        # Spark ML's raw prediction is the margin, for the class 1
+        _fact(margins, "margins that contributions add up to", F.count_if(F.abs(F.col("own") + paths.base - F.col("raw")) < 1e-9)),
+        _fact(report.exceptAll(back).unionByName(back.exceptAll(report)), "report lines that differ when read back", every),
+        spark.createDataFrame([
+            ("too few rows are refused", _refused(lambda: MO.train(labelled.limit(QUICK.min_training_rows - 1), QUICK))),
+            ("tickets without a severity are refused", _refused(lambda: LA.pseudo_labels(labelled.drop("severity_confidence")))),
+            ("tickets without texts are refused", _refused(lambda: stages.infer(raw.drop("Ticket_Description", "Ticket_Subject"), QUICK))),
+        ], "what STRING, n LONG"),
+        report.groupBy(F.concat(F.lit("report lines: "), F.col("section")).alias("what")).agg(every.alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, facts)
+
+
+@query
+def model_roundtrip(spark, sf):
+    """A model saved and loaded: tickets scored by both, and scores, thresholds and attributions that differ."""
+    df = durable_labelled(spark, sf)
+    model = MO.train(df, QUICK)
+    path = exported(spark)
+    model.save(path)
+    again = MO.MismatchModel.load(spark, path)
+
+    def scores(m, name):
+        return m.attribute(m.predict(df), QUICK).select(
+            "ticket_id", F.struct("mismatch_probability", "mismatch_predicted", "shap_attributions").alias(name))
+
+    both = scores(model, "own").join(scores(again, "loaded"), "ticket_id", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.count("own").alias("n_own"), F.count("loaded").alias("n_loaded"),
+        F.count_if(~F.col("own").eqNullSafe(F.col("loaded"))).alias("n_differ"),
+    ).withColumn("same_threshold", F.lit(model.threshold == again.threshold)).withColumn(
+        "n_oof", F.lit(again.oof.count()))
+
+
 # ---------------------------------------------------- attributions, evidence
 def _coefficient(i: int) -> float:
     return ((i * 37) % 21 - 10) / 10
@@ -624,27 +724,27 @@ def dossier_markdown(spark, sf):
 # ------------------------------------------------------------------ metrics
 @query
 def metric_auc(spark, sf):
-    return rounded(M.auc(X.scored(spark, sf)))
+    return rounded(M.auc(scored_tickets(spark, sf)))
 
 
 @query
 def classification_metrics(spark, sf):
-    return rounded(M.classification_metrics(X.scored(spark, sf), 0.5))
+    return rounded(M.classification_metrics(scored_tickets(spark, sf), 0.5))
 
 
 @query
 def classification_report(spark, sf):
-    return rounded(M.classification_report(X.scored(spark, sf), 0.5))
+    return rounded(M.classification_report(scored_tickets(spark, sf), 0.5))
 
 
 @query
 def confusion_matrix(spark, sf):
-    return M.confusion_matrix(X.scored(spark, sf), 0.5)
+    return M.confusion_matrix(scored_tickets(spark, sf), 0.5)
 
 
 @query
 def roc_curve(spark, sf):
-    return rounded(M.roc_curve(X.scored(spark, sf)))
+    return rounded(M.roc_curve(scored_tickets(spark, sf)))
 
 
 @query
@@ -654,18 +754,17 @@ def priority_severity_crosstab(spark, sf):
 
 @query
 def probability_histogram(spark, sf):
-    scores = durable(X.scored(spark, sf).select("mismatch_probability"))
-    return rounded(M.probability_histogram(scores))
+    return rounded(M.probability_histogram(scored_tickets(spark, sf)))
 
 
 @query
 def adversarial_slices(spark, sf):
-    return M.adversarial_slices(X.scored(spark, sf))
+    return M.adversarial_slices(scored_tickets(spark, sf))
 
 
 @query
 def sanity_checks(spark, sf):
-    return rounded(M.sanity_checks(X.scored(spark, sf)))
+    return rounded(M.sanity_checks(scored_tickets(spark, sf)))
 
 
 @query

@@ -74,3 +74,8 @@ def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
 def write_report(metrics: DataFrame, path: str) -> None:
     """The long metrics table: a few dozen rows."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(
+        "section STRING, metric STRING, dim STRING, value DOUBLE, pct DOUBLE").json(path)

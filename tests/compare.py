@@ -48,3 +48,27 @@ def differences(spark_df, con, sql: str) -> list[str]:
         out += [f"  spark  {r[:300]}" for r in sorted(extra)[:3]]
         out += [f"  duckdb {r[:300]}" for r in sorted(lacking)[:3]]
     return out
+
+
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "16k",
+    "spark.sql.files.openCostInBytes": "1k",
+}
+
+
+def splits_hot_keys(spark, make) -> bool:
+    """Whether adaptive execution splits a join of ``make()``, with every side too large for a broadcast."""
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    try:
+        for k, v in SKEW.items():
+            spark.conf.set(k, v)
+        df = make()
+        df.collect()
+        return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -182,6 +182,9 @@ def test_default_booster_stops_patiently(spark):
     booster = BoosterConfig()
     model, rounds = MO.fit_patiently(train, held, booster, 42)
     assert rounds == model.getNumTrees > 20
+    # Spark ML counts the losses of its own rounds alike: the last is the least
+    losses = model.evaluateEachIteration(held)
+    assert min(losses) == losses[-1]
 
     def area(m):
         scored = MO.score(m, held, "mismatch_probability")
@@ -190,6 +193,64 @@ def test_default_booster_stops_patiently(spark):
     assert area(model) > area(MO.learner(booster, 42, 2).fit(train)) + 0.01
 
 
+def _small_trees(spark, rows=400, rounds=4):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(rows, 4)), 2)
+    y = (x[:, 0] * x[:, 1] + 0.3 * x[:, 2] > 0).astype(float)
+    df = spark.createDataFrame(
+        [(str(i), float(b), 1.0, Vectors.dense(a.tolist()) if i % 2 else Vectors.sparse(4, list(enumerate(a.tolist()))))
+         for i, (a, b) in enumerate(zip(x, y))], ["ticket_id", "label", "weight", "features"]).coalesce(1)
+    booster = BoosterConfig(max_iter=rounds, max_depth=3, min_instances_per_node=5, step_size=0.3)
+    return df, booster
+
+
+def test_first_trees_are_a_model(spark):
+    """A prefix has the trees, weights and scores that its own sums give."""
+    df, booster = _small_trees(spark)
+    model, rounds = MO.boost(df, df, booster, 1)
+    assert rounds == 4 and model.treeWeights == [1.0, 0.3, 0.3, 0.3]
+    first = MO.boosted_model(model.trees[:2], model.treeWeights[:2], 4)
+    assert first.getNumTrees == 2
+    sums = first.trees[1].setPredictionCol("b").transform(first.trees[0].setPredictionCol("a").transform(df))
+    for r in first.transform(sums).limit(50).collect():
+        assert r.rawPrediction[1] == pytest.approx(r.a + 0.3 * r.b)
+
+
+def test_path_contributions_add_up_to_the_margin(spark):
+    df, booster = _small_trees(spark)
+    models = [MO.boost(df, df, booster, seed)[0] for seed in (1, 2)]
+    paths = A.PathModel.of(models)
+    scored = A.with_path_contributions(df, paths)
+    for m, name in zip(models, "pq"):
+        scored = m.setRawPredictionCol(name).setProbabilityCol(f"{name}1").setPredictionCol(f"{name}2").transform(scored)
+    for r in scored.collect():
+        margin = (r.p[1] + r.q[1]) / 2
+        assert paths.base + sum(c.c for c in r.contributions) == pytest.approx(margin)
+        size = [round(abs(c.c), 12) for c in r.contributions]
+        assert size == sorted(size, reverse=True)
+
+
+def test_path_contributions_by_hand(spark):
+    """One tree: feature 2 at most 0.5, then on its left feature 0 at most 1."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    paths = A.PathModel(
+        np.array([2, 0, -1, -1, -1]), np.array([0.5, 1.0, 0, 0, 0]), np.array([1, 3, 0, 0, 0]), np.array([2, 4, 0, 0, 0]),
+        np.array([0.1, -0.2, 0.7, -0.5, 0.4]), np.array([0]), 2)
+    df = spark.createDataFrame(
+        [("a", Vectors.dense(1.0, 9.0, 0.5)), ("b", Vectors.dense(2.0, 9.0, 0.0)), ("c", Vectors.sparse(3, {2: 0.6})), ("d", Vectors.sparse(3, {}))],
+        ["ticket_id", "features"])
+    got = {r.ticket_id: [(c.idx, round(c.c, 9)) for c in r.contributions] for r in A.with_path_contributions(df, paths).collect()}
+    assert got == {"a": [(0, -0.3), (2, -0.3)], "b": [(0, 0.6), (2, -0.3)], "c": [(2, 0.6)], "d": [(0, -0.3), (2, -0.3)]}
+    names = ["tfidf:x", "y", "word_count"]
+    top = {r.ticket_id: [(a.feature, a.shap_value) for a in r.shap_attributions] for r in A.with_path_attributions(df, names, paths, 1).collect()}
+    assert top == {"a": [("tfidf:x", -0.3)], "b": [("tfidf:x", 0.6)], "c": [("word_count", 0.6)], "d": [("tfidf:x", -0.3)]}
+
+
 def test_save_and_load(spark, labelled, trained, tmp_path):
     path = str(tmp_path / "model")
     trained.save(path)
@@ -241,7 +302,7 @@ def test_documents_round_trip(spark, predictions, trained, tmp_path):
 
 def test_document_without_attributions(predictions):
     text = EV.with_markdown(stages.dossier(predictions)).first().markdown
-    assert "SHAP attributions not available" in text
+    assert "Feature attributions not available" in text
 
 
 def test_report(predictions, trained, tmp_path):

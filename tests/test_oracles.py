@@ -4,10 +4,31 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, differences
+from prioscope import fixtures
+from prioscope.functions.durable import durable
+from prioscope.operators import model
 
 SQL = entry.oracle_sql()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, sf_dir):
+    """Tickets are cleaned, and a model is trained, once for all queries."""
+    tickets = durable(fixtures.tickets(spark, sf_dir))
+    trained = {}
+
+    def train(labelled, config):
+        if config not in trained:
+            trained[config] = train_once(labelled, config)
+        return trained[config]
+
+    train_once = model.train
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(fixtures, "tickets", lambda spark, sf_dir: tickets)
+        patch.setattr(model, "train", train)
+        yield
+
+
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return connect(sf_dir)

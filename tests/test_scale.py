@@ -195,3 +195,81 @@ def test_infer_leaves_its_result_alone(spark, sf_dir, tmp_path, monkeypatch):
     labelled = stages.infer(fixtures.raw_tickets(spark, sf_dir))
     assert labelled.count() > 0
     assert len(os.listdir(f"{tmp_path}/tables/{spark.sparkContext.applicationId}")) == 1
+
+
+def test_hot_ticket_is_split(spark, monkeypatch):
+    """Label probabilities: half of all tickets have one id."""
+    from compare import splits_hot_keys
+    from prioscope.config import LABEL_PROBABILITY_WEIGHTS
+    from prioscope.operators import signals as SG
+
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+    tickets = spark.range(40_000).selectExpr("IF(id % 2 = 0, 'hot', CAST(id AS STRING)) AS ticket_id", "md5(CAST(id AS STRING)) AS t")
+    known = spark.range(500).selectExpr(
+        "IF(id = 0, 'hot', CAST(id AS STRING)) AS ticket_id", *[f"0.25D AS {c}" for c in LABEL_PROBABILITY_WEIGHTS])
+    assert splits_hot_keys(spark, lambda: SG.join_label_probabilities(tickets, known))
+
+
+def test_valence_of_a_million_words(spark, monkeypatch):
+    """The table stays on Spark, small or large; a text without its words has 0."""
+    from compare import splits_hot_keys
+    from prioscope.operators import signals as SG
+
+    table = spark.range(1_000_000).selectExpr("concat('w', id) AS word", "CAST(id % 7 - 3 AS DOUBLE) AS valence")
+    rows = [(str(i), f"w{i} w{i} the other w{i + 1}" if i % 5 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "ticket_id STRING, full_text STRING")
+    expected = {}
+    for i in range(2000):
+        s = 2 * (i % 7 - 3) + (i + 1) % 7 - 3 if i % 5 else 0
+        expected[str(i)] = pytest.approx(s / (s * s + 15) ** 0.5)
+    assert {r.ticket_id: r.compound for r in SG.with_sentiment_compound(df, table).collect()} == expected
+    hot = spark.range(3000).selectExpr("CAST(id AS STRING) AS ticket_id", "repeat('w1 ', 5) AS full_text")
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+    few = table.limit(2000)
+    assert SG.with_sentiment_compound(hot, few).filter("compound <> -10D / sqrt(115D)").count() == 0
+    assert splits_hot_keys(spark, lambda: SG.joined_tokens(hot, few, "full_text")[1])
+
+
+def test_folds_of_repeated_rows(spark):
+    """Copies of one row are dealt like different rows; nothing of a row is lost, null ids neither."""
+    rows = [(str(i % 50) if i % 7 else None, i % 3, f"t{i % 9}") for i in range(500)] + [("hot", 1, "same")] * 301
+    df = spark.createDataFrame(rows, "ticket_id STRING, is_mismatch INT, text STRING")
+    got = FO.stratified_folds(df).collect()
+    assert sorted(map(repr, (tuple(r)[:3] for r in got))) == sorted(map(repr, rows))
+    for label in range(3):
+        sizes = [sum(r.is_mismatch == label and r.fold == f for r in got) for f in range(5)]
+        assert max(sizes) - min(sizes) <= 1
+
+
+def test_folds_sort_no_texts(spark, labelled):
+    """Only keys and hashes are ordered: no stored table of the folds has a text."""
+    keyed = FO.with_row_keys(labelled)
+    table = FO.fold_table(keyed, "is_mismatch", {"fold": (5, 42)})
+    assert set(table.columns) == {"_k", "_c", "n", "fold"}
+    plan = plan_of(FO.with_folds(keyed, table, {"fold": (5, 42)}))
+    assert "Sort [" not in plan and "Exchange rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("one_task", [65_536, 0])
+@pytest.mark.parametrize("kind", ["rising", "noise", "falling", "ties"])
+def test_isotonic_in_ranges_is_spark_mls(spark, monkeypatch, one_task, kind):
+    from pyspark.ml.regression import IsotonicRegression
+    from prioscope.operators import isotonic as IS
+
+    monkeypatch.setattr(IS, "ONE_TASK", one_task)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random(1500), 2 if kind == "ties" else 6)
+    y = {"rising": rng.random(1500) < x, "noise": rng.random(1500), "falling": 1 - x, "ties": rng.random(1500) < x}[kind]
+    df = spark.createDataFrame([(float(a), float(b), float(w)) for a, b, w in zip(x, y, rng.integers(1, 4, 1500))], "raw DOUBLE, rate DOUBLE, n DOUBLE").repartition(6)
+    own = IS.fit_isotonic(df, "raw", "rate", "n")
+    spark_ml = IsotonicRegression(featuresCol="raw", labelCol="rate", weightCol="n").fit(df)
+    at = spark.range(1001).selectExpr("id / 1000D AS raw")
+    a, b = ([r.prediction for r in m.transform(at).orderBy("raw").collect()] for m in (own, spark_ml))
+    assert a == pytest.approx(b)
+
+
+def test_isotonic_of_nothing(spark):
+    from prioscope.operators import isotonic as IS
+
+    df = spark.createDataFrame([(None, 1.0), (0.5, None)], "raw DOUBLE, rate DOUBLE")
+    assert IS.isotonic_blocks(df, "raw", "rate").collect() == []
