@@ -4,9 +4,11 @@ Every text gets a 64-bit fingerprint of its word shingles. A vantage-point tree,
 sample, splits the different fingerprints into shards: at each node those within the median distance
 of its vantage point go left, the others right. By the triangle inequality two fingerprints within
 the radius can only be parted at a node if one of them lies within the radius of the boundary; so
-each fingerprint has one home shard, and visits the others whose boundary it overlaps. A shard finds
-all its pairs with a tree of its own, pruned by the same bounds, and returns a spanning forest of
-them, never the pairs of a large group.
+each fingerprint has one home shard, and visits the others whose boundary it overlaps. Those that ask in
+a shard, at home or visiting, are dealt to pieces; each piece has the shard's own fingerprints in a tree
+of its own, pruned by the same bounds, and returns a spanning forest of the pairs it finds, never the
+pairs of a large group. With n fingerprints the copies sent grow as n^0.5 beyond a million; shards are
+large, so that it takes a billion to come to about 25.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ from prioscope.llm.tables import components, durable, fresh
 class SimHashConfig:
     """``shard`` is the mean number of fingerprints at home in a shard.
 
-    The routing tree is grown on 32 sampled fingerprints a shard, ``sample`` (8 bytes each) at most.
+    The routing tree is grown on 32 sampled fingerprints a shard, ``sample`` (8 bytes each) at most. The
+    askers of a shard are cut into pieces of about ``piece``, or of the ``share`` of all fingerprints if
+    that is more: no task has a hundredth of them.
     """
 
     shingle: int = 3
     radius: int = 2
     seed: int = 42
-    sample: int = 1 << 20
-    shard: int = 16_384
+    sample: int = 1 << 22
+    shard: int = 1 << 20
+    piece: int = 1 << 16
+    share: float = 0.005
     leaf: int = 64
 
 
@@ -83,15 +89,16 @@ def grow(sample: np.ndarray, depth: int) -> list | int:
 
     def node(points: np.ndarray, depth: int) -> list | int:
         if depth and len(points) >= 8:
+            # distances are few, so of four vantage points and two cuts the most even split is taken
+            tried = []
             for vantage in points[:: max(1, len(points) // 4)][:4]:
                 d = _distance(points, vantage)
-                median = int(np.median(d))
-                left = d <= median
-                if left.all():
-                    median -= 1
-                    left = d <= median
-                if 0 < left.sum() < len(points):
-                    return [int(vantage), median, node(points[left], depth - 1), node(points[~left], depth - 1)]
+                for cut in (int(np.median(d)), int(np.median(d)) - 1):
+                    tried.append((abs(2 * int((d <= cut).sum()) - len(points)), int(vantage), cut))
+            uneven, vantage, cut = min(tried)
+            if uneven < len(points):
+                left = _distance(points, np.uint64(vantage)) <= cut
+                return [vantage, cut, node(points[left], depth - 1), node(points[~left], depth - 1)]
         count[0] += 1
         return count[0] - 1
 
@@ -164,12 +171,12 @@ def block_edges(rows: np.ndarray, others: np.ndarray, near: np.ndarray) -> tuple
     return np.concatenate(a), np.concatenate(b)
 
 
-def shard_edges(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join all pairs within ``radius`` of which one at least is at home."""
+def shard_edges(fps: np.ndarray, home: np.ndarray, asks: np.ndarray, radius: int, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join all pairs within ``radius`` of one that is at home and one that asks."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def search(points: np.ndarray, asking: np.ndarray) -> None:
-        """Pairs of the home rows ``points`` with the rows ``asking``, which hold them too."""
+        """Pairs of the home rows ``points`` with the rows ``asking``."""
         stack = [(points, asking)]
         while stack:
             points, asking = stack.pop()
@@ -200,36 +207,57 @@ def shard_edges(fps: np.ndarray, home: np.ndarray, radius: int, leaf: int) -> tu
             stack.append((points[left], asking[d <= median + radius]))
             stack.append((points[~left], asking[d > median - radius]))
 
-    search(np.flatnonzero(home), np.arange(len(fps)))
+    search(np.flatnonzero(home), np.flatnonzero(asks))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+def pieces_of(sample: np.ndarray, tree: list | int, n: int, config: SimHashConfig) -> np.ndarray:
+    """The number of pieces of each shard, from how many of a sample of the ``n`` fingerprints ask in it."""
+    _, shard, _ = routed(sample, tree, config.radius)
+    asking = np.bincount(shard, minlength=1) * (n / max(1, len(sample)))
+    return np.maximum(1, np.ceil(asking / max(config.piece, config.share * n))).astype(np.int64)
+
+
+def dealt(fps: np.ndarray, tree: list | int, pieces: np.ndarray, radius: int) -> dict[str, np.ndarray]:
+    """(fp, shard, piece, home, asks): a shard's own rows go to all its pieces, and each asks in one of them."""
+    rows, shard, home = routed(fps.view(np.uint64), tree, radius)
+    shard = shard.astype(np.int64)
+    parts = pieces[np.minimum(shard, len(pieces) - 1)]
+    with np.errstate(over="ignore"):
+        own = ((fps[rows].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+    copies = np.where(home, parts, 1)
+    at = np.repeat(np.arange(len(rows)), copies)
+    place = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+    piece = np.where(home[at], place, own[at])
+    return {"fp": fps[rows[at]], "shard": shard[at], "piece": piece, "home": home[at], "asks": piece == own[at]}
+
+
 def links(different: DataFrame, config: SimHashConfig) -> DataFrame:
-    """Edges (a, b) between fingerprints of ``different`` (fp, without repeats): a spanning forest a shard."""
+    """Edges (a, b) between fingerprints of ``different`` (fp, without repeats): a spanning forest a piece."""
     n = different.count()
-    depth = max(0, min(math.ceil(math.log2(max(1, n) / config.shard)), int(math.log2(config.sample)) - 5))
-    sample = different.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(32 << depth if depth else 1).toPandas()
-    tree = grow(sample["fp"].to_numpy(np.int64).view(np.uint64), depth)
+    depth = max(0, math.ceil(math.log2(max(1, n) / config.shard)))
+    most = min(32 << depth, config.sample)
+    sample = different.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = grow(sample, depth)
+    pieces = pieces_of(sample, tree, n, config)
     radius, leaf = config.radius, config.leaf
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy()
-            rows, shard, home = routed(fps.view(np.uint64), tree, radius)
-            yield pd.DataFrame({"fp": fps[rows], "shard": shard.astype(np.int64), "home": home})
+            yield pd.DataFrame(dealt(batch["fp"].to_numpy(), tree, pieces, radius))
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("fp")
         fps = group["fp"].to_numpy()
-        a, b = shard_edges(fps.view(np.uint64).copy(), group["home"].to_numpy(), radius, leaf)
+        a, b = shard_edges(fps.view(np.uint64).copy(), group["home"].to_numpy(), group["asks"].to_numpy(), radius, leaf)
         label = lowest_labels(len(fps), a, b)
         own = np.flatnonzero(label != np.arange(len(fps)))
         return pd.DataFrame({"a": fps[own], "b": fps[label[own]]})
 
-    dealt = different.select("fp").mapInPandas(route, "fp long, shard long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(pairs, "a long, b long")
+    sent = different.select("fp").mapInPandas(route, "fp long, shard long, piece long, home boolean, asks boolean")
+    return sent.groupBy("shard", "piece").applyInPandas(pairs, "a long, b long")
 
 
 def classes(docs: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:

@@ -181,7 +181,7 @@ def test_vantage_point_links_are_all_links(spark, shard, spread):
     expected = plain_components(points)
     signed = [p - (1 << 64) if p >> 63 else p for p in points]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    config = simhash_dedup.SimHashConfig(shard=shard, leaf=8)
+    config = simhash_dedup.SimHashConfig(shard=shard, leaf=8, piece=60, share=0.0)
     edges = simhash_dedup.links(df, config)
     label = list(range(len(points)))
     at = {s: k for k, s in enumerate(signed)}
@@ -197,6 +197,21 @@ def test_vantage_point_links_are_all_links(spark, shard, spread):
     assert [find(k) for k in range(len(points))] == expected
 
 
+def test_a_billion_fingerprints_are_copied_few_times():
+    """The plan for 10^9 of them, tried on a part: copies of each sent, and the largest task."""
+    rng = np.random.default_rng(1)
+    config, n = simhash_dedup.SimHashConfig(), 10**9
+    sample = rng.integers(0, 1 << 64, 32 << 10, dtype=np.uint64)
+    tree = simhash_dedup.grow(sample, 10)
+    pieces = simhash_dedup.pieces_of(sample, tree, n, config)
+    some = rng.integers(-(1 << 63), 1 << 63, 131_072, dtype=np.int64)
+    sent = simhash_dedup.dealt(some, tree, pieces, config.radius)
+    assert sent["asks"].sum() >= len(some) and len(sent["fp"]) <= 25 * len(some)
+    assert (sent["home"] & sent["asks"]).sum() == len(some)
+    _, sizes = np.unique(sent["shard"] * 10_000 + sent["piece"], return_counts=True)
+    assert sizes.max() < 0.011 * len(some)
+
+
 def test_simhash_classes_of_odd_rows(spark):
     docs = documents(spark, ODD)
     rows = simhash_dedup.simhash_classes(docs).collect()
