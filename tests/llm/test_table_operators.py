@@ -313,6 +313,38 @@ def test_order_of_the_schedule_is_kept(spark):
     assert places == sorted(places)
 
 
+def test_sources_beyond_the_driver_share_slots(spark):
+    """Of 60 sources 8 have slots of their own; the others' blocks take the rest's slots by deadline."""
+    rng = random.Random(3)
+    rows = [(k, f"text {k}", "hot" if k % 3 == 0 else None if k % 17 == 0 else f"s{int(rng.expovariate(0.05))}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = Counter(r[2] for r in rows)
+    weights = {s: n**0.7 for s, n in counts.items()}
+    total = sum(weights.values())
+    got = sorted(mixing.mixed(docs, block_rows=4, frame=256, most_sources=8).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(4000)) and sorted(r.doc_id for r in got) == list(range(4000))
+    assert [r.slot for r in got] == sorted(r.slot for r in got)
+    top = sorted(counts, key=lambda s: -weights[s])[:8]
+    blocks = {(r.source, r.block): r for r in got}
+    assert len(blocks) == sum(-(-n // 4) for n in counts.values())
+    assert len({r.slot for r in blocks.values()}) == len(blocks)  # a block a slot
+    for source in top:
+        for (s, k), r in blocks.items():
+            if s == source:
+                assert r.release <= r.slot < r.deadline
+    others = sorted((r.slot, r.deadline) for (s, _), r in blocks.items() if s not in top)
+    assert all(a[1] <= b[1] + 1 for a, b in zip(others, others[1:], strict=False))
+    for r in got:
+        assert r.source in top or r.weight == pytest.approx(weights[r.source] / total)
+
+
+def test_many_sources_stay_on_spark(spark):
+    """As many sources as rows: the driver sees no more than it allows."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id) AS source")
+    got = mixing.mixed(docs, most_sources=16)
+    assert got.agg(F.countDistinct("position")).first()[0] == 30_000
+
+
 @pytest.mark.parametrize(("most", "kind"), [(256, "<i2"), (32767, "<i2"), (32768, "<i4"), (1 << 31, "<f8"), (1e300, "<f8")])
 def test_search_blocks_are_stored_narrow_and_whole(most, kind):
     data = np.array([[0.0, -most], [most, 1.0]])
