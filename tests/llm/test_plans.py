@@ -1,10 +1,11 @@
 """Hot keys are split, and small rules of the operators that the larger tests do not reach."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from compare import splits_hot_keys
-from prioscope.llm import line_dedup, packing, tables, topk_search, toxicity
+from prioscope.llm import line_dedup, packing, tables, topk_search, toxicity, url_filter
 
 
 @pytest.mark.parametrize("large", [True, False])
@@ -69,3 +70,46 @@ def test_columns_of_any_name_are_kept(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").withColumn("score", F.lit("x"))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.without_toxic(docs, none).columns == docs.columns
+
+
+def test_url_regression_is_a_plain_one(spark):
+    """n-grams, their buckets, the accelerated steps and the probabilities, in plain Python."""
+    import xxhash
+
+    config = url_filter.UrlConfig(buckets=97, steps=6)
+    urls = [f"http://{'abc'[k % 3]}{k % 7}.Example.{'com' if k % 2 else 'net'}/p/{k % 5}ä" for k in range(60)] + ["no url", "x://"]
+    labels = [float(k % 2 or k % 11 == 0) for k in range(60)] + [1.0, 0.0]
+
+    def buckets(url):
+        rest = url.partition("://")[2] if "://" in url else ""
+        cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:]
+        out = set()
+        for kind, text in (("host", f"^{host}$"), ("path", f"^{path}$")):
+            for n in config.grams:
+                for i in range(len(text) - n + 1):
+                    seed = xxhash.xxh64_intdigest(kind.encode(), 42)
+                    h = xxhash.xxh64_intdigest(text[i : i + n].encode(), seed)
+                    out.add((h - (1 << 64) if h >> 63 else h) % config.buckets)
+        return sorted(out)
+
+    x = np.zeros((len(urls), config.buckets))
+    for row, url in zip(x, urls, strict=True):
+        own = buckets(url)
+        row[own] = 1 / np.sqrt(max(1, len(own)))
+    y = np.array(labels)
+    w = last = np.zeros(config.buckets)
+    bias, momentum = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 1.0
+    for _ in range(config.steps):
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        ahead = w + (momentum - 1) / after * (w - last)
+        missed = y - 1 / (1 + np.exp(-(x @ ahead + bias)))
+        last, w, momentum = w, ahead * (1 - config.rate * config.ridge) + config.rate * x.T @ missed / len(y), after
+    expected = 1 / (1 + np.exp(-(x @ w + bias)))
+
+    labelled = spark.createDataFrame(list(zip(urls, labels, strict=True)), "url string, label double")
+    model = url_filter.fit(labelled, config)
+    assert model.weights == pytest.approx(w.tolist(), abs=1e-9)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.blocked_probability for r in url_filter.url_verdicts(pages, labelled, config).collect()}
+    assert [got[k] for k in range(len(urls))] == pytest.approx(expected.tolist(), abs=1e-9)
