@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -31,6 +32,9 @@ from prioscope.operators.thresholds import with_prediction
 LABEL = "is_mismatch"
 #: Rounds of boosting between two looks at the loss; margins are stored as often.
 BLOCK_ROUNDS = 10
+#: Fewer rows than this are not worth a task of their own in training: each task fills, and sends, histograms of
+#: all features for all nodes of a level, whatever its rows.
+ROWS_A_TASK = 4096
 
 
 def weighted(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -78,7 +82,15 @@ def boost(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int)
     up to a block are trained beyond the best, and none twice: the model is made of the first trees.
     """
     columns = ["features", "label", "weight"]
-    state = durable(
+    tasks = train.rdd.getNumPartitions()
+
+    def stored(df: DataFrame) -> DataFrame:
+        table = durable(df)
+        narrow = table.coalesce(tasks)
+        narrow.shared_path = table.shared_path
+        return narrow
+
+    state = stored(
         train.select(*columns, F.lit(False).alias("held")).unionByName(held.select(*columns, F.lit(True).alias("held")))
         .withColumn("margin", F.lit(0.0))
     )
@@ -104,7 +116,7 @@ def boost(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int)
             weights.append(booster.step_size if k else 1.0)
             names.append(f"m{k}")
             now = T.derive(tree.transform(now), {names[-1]: f"{margin} + {weights[-1]!r}D * grown"}).drop("grown")
-        after = durable(now)
+        after = stored(now)
         drop(state)
         # log(1 + exp(-2 y F)), without overflow
         loss = "avg(2 * (greatest(z, 0D) + log1p(exp(-abs(z)))))"
@@ -278,7 +290,8 @@ def prepare_training(rows: DataFrame, config: AuditConfig = AuditConfig()):
     keyed = with_row_keys(rows)
     table = fold_table(keyed, LABEL, wanted)
     vectors = model.transform(keyed).select("ticket_id", LABEL, *ROW_KEYS, "features")
-    return model, durable(with_folds(vectors, table, wanted).select("ticket_id", LABEL, "fold", "part", "features"))
+    made = durable(with_folds(vectors, table, wanted).select("ticket_id", LABEL, "fold", "part", "features"))
+    return model, made.coalesce(max(1, math.ceil(made.count() / ROWS_A_TASK)))
 
 
 def train(labelled: DataFrame, config: AuditConfig = AuditConfig()) -> MismatchModel:
