@@ -905,5 +905,6 @@ _FACTS = {
 ORACLES["audit_checks"] = W(("labelled",), " UNION ALL ".join(
     f"SELECT '{what}' AS what, CAST({n} AS BIGINT) AS n" for what, n in _FACTS.items()))
 ORACLES["model_roundtrip"] = W(("labelled",), f"""
-SELECT {_ALL_TICKETS} AS n, {_ALL_TICKETS} AS n_own, {_ALL_TICKETS} AS n_loaded, 0 AS n_differ,
+SELECT {_ALL_TICKETS} AS n, {_ALL_TICKETS} AS n_own, {_ALL_TICKETS} AS n_loaded,
+       CAST(0 AS BIGINT) AS n_differ,
        true AS same_threshold, {_TRAINING} AS n_oof""")
