@@ -41,11 +41,17 @@ def agreement(signals: Sequence[str]) -> str:
 
 
 def with_signals(df: DataFrame, stats: S.StructuralStats, config: AuditConfig = AuditConfig(),
-                 valence: Mapping[str, float] | None = None) -> DataFrame:
-    """The four signals. Without probabilities or valences they are a neutral 0.5."""
+                 valence: Mapping[str, float] | DataFrame | None = None) -> DataFrame:
+    """The four signals. Without probabilities or valences they are a neutral 0.5.
+
+    ``valence`` is a dictionary of a few dozen words, or a table (word, valence) of any size.
+    """
     use_model = set(LABEL_PROBABILITY_WEIGHTS) <= set(df.columns)
     sentiment = "0.5D"
-    if valence is not None:
+    if isinstance(valence, DataFrame):
+        df = S.with_sentiment_compound(df, valence, name="_compound")
+        sentiment = S.sentiment_score("_compound", "full_text")
+    elif valence is not None:
         compound = S.sentiment_compound("full_text", valence)
         sentiment = T.let("c", compound, S.sentiment_score("c", "full_text"))
     return T.derive(with_lexicon_hits(df), {
@@ -53,12 +59,12 @@ def with_signals(df: DataFrame, stats: S.StructuralStats, config: AuditConfig =
         "nli_severity_score": S.label_probability_blend() if use_model else "0.5D",
         "structural_score": S.structural_score(stats, config.structural_min_rows),
         "sentiment_score": sentiment,
-    })
+    }).drop("_compound")
 
 
 def infer_severity(df: DataFrame, stats: S.StructuralStats | None = None,
                    config: AuditConfig = AuditConfig(),
-                   valence: Mapping[str, float] | None = None) -> DataFrame:
+                   valence: Mapping[str, float] | DataFrame | None = None) -> DataFrame:
     """Add signals, ensemble score, label, rank and confidence to cleaned tickets.
 
     Label probability columns on ``df`` switch the model signal on. ``stats`` are

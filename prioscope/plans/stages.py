@@ -25,7 +25,7 @@ from prioscope.sources.tickets import resolve_columns
 
 
 def infer(raw: DataFrame, config: AuditConfig = AuditConfig(),
-          valence: Mapping[str, float] | None = None,
+          valence: Mapping[str, float] | DataFrame | None = None,
           label_probabilities: DataFrame | None = None,
           stats: StructuralStats | None = None) -> DataFrame:
     """Raw tickets to pseudo-labelled tickets, made durable for the later stages.

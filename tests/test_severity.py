@@ -201,3 +201,22 @@ def test_ranges(labelled):
         "priority_gap NOT BETWEEN -3 AND 3 OR inferred_severity_score NOT BETWEEN 0 AND 1 "
         "OR severity_confidence NOT BETWEEN 0 AND 1 OR pseudo_label_confidence NOT BETWEEN 0 AND 1")
     assert bad.count() == 0
+
+
+def test_severity_from_a_valence_table(spark, sf_dir):
+    """A table of words gives what the dictionary gives."""
+    from prioscope import fixtures
+    from prioscope.operators.severity import infer_severity
+
+    tickets = fixtures.tickets(spark, sf_dir).limit(60)
+    table = spark.createDataFrame(list(fixtures.VALENCE.items()), "word STRING, valence DOUBLE")
+
+    def scores(valence):
+        found = infer_severity(tickets, valence=valence)
+        assert "_compound" not in found.columns
+        return {r.ticket_id: pytest.approx((r.sentiment_score, r.inferred_severity_score))
+                for r in found.select("ticket_id", "sentiment_score", "inferred_severity_score").collect()}
+
+    first = scores(fixtures.VALENCE)
+    second = infer_severity(tickets, valence=table).select("ticket_id", "sentiment_score", "inferred_severity_score")
+    assert {r.ticket_id: (r.sentiment_score, r.inferred_severity_score) for r in second.collect()} == first
