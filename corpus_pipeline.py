@@ -52,7 +52,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     schedule, which depends on the documents alone, is made again. Workers forget their words at the end of
     a task: they also serve the other stages. Null and empty texts are the end id alone.
     """
-    return packing.packed(mixing.in_order(docs), packing.PackingConfig(known_bytes=48 << 20, remember=False))
+    return packing.packed(mixing.in_order(docs), packing.PackingConfig(known_bytes=16 << 20, remember=False))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
