@@ -18,9 +18,10 @@ def shared(spark, sf_dir):
     trained = {}
 
     def train(labelled, config):
-        if config not in trained:
-            trained[config] = train_once(labelled, config)
-        return trained[config]
+        key = (config, labelled.count())
+        if key not in trained:
+            trained[key] = train_once(labelled, config)
+        return trained[key]
 
     train_once = model.train
     with pytest.MonkeyPatch.context() as patch:
