@@ -13,7 +13,7 @@ from statistics import median_high
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from pyspark.util import inheritable_thread_target
 
 from prioscope.config import AuditConfig, BoosterConfig
 from prioscope.functions import text as T
-from prioscope.functions.durable import drop, durable, scratch
+from prioscope.functions.durable import durable, scratch
 from prioscope.operators import features as FE
 from prioscope.operators import metrics as M
 from prioscope.operators.attribution import PathModel, with_attributions, with_path_attributions
@@ -30,8 +30,8 @@ from prioscope.operators.isotonic import fit_isotonic
 from prioscope.operators.thresholds import with_prediction
 
 LABEL = "is_mismatch"
-#: Rounds of boosting between two looks at the loss; margins are stored as often.
-BLOCK_ROUNDS = 10
+#: Rounds of boosting in the first fit, in times of the patience.
+FIRST_FIT = 5
 #: Fewer rows than this are not worth a task of their own in training: each task fills, and sends, histograms of
 #: all features for all nodes of a level, whatever its rows.
 ROWS_A_TASK = 4096
@@ -73,63 +73,32 @@ def boosted_model(trees: list[DecisionTreeRegressionModel], weights: list[float]
     return GBTClassificationModel(made)
 
 
+def patient_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """The round of least loss before ``patience`` rounds brought no smaller one, from 1; and whether they did."""
+    best = 0
+    for k, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def boost(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple[GBTClassificationModel, int]:
     """Boost until ``patience`` rounds brought no smaller loss on ``held``; the model of the best round, and its number.
 
-    Gradient boosting for the logistic loss, a tree a round: the first fits the labels (-1 and 1), each
-    later one the residuals 4 y / (1 + exp(2 y F)) of the margin F so far. After each block of rounds the
-    margins are stored and the losses of its rounds are looked at, so at most ``patience`` rounds rounded
-    up to a block are trained beyond the best, and none twice: the model is made of the first trees.
+    Spark ML bins the features once for all rounds of a fit, and its first trees don't depend on how many
+    follow. So ``FIRST_FIT`` times ``patience`` rounds are fitted, twice as many as long as the patience does
+    not run out in them, and the model is made of the first trees.
     """
-    columns = ["features", "label", "weight"]
-    tasks = train.rdd.getNumPartitions()
-
-    def stored(df: DataFrame) -> DataFrame:
-        table = durable(df)
-        narrow = table.coalesce(tasks)
-        narrow.shared_path = table.shared_path
-        return narrow
-
-    state = stored(
-        train.select(*columns, F.lit(False).alias("held")).unionByName(held.select(*columns, F.lit(True).alias("held")))
-        .withColumn("margin", F.lit(0.0))
-    )
-    vector = F.unwrap_udt("features")
-    size = state.select(F.coalesce(vector["size"], F.size(vector["values"])).alias("n")).first().n
-    trees: list[DecisionTreeRegressionModel] = []
-    weights: list[float] = []
-    losses: list[float] = []
-    while len(trees) < booster.max_iter:
-        now, names = state, []
-        for _ in range(min(BLOCK_ROUNDS, booster.max_iter - len(trees))):
-            k = len(trees)
-            margin = names[-1] if names else "margin"
-            target = f"4 * (2 * label - 1) / (1 + exp(2 * (2 * label - 1) * {margin}))" if k else "2 * label - 1"
-            grower = RandomForestRegressor(
-                featuresCol="features", labelCol="target", weightCol="weight", predictionCol="grown", numTrees=1,
-                bootstrap=False, maxDepth=booster.max_depth, minInstancesPerNode=booster.min_instances_per_node,
-                subsamplingRate=booster.subsampling_rate, featureSubsetStrategy=booster.feature_subset,
-                maxMemoryInMB=booster.max_memory_mb, seed=seed + k,
-            )
-            tree = grower.fit(T.derive(now.filter("not held"), {"target": target})).trees[0]
-            trees.append(tree.setPredictionCol("grown"))
-            weights.append(booster.step_size if k else 1.0)
-            names.append(f"m{k}")
-            now = T.derive(tree.transform(now), {names[-1]: f"{margin} + {weights[-1]!r}D * grown"}).drop("grown")
-        after = stored(now)
-        drop(state)
-        # log(1 + exp(-2 y F)), without overflow
-        loss = "avg(2 * (greatest(z, 0D) + log1p(exp(-abs(z)))))"
-        found = after.filter("held").selectExpr(*[
-            loss.replace("z", f"(-2 * (2 * label - 1) * {m})") for m in names]).first()
-        losses += [float("inf") if x is None else x for x in found]
-        state = after.select(*columns, "held", F.col(names[-1]).alias("margin"))
-        state.shared_path = after.shared_path
-        best = min(range(len(losses)), key=losses.__getitem__) + 1
-        if best + booster.patience <= len(trees):
-            break
-    drop(state)
-    return boosted_model(trees[:best], weights[:best], size), best
+    rounds = min(FIRST_FIT * booster.patience, booster.max_iter)
+    while True:
+        model = learner(booster, seed, rounds).fit(train)
+        losses = [float("inf") if math.isnan(x) else x for x in model.evaluateEachIteration(held)]
+        best, ended = patient_round(losses, booster.patience)
+        if ended or rounds == booster.max_iter:
+            return boosted_model(model.trees[:best], model.treeWeights[:best], model.numFeatures), best
+        rounds = min(2 * rounds, booster.max_iter)
 
 
 def fit_patiently(train: DataFrame, held: DataFrame, booster: BoosterConfig, seed: int) -> tuple:

@@ -311,3 +311,21 @@ def test_report(predictions, trained, tmp_path):
     for heading in stages.SECTION_TITLES.values():
         assert heading in text
     sinks.write_report(report, str(tmp_path / "report"))
+
+
+def test_patience_ends_at_the_first_long_wait():
+    assert MO.patient_round([5.0, 3.0, 4.0, 4.0, 1.0], 2) == (2, True)
+    assert MO.patient_round([5.0, 3.0, 4.0], 2) == (2, False)
+    assert MO.patient_round([float("inf")] * 4, 2) == (1, True)
+
+
+@pytest.mark.parametrize("patience,fits", [(4, [20]), (1, [5])])
+def test_rounds_of_boosting_share_one_fit(spark, monkeypatch, patience, fits):
+    """Features are binned once for all rounds, and the model is that of the patient round."""
+    df, _ = _small_trees(spark)
+    booster = BoosterConfig(max_iter=20, max_depth=3, min_instances_per_node=5, step_size=0.9, patience=patience)
+    asked, learner = [], MO.learner
+    monkeypatch.setattr(MO, "learner", lambda b, seed, rounds=None: asked.append(rounds) or learner(b, seed, rounds))
+    # labels of the held rows are turned over, so that more rounds bring more loss
+    model, rounds = MO.boost(df, df.withColumn("label", 1 - F.col("label")), booster, 1)
+    assert asked == fits and rounds == model.getNumTrees == 1
