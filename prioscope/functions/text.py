@@ -6,6 +6,8 @@ operator can put a whole derivation into one ``derive`` call.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,15 @@ def bounded(pattern: str) -> str:
     return rf"(?<!{WORD})(?:{pattern})(?!{WORD})"
 
 
+def any_word(words) -> str:
+    """One of some literal words, bounded; grouped by first letters, which come first, so that the search can skip ahead."""
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        by_first.setdefault(re.escape(word[0]), []).append(re.escape(word[1:]))
+    groups = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+    return f"(?=[{''.join(by_first)}])" + bounded(groups)
+
+
 def strip(c: str) -> str:
     ends = sql_string(rf"{WHITESPACE}+$|^{WHITESPACE}+")
     return f"regexp_replace({c}, {ends}, '')"
@@ -136,6 +147,11 @@ def tokens(c: str) -> str:
     return f"regexp_extract_all(lower(coalesce({c}, '')), {pattern}, 0)"
 
 
+def spaced_words(c: str) -> str:
+    """The lower-cased text with a space for whatever is no word character; parts of one character are no tokens."""
+    return f"regexp_replace(lower(coalesce({c}, '')), {sql_string('[^ ' + WORD[1:-1] + ']+')}, ' ')"
+
+
 def terms(c: str) -> str:
     """Tokens, followed by the pairs of neighbouring tokens."""
     n = "greatest(size(w) - 1, 0)"

@@ -18,6 +18,8 @@ from prioscope.functions import text as T
 
 # Items per block when an array is collected step by step.
 BLOCK = 64
+# Matches of a phrase that are cut out of the text one by one.
+FEW = 8
 
 Lexicon = Sequence[tuple[str, int, Sequence[str]]]
 
@@ -100,7 +102,7 @@ def _collect(source: str, item_type: str, numbers: str, step: str, item: str) ->
 
 def negation_tokens(text: str) -> str:
     """Indexes of the tokens that contain a negation word."""
-    words = T.sql_string(T.bounded("|".join(re.escape(w) for w in NEGATION_WORDS)))
+    words = T.sql_string(T.any_word(NEGATION_WORDS))
     tokens = _collect(
         _measure(f"split(lower({text}), {words}, -1)"), "INT",
         "'n', 0", "'n', acc.n + p.spaces", "acc.n + p.spaces",
@@ -136,9 +138,9 @@ def _phrase_hits() -> str:
         "named_struct('char_pos', acc.chars + p.chars, "
         "'word_pos', acc.spaces + p.spaces + p.inside)",
     )
-    # cutting one match out of the text costs its distance from the start
+    # cutting one match out of the text costs its distance from the start, a search costs the whole text
     all_matched = (
-        "regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0)"
+        f"IF(size(hs) > {FEW}, regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0), array())"
     )
     matched = (
         "IF(size(ms) = size(hs), get(ms, occ), substring(r.text, h.char_pos + 1, e.n_chars))"

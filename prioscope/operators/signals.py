@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -105,11 +106,16 @@ def structural_score(stats: StructuralStats, min_rows: int = 10) -> str:
 def sentiment_compound(text: str, valence: Mapping[str, float]) -> str:
     """Sum of token valences s, normalised to s / sqrt(s*s + 15).
 
-    For a dictionary of a few dozen words: each token is looked up once in a literal.
-    ``with_sentiment_compound`` takes a table of any size.
+    For a dictionary of a few dozen words: only tokens that are among them are taken out of the text, and
+    looked up in a literal. ``with_sentiment_compound`` takes a table of any size.
     """
-    total = f"aggregate(w, 0D, (acc, t) -> acc + coalesce({T.sql_case('t', {w: num(v) for w, v in valence.items()}, raw=True)}, 0D))"
-    return T.let("s", T.let("w", T.tokens(text), total), "s / sqrt(s * s + 15D)")
+    # other words are no lower-case tokens, and in no text
+    words = [w for w in valence if re.fullmatch(r"\w{2,}", w) and w == w.lower()]
+    if not words:
+        return "0D"
+    found = f"regexp_extract_all(lower(coalesce({text}, '')), {T.sql_string(T.any_word(words))}, 0)"
+    total = f"aggregate(w, 0D, (acc, t) -> acc + coalesce({T.sql_case('t', {w: num(valence[w]) for w in words}, raw=True)}, 0D))"
+    return T.let("s", T.let("w", found, total), "s / sqrt(s * s + 15D)")
 
 
 def joined_tokens(df: DataFrame, valence: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:

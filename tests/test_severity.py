@@ -3,6 +3,7 @@
 import pytest
 
 from prioscope.config import AuditConfig
+from prioscope.functions import text as T
 from prioscope.operators import labels as LA
 from prioscope.operators import lexicon as LX
 from prioscope.operators import severity as SV
@@ -220,3 +221,24 @@ def test_severity_from_a_valence_table(spark, sf_dir):
     first = scores(fixtures.VALENCE)
     second = infer_severity(tickets, valence=table).select("ticket_id", "sentiment_score", "inferred_severity_score")
     assert {r.ticket_id: (r.sentiment_score, r.inferred_severity_score) for r in second.collect()} == first
+
+
+def test_only_words_with_a_valence_are_taken_out_of_a_text(spark):
+    """The sums that all tokens of odd texts give, and no array of all tokens on the way."""
+    texts = ["Issue issues re-issue; slow_issue SLOW, slow", None, "", "éslow slowé sloẃ slow", "error" * 3 + " error.error"]
+    valence = {"slow": -0.4, "issue": -0.5, "issues": 2.0, "error": -1.4, "x": 9.0, "Great": 3.0, "two words": 4.0}
+    df = spark.createDataFrame([(t,) for t in texts], "full_text STRING")
+    sql = SG.sentiment_compound("full_text", valence)
+    assert "{2,}" not in sql
+    for r in df.selectExpr(f"{T.tokens('full_text')} AS w", f"{sql} AS c").collect():
+        s = sum(valence.get(w, 0.0) for w in r.w)
+        assert r.c == pytest.approx(s / (s * s + 15) ** 0.5)
+
+
+@pytest.mark.parametrize("n", [1, LX.FEW, LX.FEW + 1, 40])
+def test_few_and_many_matches_are_verbatim(spark, n):
+    text = "İΣ not " + " ".join(["SyStem Down", "system down.", "ſystem DOWN"][i % 3] for i in range(n))
+    df = LX.with_lexicon_hits(spark.createDataFrame([(text,)], "full_text STRING"))
+    hits = [h for h in df.first().lexicon_hits if h.phrase == "system down"]
+    assert len(hits) == n
+    assert all(h.matched == text[h.char_pos : h.char_pos + len("system down")] for h in hits)
