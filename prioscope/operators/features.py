@@ -7,9 +7,11 @@ no ticket.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,25 +26,55 @@ from prioscope.functions.durable import drop, durable
 from prioscope.functions.ordering import broadcast_if_bounded, exact_quantiles, number_by
 from prioscope.operators.signals import num, usable_minutes
 
+#: Words that a task counts at once; a longer text is counted whole.
+WORDS_AT_ONCE = 1_000_000
 ENTRY_TYPE = "ARRAY<STRUCT<idx: INT, weight: DOUBLE>>"
 
 
 # ---------------------------------------------------------------------------
 # Text weights
 # ---------------------------------------------------------------------------
+def _sums(words: list[str], lengths: list[int]) -> pd.DataFrame:
+    """(term, tf, df) of some texts, given their words one text after the other, and how many each has."""
+    codes, known = pd.factorize(np.array(words, dtype=object))
+    text = np.repeat(np.arange(len(lengths)), lengths)
+
+    def counted(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found, place, tf = np.unique(keys, return_inverse=True, return_counts=True)
+        return found, tf, np.bincount(np.unique(texts * len(found) + place) % max(1, len(found)), minlength=len(found))
+
+    one, tf, df = counted(codes, text)
+    inside = text[1:] == text[:-1]
+    two, tf2, df2 = counted((codes[:-1] * len(known) + codes[1:])[inside], text[1:][inside])
+    pairs = known[two // len(known)] + " " + known[two % len(known)]
+    return pd.DataFrame({
+        "term": np.concatenate([known[one], pairs]), "tf": np.concatenate([tf, tf2]), "df": np.concatenate([df, df2])})
+
+
+def _task_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(term, tf, df) of texts whose words are parted by spaces: sums of many texts at a time."""
+    words: list[str] = []
+    lengths: list[int] = []
+    for batch in batches:
+        for text in batch["words"]:
+            before = len(words)
+            words += [w for w in text.split(" ") if len(w) > 1]
+            lengths.append(len(words) - before)
+            if len(words) > WORDS_AT_ONCE:
+                yield _sums(words, lengths)
+                words, lengths = [], []
+    if words:
+        yield _sums(words, lengths)
+
+
 def term_counts(df: DataFrame, text: str = "full_text") -> DataFrame:
     """Occurrences and document frequency of every term, with one shuffle by term.
 
-    Each row contributes its occurrences and, once per distinct term, a document.
-    Partial sums before the shuffle keep a term that is everywhere small.
+    Words are counted many texts at a time, as numbers, and added up in the task before they are sent: no
+    row a word is made, and a term that is everywhere is sent once a task.
     """
-    contributions = T.let("g", T.terms(text), (
-        "concat(transform(g, x -> named_struct('term', x, 'tf', 1L, 'df', 0L)), "
-        "transform(array_distinct(g), x -> named_struct('term', x, 'tf', 0L, 'df', 1L)))"
-    ))
-    # outer: an inner generator would have the array computed again to test it
-    rows = df.selectExpr(f"inline_outer({contributions})").filter("term IS NOT NULL")
-    return rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    counted = df.selectExpr(f"{T.spaced_words(text)} AS words").mapInPandas(_task_counts, "term STRING, tf LONG, df LONG")
+    return counted.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def top_terms(counts: DataFrame, n_docs: int, config: AuditConfig = AuditConfig()) -> DataFrame:

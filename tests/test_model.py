@@ -329,3 +329,24 @@ def test_rounds_of_boosting_share_one_fit(spark, monkeypatch, patience, fits):
     # labels of the held rows are turned over, so that more rounds bring more loss
     model, rounds = MO.boost(df, df.withColumn("label", 1 - F.col("label")), booster, 1)
     assert asked == fits and rounds == model.getNumTrees == 1
+
+
+def test_terms_are_counted_without_a_row_a_word(spark):
+    """The counts of each row's own terms, over odd texts, a few texts at a time and all at once."""
+    texts = ["A b-cd cd ef, CD", None, "", "x", "Été éTÉ _a1 İ² ΣΑΣ", "cd ef cd ef", "日本   ée aa\tbb\naa bb"]
+    df = spark.createDataFrame([(t,) for t in texts], "full_text STRING").coalesce(1)
+    want = {}
+    for row in df.selectExpr(f"{FE.T.terms('full_text')} AS g").collect():
+        for term in row.g:
+            want.setdefault(term, [0, 0])[0] += 1
+        for term in set(row.g):
+            want[term][1] += 1
+    counts = FE.term_counts(df)
+    assert {r.term: [r.tf, r.df] for r in counts.collect()} == want
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    import pandas as pd
+
+    words = FE.T.spaced_words("full_text")
+    batch = pd.DataFrame({"words": [r.w for r in df.selectExpr(f"{words} AS w").collect()]})
+    parts = pd.concat(FE._task_counts(iter([batch, batch])))
+    assert parts.groupby("term")["df"].sum().to_dict() == {t: 2 * d for t, (_, d) in want.items()}
