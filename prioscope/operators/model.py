@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -13,7 +12,7 @@ from statistics import median_high
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from prioscope.functions.durable import durable, scratch
 from prioscope.operators import features as FE
 from prioscope.operators import metrics as M
 from prioscope.operators.attribution import PathModel, with_attributions, with_path_attributions
+from prioscope.operators.boosting import boosted_model, fit_together
 from prioscope.operators.folds import ROW_KEYS, class_weights, fold_table, with_folds, with_row_keys
 from prioscope.operators.isotonic import fit_isotonic
 from prioscope.operators.thresholds import with_prediction
@@ -61,18 +61,6 @@ def learner(booster: BoosterConfig, seed: int, rounds: int | None = None):
     )
 
 
-def boosted_model(trees: list[DecisionTreeRegressionModel], weights: list[float], size: int) -> GBTClassificationModel:
-    """Spark ML's model made of given trees, such as the first few of a longer training."""
-    spark = SparkSession.active()
-    gateway, ml = spark.sparkContext._gateway, spark._jvm.org.apache.spark.ml
-    own = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees))
-    shares = gateway.new_array(gateway.jvm.double, len(trees))
-    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
-        own[i], shares[i] = tree._java_obj, float(weight)
-    made = ml.classification.GBTClassificationModel(f"gbtc_{uuid.uuid4().hex[:12]}", own, shares, size, 2)
-    return GBTClassificationModel(made)
-
-
 def patient_round(losses: list[float], patience: int) -> tuple[int, bool]:
     """The round of least loss before ``patience`` rounds brought no smaller one, from 1; and whether they did."""
     best = 0
@@ -122,20 +110,31 @@ def in_parallel(spark: SparkSession, tasks: list, width: int = 4) -> list:
         return list(pool.map(lambda task: task(), bound))
 
 
+def fit_without_each(df: DataFrame, group: str, n: int, config: AuditConfig, rounds: int | None = None) -> list[tuple]:
+    """For each of ``n`` groups of rows, the model of all others with its number of rounds; None for the linear learner.
+
+    Boosted trees of all groups grow together; a model looks for its rounds on its own group unless they are given.
+    """
+    if config.booster.learner == "gbt":
+        return fit_together(df, LABEL, group, n, config.booster, config.seed, patient_round, rounds)
+
+    def one(own: int) -> tuple:
+        return learner(config.booster, config.seed).fit(weighted(df.filter(F.col(group) != own))), None
+
+    return in_parallel(df.sparkSession, [lambda k=k: one(k) for k in range(n)])
+
+
 def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
     """Score every row with the model that was trained without its fold.
 
     ``rounds`` is the number of boosting rounds that the fold chose; null for the linear learner.
     """
 
-    def one(fold: int) -> DataFrame:
-        train = weighted(df.filter(F.col("fold") != fold))
-        held = df.filter(F.col("fold") == fold)
-        marked = T.derive(held, {"weight": "1D", "label": f"CAST({LABEL} AS DOUBLE)"})
-        model, rounds = fit_patiently(train, marked, config.booster, config.seed)
-        return score(model, held, "mismatch_probability").withColumn("rounds", F.lit(rounds).cast("int"))
-
-    scored = in_parallel(df.sparkSession, [lambda f=f: one(f) for f in range(config.cv_folds)])
+    fitted = fit_without_each(df, "fold", config.cv_folds, config)
+    scored = [
+        score(model, df.filter(F.col("fold") == fold), "mismatch_probability").withColumn("rounds", F.lit(rounds).cast("int"))
+        for fold, (model, rounds) in enumerate(fitted)
+    ]
     return reduce(DataFrame.unionByName, scored)
 
 
@@ -152,17 +151,10 @@ def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig(),
     ``df`` has the calibration fold in ``part``. ``rounds`` is the number of boosting rounds
     that the validation folds chose; without it, each model looks for its own.
     """
-
-    def one(part: int) -> tuple:
-        train, held = weighted(df.filter(F.col("part") != part)), df.filter(F.col("part") == part)
-        if rounds:
-            model = learner(config.booster, config.seed, rounds).fit(train)
-        else:
-            marked = T.derive(held, {"weight": "1D", "label": f"CAST({LABEL} AS DOUBLE)"})
-            model, _ = fit_patiently(train, marked, config.booster, config.seed)
-        return model, calibrate(model, held)
-
-    return in_parallel(df.sparkSession, [lambda p=p: one(p) for p in range(config.calibration_folds)])
+    fitted = fit_without_each(df, "part", config.calibration_folds, config, rounds)
+    return in_parallel(df.sparkSession, [
+        lambda p=p, m=model: (m, calibrate(m, df.filter(F.col("part") == p))) for p, (model, _) in enumerate(fitted)
+    ])
 
 
 def score_calibrated(pairs: list[tuple], df: DataFrame) -> DataFrame:

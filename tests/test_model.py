@@ -350,3 +350,66 @@ def test_terms_are_counted_without_a_row_a_word(spark):
     batch = pd.DataFrame({"words": [r.w for r in df.selectExpr(f"{words} AS w").collect()]})
     parts = pd.concat(FE._task_counts(iter([batch, batch])))
     assert parts.groupby("term")["df"].sum().to_dict() == {t: 2 * d for t, (_, d) in want.items()}
+
+
+def _grouped(spark, rows=900):
+    """Rows of three groups: two features of few values, three that are mostly zero, and one that is constant."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(11)
+    x = np.column_stack([
+        rng.integers(-8, 9, (rows, 2)), rng.integers(1, 9, (rows, 3)) * (rng.random((rows, 3)) < 0.1), np.full(rows, 2)]).astype(float)
+    y = (x[:, 0] * x[:, 1] + 6 * x[:, 2] - 4 * x[:, 3] + rng.normal(size=rows) * 9 > 0).astype(int)
+    return spark.createDataFrame(
+        [(str(i), int(b), i % 3, Vectors.dense(a.tolist()) if i % 2 else Vectors.sparse(6, [(j, v) for j, v in enumerate(a.tolist()) if v]))
+         for i, (a, b) in enumerate(zip(x, y))], ["ticket_id", "is_mismatch", "fold", "features"]).coalesce(2).cache()
+
+
+def test_sparse_boosting_grows_the_trees_of_spark_ml(spark, monkeypatch):
+    """Without random draws, out-of-fold scores are those of Spark ML's own booster, whose dense rows are not made."""
+    df = _grouped(spark)
+    booster = BoosterConfig(max_iter=8, max_depth=3, min_instances_per_node=5, step_size=0.3, subsampling_rate=1.0,
+                            feature_subset="all", patience=3)
+    want = {}
+    for fold in range(3):
+        held = df.filter(f"fold = {fold}").withColumns({"label": F.col("is_mismatch").cast("double"), "weight": F.lit(1.0)})
+        model, rounds = MO.boost(MO.weighted(df.filter(f"fold <> {fold}")), held, booster, 42)
+        want |= {r.ticket_id: (rounds, r.p) for r in MO.score(model, held, "p").collect()}
+    monkeypatch.setattr(MO, "learner", None)  # no fit of Spark ML's
+    got = MO.out_of_fold(df, AuditConfig(booster=booster, cv_folds=3)).collect()
+    assert len(got) == len(want) == 900
+    for r in got:
+        assert r.rounds == want[r.ticket_id][0]
+        assert r.mismatch_probability == pytest.approx(want[r.ticket_id][1], abs=1e-9)
+
+
+def test_margins_of_many_rounds_are_stored(spark, monkeypatch):
+    """Scores do not depend on when margins are stored, on tasks, or on how many rows are taken at once."""
+    from prioscope.operators import boosting as BO
+
+    df = _grouped(spark)
+    booster = BoosterConfig(max_depth=3, min_instances_per_node=5, step_size=0.3, patience=2)
+
+    def scores(table):
+        pairs = BO.fit_together(table, "is_mismatch", "fold", 3, booster, 1, MO.patient_round, rounds=5)
+        assert [n for _, n in pairs] == [5, 5, 5]
+        return [r.p for r in MO.score(pairs[1][0], df, "p").orderBy("ticket_id").collect()]
+
+    once = scores(df)
+    monkeypatch.setattr(BO, "STORED_ROUNDS", 2)
+    monkeypatch.setattr(BO, "ROWS_A_TASK", 100)
+    assert scores(df.repartition(5)) == pytest.approx(once, abs=1e-9)
+
+
+def test_cuts_of_values():
+    import numpy as np
+
+    from prioscope.operators.boosting import MAX_BINS, n_asked, thresholds
+
+    assert thresholds(np.array([1.0, 3.0, 3.0]), 5) == [0.5, 2.0]
+    assert thresholds(np.array([2.0, 2.0]), 2) == []
+    many = thresholds(np.arange(1.0, 3201.0), 3200)
+    assert len(many) == MAX_BINS - 1 and many[0] == 100.5
+    assert thresholds(np.arange(1.0, 41.0), 4000) == [0.5]  # few rows: present or not
+    assert [n_asked(s, 10) for s in ("all", "0.8", "4", "sqrt")] == [10, 8, 4, 4]
