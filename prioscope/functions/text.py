@@ -16,9 +16,15 @@ from prioscope.config import LEVEL_RANK, PRIORITY_WORDS
 # Unicode white space including the four ASCII separators that Java's class leaves out.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]"
 NON_WHITESPACE = r"(?U)[^\s\x1c-\x1f]"
-# A word character: any letter, any number, underscore.
-WORD = r"[\p{L}\p{N}_]"
-NON_WORD = r"[^\p{L}\p{N}_]"
+# The same characters up to U+00FF but the space, one by one, as a table look-up tests them; and those beyond.
+_NARROW_SPACES = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE_SPACES = r"[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WIDE_RANGE = r"[\u1680-\u3000]"
+# A word character: any letter, any number, underscore. Those of ASCII are named one by one in a class of
+# their own, which comes first: a table look-up then spares most characters the look at their category.
+_ASCII_WORD = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
+WORD = rf"[[{_ASCII_WORD}]\p{{L}}\p{{N}}]"
+NON_WORD = rf"[^[{_ASCII_WORD}]\p{{L}}\p{{N}}]"
 
 # Four non-ASCII letters that equal an ASCII letter when case is ignored.
 _CASE_VARIANTS = (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k"))
@@ -88,19 +94,38 @@ def strip(c: str) -> str:
     return f"regexp_replace({c}, {ends}, '')"
 
 
+def has_case_variants(c: str) -> str:
+    """Whether ``fold_case`` does more than ``lower``; a text of ASCII is not searched."""
+    found = " OR ".join(f"contains({c}, '{variant}')" for variant, _ in _CASE_VARIANTS)
+    return f"(octet_length({c}) <> length({c}) AND ({found}))"
+
+
 def fold_case(c: str) -> str:
     """Lower-case without changing the number of characters of any ASCII-like letter."""
+    folded = c
     for variant, letter in _CASE_VARIANTS:
-        c = f"replace({c}, '{variant}', '{letter}')"
-    return f"lower({c})"
+        folded = f"replace({folded}, '{variant}', '{letter}')"
+    return f"lower(IF({has_case_variants(c)}, {folded}, {c}))"
 
 
 def clean_text(c: str) -> str:
-    """Null to empty, decode three entities once and in order, collapse white space, strip."""
-    text = f"coalesce(CAST({c} AS STRING), '')"
+    """Null to empty, decode three entities once and in order, collapse white space, strip.
+
+    Every kind of white space becomes a space first, and spaces are collapsed where two meet: the one
+    space after most words is left alone.
+    """
+    decoded = "t"
     for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        text = f"replace({text}, '{entity}', '{char}')"
-    return f"trim(regexp_replace({text}, {sql_string(WHITESPACE + '+')}, ' '))"
+        decoded = f"replace({decoded}, '{entity}', '{char}')"
+    narrow = (
+        f"IF(octet_length(t) <> length(t) AND t RLIKE {sql_string(_WIDE_RANGE)}, "
+        f"regexp_replace(t, {sql_string(_WIDE_SPACES)}, ' '), t)"
+    )
+    spaced = f"regexp_replace(t, {sql_string(f'[{_NARROW_SPACES}]')}, ' ')"
+    text = "IF(contains(t, '  '), regexp_replace(t, '  +', ' '), t)"
+    for step in (spaced, narrow, f"IF(contains(t, '&'), {decoded}, t)", f"coalesce(CAST({c} AS STRING), '')"):
+        text = let("t", step, text)
+    return f"trim({text})"
 
 
 def full_text(subject: str, description: str) -> str:
@@ -149,7 +174,12 @@ def tokens(c: str) -> str:
 
 def spaced_words(c: str) -> str:
     """The lower-cased text with a space for whatever is no word character; parts of one character are no tokens."""
-    return f"regexp_replace(lower(coalesce({c}, '')), {sql_string('[^ ' + WORD[1:-1] + ']+')}, ' ')"
+    return f"regexp_replace(lower(coalesce({c}, '')), {sql_string(NON_WORD.replace('_', '_ ', 1) + '+')}, ' ')"
+
+
+def words(c: str) -> str:
+    """The runs of word characters, in order; the first and the last may be empty."""
+    return f"split(coalesce({c}, ''), {sql_string(NON_WORD + '+')})"
 
 
 def terms(c: str) -> str:

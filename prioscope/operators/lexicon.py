@@ -52,20 +52,17 @@ def _phrase_table(lexicon: Lexicon) -> str:
     return f"array({', '.join(rows)})"
 
 
-def _possible_phrases(folded: str, lexicon: Lexicon) -> str:
+def _possible_phrases(folded: str, words: str, lexicon: Lexicon) -> str:
     """The phrases that occur as substrings and whose first word occurs as a word.
 
     The words of the text are intersected once with all first words; the substring
     test then runs for the few phrases that start with one of them.
     """
     first_words = dict.fromkeys(_first_word(p) for _, _, phrases in lexicon for p in phrases)
-    seen = (
-        f"array_intersect(split({folded}, {T.sql_string(T.NON_WORD + '+')}), "
-        f"{T.sql_strings(first_words)})"
-    )
-    return T.let("words", seen, (
+    seen = f"array_intersect({words}, {T.sql_strings(first_words)})"
+    return T.let("seen", seen, (
         f"filter({_phrase_table(lexicon)}, "
-        f"p -> array_contains(words, p.first_word) AND contains({folded}, p.phrase))"
+        f"p -> array_contains(seen, p.first_word) AND contains({folded}, p.phrase))"
     ))
 
 
@@ -126,47 +123,74 @@ def _zone_flags(text: str) -> str:
     return T.let("zone", negation_zone(text), flags)
 
 
-def _phrase_hits() -> str:
-    """All occurrences of phrase ``e`` in row ``r``, as an array of structs.
+def _near_negation() -> str:
+    """Whether hit ``h`` of row ``r`` is in the zone of a negation, from the tokens around it alone.
+
+    Those are the three before its token and the one after. A hit inside a token counts as in the next one;
+    behind the last token there is no zone.
+    """
+    around = (
+        "concat(substring_index(before, ' ', h.inside - 4), substring_index(after, ' ', h.inside + 2))"
+    )
+    near = (
+        f"(h.inside = 0 OR contains(after, ' ')) "
+        f"AND lower({around}) RLIKE {T.sql_string(T.any_word(NEGATION_WORDS))}"
+    )
+    return T.let("before", "substring(r.text, 1, h.char_pos)", T.let(
+        "after", "substring(r.text, h.char_pos + 1)", near))
+
+
+def _positions() -> str:
+    """Where phrase ``e`` occurs in row ``r``.
 
     The case-folded text has the same length as the text, so positions carry over.
     """
-    positions = _collect(
-        _measure("split(r.folded, e.pattern, -1)"), "STRUCT<char_pos: INT, word_pos: INT>",
+    return _collect(
+        _measure("split(r.folded, e.pattern, -1)"),
+        "STRUCT<char_pos: INT, word_pos: INT, inside: INT>",
         "'chars', 0, 'spaces', 0",
         "'chars', acc.chars + p.chars + e.n_chars, 'spaces', acc.spaces + p.spaces + e.n_spaces",
         "named_struct('char_pos', acc.chars + p.chars, "
-        "'word_pos', acc.spaces + p.spaces + p.inside)",
+        "'word_pos', acc.spaces + p.spaces + p.inside, 'inside', p.inside)",
     )
+
+
+def _described() -> str:
+    """The occurrences ``f.hs`` of phrase ``f.e`` in row ``r``, as an array of structs."""
     # cutting one match out of the text costs its distance from the start, a search costs the whole text
     all_matched = (
-        f"IF(size(hs) > {FEW}, regexp_extract_all(r.text, concat('(?iu)', e.pattern), 0), array())"
+        f"IF(size(f.hs) > {FEW}, regexp_extract_all(r.text, concat('(?iu)', f.e.pattern), 0), array())"
     )
     matched = (
-        "IF(size(ms) = size(hs), get(ms, occ), substring(r.text, h.char_pos + 1, e.n_chars))"
+        "IF(size(ms) = size(f.hs), get(ms, occ), substring(r.text, h.char_pos + 1, f.e.n_chars))"
     )
-    negated = "coalesce(get(r.zone, h.word_pos), '') = '1'"
+    negated = f"IF(many, coalesce(get(zone, h.word_pos), '') = '1', {_near_negation()})"
     described = (
-        "transform(hs, (h, occ) -> named_struct("
-        "'level', e.level, 'level_score', e.level_score, 'phrase_idx', e.phrase_idx, "
-        "'phrase', e.phrase, 'occ', occ, 'char_pos', h.char_pos, "
+        "transform(f.hs, (h, occ) -> named_struct("
+        "'level', f.e.level, 'level_score', f.e.level_score, 'phrase_idx', f.e.phrase_idx, "
+        "'phrase', f.e.phrase, 'occ', occ, 'char_pos', h.char_pos, "
         f"'matched', {matched}, 'word_pos', h.word_pos, 'weight', IF({negated}, 0.5D, 1D)))"
     )
-    return T.let("hs", positions, T.let("ms", all_matched, described))
+    return T.let("ms", all_matched, described)
 
 
-def with_lexicon_hits(df: DataFrame, text: str = "full_text",
-                      lexicon: Lexicon = LEXICON) -> DataFrame:
+def with_lexicon_hits(df: DataFrame, text: str = "full_text", lexicon: Lexicon = LEXICON,
+                      folded: str | None = None, words: str | None = None) -> DataFrame:
     """Add ``lexicon_hits``: every phrase occurrence, in phrase order then position.
 
-    Only phrases that can occur are matched as patterns, on the case-folded text.
+    Only phrases that can occur are matched as patterns, on the case-folded text. The whole text is
+    searched for negations if it has more than a few hits, else the tokens around each. ``folded`` and
+    ``words`` name columns that have the folded text and its words already.
     """
-    row = (
-        f"named_struct('text', {text}, 'folded', {T.fold_case(text)}, "
-        f"'zone', {_zone_flags(text)})"
-    )
-    hits = f"flatten(transform({_possible_phrases('r.folded', lexicon)}, e -> {_phrase_hits()}))"
-    return T.derive(df, {"lexicon_hits": T.let("r", row, hits)})
+    row = f"named_struct('text', {text}, 'folded', {folded or T.fold_case(text)})"
+    possible = _possible_phrases("r.folded", words or T.words("r.folded"), lexicon)
+    found = f"transform({possible}, e -> named_struct('e', e, 'hs', {_positions()}))"
+    n_hits = f"aggregate(found, 0, (n, f) -> n + size(f.hs)) > {FEW}"
+    zone = f"IF(many, {_zone_flags('r.text')}, CAST(array() AS ARRAY<STRING>))"
+    hits = f"flatten(transform(found, f -> {_described()}))"
+    for name, value in (("zone", zone), ("many", n_hits), ("found", found), ("r", row)):
+        hits = T.let(name, value, hits)
+    return T.derive(df, {"lexicon_hits": hits})
 
 
 def lexicon_score(hits: str) -> str:

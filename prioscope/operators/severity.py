@@ -44,7 +44,8 @@ def with_signals(df: DataFrame, stats: S.StructuralStats, config: AuditConfig =
                  valence: Mapping[str, float] | DataFrame | None = None) -> DataFrame:
     """The four signals. Without probabilities or valences they are a neutral 0.5.
 
-    ``valence`` is a dictionary of a few dozen words, or a table (word, valence) of any size.
+    ``valence`` is a dictionary of a few dozen words, or a table (word, valence) of any size. Texts are
+    folded and cut into words once, for phrases and valences.
     """
     use_model = set(LABEL_PROBABILITY_WEIGHTS) <= set(df.columns)
     sentiment = "0.5D"
@@ -52,14 +53,15 @@ def with_signals(df: DataFrame, stats: S.StructuralStats, config: AuditConfig =
         df = S.with_sentiment_compound(df, valence, name="_compound")
         sentiment = S.sentiment_score("_compound", "full_text")
     elif valence is not None:
-        compound = S.sentiment_compound("full_text", valence)
+        compound = S.sentiment_compound_of_words("full_text", "_words", valence)
         sentiment = T.let("c", compound, S.sentiment_score("c", "full_text"))
-    return T.derive(with_lexicon_hits(df), {
+    cut = T.derive(T.derive(df, {"_folded": T.fold_case("full_text")}), {"_words": T.words("_folded")})
+    return T.derive(with_lexicon_hits(cut, folded="_folded", words="_words"), {
         "urgency_lexicon_score": lexicon_score("lexicon_hits"),
         "nli_severity_score": S.label_probability_blend() if use_model else "0.5D",
         "structural_score": S.structural_score(stats, config.structural_min_rows),
         "sentiment_score": sentiment,
-    }).drop("_compound")
+    }).drop("_compound", "_folded", "_words")
 
 
 def infer_severity(df: DataFrame, stats: S.StructuralStats | None = None,

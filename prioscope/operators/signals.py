@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prioscope.config import LABEL_PROBABILITY_WEIGHTS, AuditConfig
 from prioscope.functions import text as T
-from prioscope.functions.durable import durable
+from prioscope.functions.durable import drop, durable
 from prioscope.functions.ordering import exact_quantiles, joinable
 
 # What each structural signal contributes, when it is present.
@@ -67,9 +67,12 @@ class StructuralStats:
 
     @classmethod
     def fit(cls, df: DataFrame) -> StructuralStats:
-        facts = cls.aggregate(df).first().asDict()
+        # written once: the rows may be joined and parsed anew each time they are read
+        narrow = durable(df.select("csat_numeric", "resolution_time_minutes", "first_response_minutes"))
+        facts = cls.aggregate(narrow).first().asDict()
         known = {f"{k}_csat_numeric": facts[f"csat_{v}"] for k, v in (("n", "n"), ("lo", "min"), ("hi", "max"))}
-        median = exact_quantiles(df, {"csat_numeric": [0.5]}, known)["csat_numeric"][0]
+        median = exact_quantiles(narrow, {"csat_numeric": [0.5]}, known)["csat_numeric"][0]
+        drop(narrow)
         return cls(csat_median=median, **facts)
 
 
@@ -109,12 +112,36 @@ def sentiment_compound(text: str, valence: Mapping[str, float]) -> str:
     For a dictionary of a few dozen words: only tokens that are among them are taken out of the text, and
     looked up in a literal. ``with_sentiment_compound`` takes a table of any size.
     """
-    # other words are no lower-case tokens, and in no text
-    words = [w for w in valence if re.fullmatch(r"\w{2,}", w) and w == w.lower()]
-    if not words:
+    known = _token_valences(valence)
+    if not known:
         return "0D"
-    found = f"regexp_extract_all(lower(coalesce({text}, '')), {T.sql_string(T.any_word(words))}, 0)"
-    total = f"aggregate(w, 0D, (acc, t) -> acc + coalesce({T.sql_case('t', {w: num(valence[w]) for w in words}, raw=True)}, 0D))"
+    return _compound_of(_taken_out(text, known), known)
+
+
+def sentiment_compound_of_words(text: str, words: str, valence: Mapping[str, float]) -> str:
+    """The same from the words of the case-folded text, where these are at hand.
+
+    A text with letters that folding changes more than lower-casing does is searched itself.
+    """
+    known = _token_valences(valence)
+    if not known:
+        return "0D"
+    among = f"filter({words}, w -> w IN ({', '.join(T.sql_string(w) for w in known)}))"
+    return _compound_of(f"IF(coalesce({T.has_case_variants(text)}, false), {_taken_out(text, known)}, {among})", known)
+
+
+def _token_valences(valence: Mapping[str, float]) -> dict[str, float]:
+    """Without the words that are no lower-case tokens, and in no text."""
+    return {w: v for w, v in valence.items() if re.fullmatch(r"\w{2,}", w) and w == w.lower()}
+
+
+def _taken_out(text: str, known: Mapping[str, float]) -> str:
+    """The known words of a text, in order."""
+    return f"regexp_extract_all(lower(coalesce({text}, '')), {T.sql_string(T.any_word(known))}, 0)"
+
+
+def _compound_of(found: str, known: Mapping[str, float]) -> str:
+    total = f"aggregate(w, 0D, (acc, t) -> acc + coalesce({T.sql_case('t', {w: num(v) for w, v in known.items()}, raw=True)}, 0D))"
     return T.let("s", T.let("w", found, total), "s / sqrt(s * s + 15D)")
 
 

@@ -242,3 +242,32 @@ def test_few_and_many_matches_are_verbatim(spark, n):
     hits = [h for h in df.first().lexicon_hits if h.phrase == "system down"]
     assert len(hits) == n
     assert all(h.matched == text[h.char_pos : h.char_pos + len("system down")] for h in hits)
+
+
+def test_hits_near_a_negation_are_found_from_the_tokens_around_them(spark):
+    """Few hits of a text are weighed as its whole zone of negations says."""
+    import random
+
+    dealt = random.Random(5)
+    parts = ["broken", "not", "x", "(broken)", "re-issue", "can't", "no-asap", "Σİ", "NOT", "é", "issue,never", "know", "asap"]
+    texts = [" ".join(dealt.choices(parts, k=dealt.randint(1, 9))) for _ in range(300)] + ["x-no-asap", "no-asap", "asap"]
+    df = LX.with_lexicon_hits(spark.createDataFrame([(t,) for t in texts], "full_text STRING"))
+    zone = LX.negation_zone("full_text")
+    seen = [r for r in df.selectExpr("full_text", "size(lexicon_hits) AS n", f"{zone} AS zone", "inline(lexicon_hits)").collect() if r.n <= LX.FEW]
+    assert {r.weight for r in seen} == {0.5, 1.0} and len(seen) > 300
+    assert [r for r in seen if (r.word_pos in r.zone) != (r.weight == 0.5)] == []
+
+
+def test_valences_are_summed_over_the_words_of_the_phrases(spark):
+    """A text is folded and cut into words once; letters that folding changes give what the text itself gives."""
+    valence = {"slow": -0.4, "issue": -0.5, "thank": 1.5}
+    texts = ["Slow, slow issue_ ISSUE. Thank", "", "ſlow ıssue İssue slow", "\u212a thanK issue", "éslow slowé slow", None]
+    df = spark.createDataFrame([(t, None, None, None) for t in texts], "full_text STRING, " + STRUCTURE)
+    cut = df.selectExpr("full_text", f"{T.words(T.fold_case('full_text'))} AS w")
+    both = cut.selectExpr(f"{SG.sentiment_compound('full_text', valence)} AS a",
+                          f"{SG.sentiment_compound_of_words('full_text', 'w', valence)} AS b").collect()
+    assert [r.a for r in both] == [r.b for r in both] and len({r.a for r in both}) > 3
+    signals = SV.with_signals(df, SG.StructuralStats(0, *[None] * 3, 0, None, None, 0, None, None), valence=valence)
+    assert not {"_words", "_folded"} & set(signals.columns)
+    plan = signals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(_folded") == 1  # before: for the phrases alone, and a search for the valences

@@ -78,3 +78,21 @@ def test_case_folding_keeps_length(spark):
     folded = values(spark, rows, T.fold_case("c"))[0]
     assert len(folded) == len(rows[0])
     assert folded.startswith("istanbul isk")
+
+
+def test_clean_text_knows_every_white_space(spark):
+    """What one pattern for all white space gives, for every character by itself, between words and in runs."""
+    every = "".join(chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000)
+    rows = [every, " ".join(every), " \t x\u2003\u3000 y \u00a0", "a &amp;amp; b &amp;lt; c", "a  b", "\u1680", "é\n\n", None]
+    old = "replace(replace(replace(coalesce(c, ''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    old = f"trim(regexp_replace({old}, {T.sql_string(T.WHITESPACE + '+')}, ' '))"
+    assert values(spark, rows, T.clean_text("c")) == values(spark, rows, old)
+    assert "(?U)" not in T.clean_text("c")
+
+
+def test_word_characters_are_letters_numbers_and_underscores(spark):
+    every = "".join(chr(c) for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000)
+    for new, plain in ((T.WORD, r"[\p{L}\p{N}_]"), (T.NON_WORD, r"[^\p{L}\p{N}_]")):
+        got, want = (values(spark, [every], f"regexp_replace(c, {T.sql_string(p)}, '')") for p in (new, plain))
+        assert got == want
+    assert values(spark, ["a_b  c.d-é1 ²x"], T.spaced_words("c")) == ["a_b  c d é1 ²x"]
