@@ -40,8 +40,18 @@ def _sums(words: list[str], lengths: list[int]) -> pd.DataFrame:
     text = np.repeat(np.arange(len(lengths)), lengths)
 
     def counted(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found, place, tf = np.unique(keys, return_inverse=True, return_counts=True)
-        return found, tf, np.bincount(np.unique(texts * len(found) + place) % max(1, len(found)), minlength=len(found))
+        """Each key, how often it occurs and in how many texts: from one sort of (key, text) as one number."""
+        n = len(lengths)
+        if len(keys) and int(keys.max()) >= np.iinfo(np.int64).max // n:  # texts of very many different words
+            found, keys = np.unique(keys, return_inverse=True)
+            place, tf, df = counted(keys, texts)
+            return found[place], tf, df
+        both = np.sort(keys * n + texts)
+        new = np.diff(both, prepend=-1) != 0  # the first of its text with this key
+        firsts = both[new] // n
+        start = np.flatnonzero(np.diff(firsts, prepend=-1))
+        at = np.flatnonzero(new)[start]
+        return firsts[start], np.diff(at, append=len(both)), np.diff(start, append=len(firsts))
 
     one, tf, df = counted(codes, text)
     inside = text[1:] == text[:-1]

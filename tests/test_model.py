@@ -413,3 +413,30 @@ def test_cuts_of_values():
     assert len(many) == MAX_BINS - 1 and many[0] == 100.5
     assert thresholds(np.arange(1.0, 41.0), 4000) == [0.5]  # few rows: present or not
     assert [n_asked(s, 10) for s in ("all", "0.8", "4", "sqrt")] == [10, 8, 4, 4]
+
+
+def test_terms_are_counted_from_one_sort(monkeypatch):
+    """The counts of a plain count, also where word pairs and texts are too many for one number."""
+    import random
+    from collections import Counter
+
+    dealt = random.Random(3)
+    texts = [[f"w{dealt.randint(0, 30)}" for _ in range(dealt.choice([0, 1, 2, 40]))] for _ in range(50)]
+    tf, df = Counter(), Counter()
+    for words in texts:
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        tf.update(terms)
+        df.update(set(terms))
+
+    def counts():
+        found = FE._sums([w for words in texts for w in words], [len(words) for words in texts])
+        return {r.term: (r.tf, r.df) for r in found.itertuples()}
+
+    expected = {t: (n, df[t]) for t, n in tf.items()}
+    with monkeypatch.context() as patch:
+        patch.setattr(FE.np, "unique", None)  # before: several searches for the different keys
+        assert counts() == expected
+    with monkeypatch.context() as patch:
+        patch.setattr(FE.np, "iinfo", lambda kind: type("Small", (), {"max": 50_000}))
+        assert counts() == expected
+    assert FE._sums([], [0]).empty
