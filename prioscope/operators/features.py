@@ -142,8 +142,7 @@ class TfidfModel:
     def weights(self, df: DataFrame, key: str = "ticket_id",
                 text: str = "full_text") -> DataFrame:
         """The same as one row per (key, idx)."""
-        return self.with_entries(df.select(key, text), "entries", text).selectExpr(
-            key, "inline_outer(entries)").filter("idx IS NOT NULL")
+        return entry_rows(self.with_entries(df.select(key, text), "entries", text), key)
 
 
 # ---------------------------------------------------------------------------
@@ -347,6 +346,12 @@ def with_vector_entries(df: DataFrame, vector: str = "features", name: str = "en
         name: f"CAST({zipped} AS {ENTRY_TYPE})"}).drop("_v")
 
 
+def entry_rows(df: DataFrame, key: str, name: str = "entries") -> DataFrame:
+    """One row per (key, idx). Outer, then without the rows of no entries: before an inner ``inline`` the
+    optimizer puts a filter on the array's size, which has all that makes the array in it, once a mention."""
+    return df.selectExpr(key, f"inline_outer({name})").filter("idx IS NOT NULL")
+
+
 @dataclass(frozen=True)
 class FeatureModel:
     """Everything fitted on the training rows that scoring needs again."""

@@ -409,7 +409,7 @@ def feature_vector_entries(spark, sf):
     """The vectors as a table: text weights, embedding, scaled columns."""
     df = _with_embeddings(spark, sf, durable_labelled(spark, sf))
     vectors = FE.with_vector_entries(FE.FeatureModel.fit(df).transform(df))
-    return rounded(vectors.selectExpr("ticket_id", "inline(entries)").withColumnRenamed("weight", "value"))
+    return rounded(FE.entry_rows(vectors, "ticket_id").withColumnRenamed("weight", "value"))
 
 
 # --------------------------------------------------------------- classifier

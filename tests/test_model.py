@@ -55,6 +55,14 @@ def test_row_vectors_agree_with_the_weights_table(labelled):
     assert rounded(vectors) == rounded(table)
 
 
+def test_vectors_are_made_once_a_row(spark, sf_dir):
+    """Their entries as rows: no filter on the array that would make texts' terms and the vector again."""
+    from prioscope.queries import QUERIES
+
+    plan = QUERIES["feature_vector_entries"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 def test_vector_of_a_text_without_known_terms(spark, labelled):
     model = FE.FeatureModel.fit(labelled)
     odd = labelled.limit(1).withColumn("full_text", F.lit("qqqq"))
