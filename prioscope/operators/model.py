@@ -110,27 +110,31 @@ def in_parallel(spark: SparkSession, tasks: list, width: int = 4) -> list:
         return list(pool.map(lambda task: task(), bound))
 
 
-def fit_without_each(df: DataFrame, group: str, n: int, config: AuditConfig, rounds: int | None = None) -> list[tuple]:
+def fit_without_each(df: DataFrame, group: str, n: int, config: AuditConfig, rounds: int | None = None,
+                     after: tuple[str, int] | None = None) -> list[tuple]:
     """For each of ``n`` groups of rows, the model of all others with its number of rounds; None for the linear learner.
 
     Boosted trees of all groups grow together; a model looks for its rounds on its own group unless they are given.
+    ``after`` is a second grouping and its number of groups: their models come last, with the median of the rounds
+    that the others found.
     """
     if config.booster.learner == "gbt":
-        return fit_together(df, LABEL, group, n, config.booster, config.seed, patient_round, rounds)
+        return fit_together(df, LABEL, group, n, config.booster, config.seed, patient_round, rounds,
+                            after=(*after, median_high) if after else None)
 
-    def one(own: int) -> tuple:
-        return learner(config.booster, config.seed).fit(weighted(df.filter(F.col(group) != own))), None
+    def one(by: str, own: int) -> tuple:
+        return learner(config.booster, config.seed).fit(weighted(df.filter(F.col(by) != own))), None
 
-    return in_parallel(df.sparkSession, [lambda k=k: one(k) for k in range(n)])
+    return in_parallel(df.sparkSession, [
+        lambda by=by, k=k: one(by, k) for by, n_groups in ((group, n), *([after] if after else [])) for k in range(n_groups)])
 
 
-def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig()) -> DataFrame:
-    """Score every row with the model that was trained without its fold.
+def out_of_fold(df: DataFrame, config: AuditConfig = AuditConfig(), fitted: list[tuple] | None = None) -> DataFrame:
+    """Score every row with the model that was trained without its fold; ``fitted`` has those models if they are there.
 
     ``rounds`` is the number of boosting rounds that the fold chose; null for the linear learner.
     """
-
-    fitted = fit_without_each(df, "fold", config.cv_folds, config)
+    fitted = fitted or fit_without_each(df, "fold", config.cv_folds, config)
     scored = [
         score(model, df.filter(F.col("fold") == fold), "mismatch_probability").withColumn("rounds", F.lit(rounds).cast("int"))
         for fold, (model, rounds) in enumerate(fitted)
@@ -145,13 +149,14 @@ def calibrate(model, held: DataFrame) -> IsotonicRegressionModel:
 
 
 def fit_calibrated(df: DataFrame, config: AuditConfig = AuditConfig(),
-                   rounds: int | None = None) -> list[tuple]:
+                   rounds: int | None = None, fitted: list[tuple] | None = None) -> list[tuple]:
     """Per calibration fold: a model of the other folds, and its calibration on this one.
 
     ``df`` has the calibration fold in ``part``. ``rounds`` is the number of boosting rounds
-    that the validation folds chose; without it, each model looks for its own.
+    that the validation folds chose; without it, each model looks for its own. ``fitted`` has the models if they
+    are there.
     """
-    fitted = fit_without_each(df, "part", config.calibration_folds, config, rounds)
+    fitted = fitted or fit_without_each(df, "part", config.calibration_folds, config, rounds)
     return in_parallel(df.sparkSession, [
         lambda p=p, m=model: (m, calibrate(m, df.filter(F.col("part") == p))) for p, (model, _) in enumerate(fitted)
     ])
@@ -265,13 +270,13 @@ def train(labelled: DataFrame, config: AuditConfig = AuditConfig()) -> MismatchM
     check_training_size(rows, config)
     with scratch() as mine:
         feature_model, table = prepare_training(rows, config)
-        oof = durable(out_of_fold(table, config).select(
+        # models for calibration have the median of the rounds that the folds choose, and grow beside theirs
+        fitted = fit_without_each(table, "fold", config.cv_folds, config, after=("part", config.calibration_folds))
+        oof = durable(out_of_fold(table, config, fitted[:config.cv_folds]).select(
             "ticket_id", LABEL, "fold", "rounds", "mismatch_probability"))
         folds = durable(M.fold_metrics(oof))
         threshold = M.fold_threshold_median(folds).first().threshold
-        # a number a fold; null for the linear learner
-        rounds = [r.rounds for r in oof.select("fold", "rounds").distinct().collect() if r.rounds]
-        pairs = fit_calibrated(table, config, int(median_high(rounds)) if rounds else None)
+        pairs = fit_calibrated(table, config, fitted=fitted[config.cv_folds:])
         linear = config.booster.learner == "logistic"
         coefficients, means = explain(table, pairs) if linear else ([], [])
         mine.keep(oof, folds, feature_model.encoders, feature_model.tfidf.vocabulary)

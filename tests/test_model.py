@@ -410,6 +410,65 @@ def test_margins_of_many_rounds_are_stored(spark, monkeypatch):
     assert scores(df.repartition(5)) == pytest.approx(once, abs=1e-9)
 
 
+def test_models_of_two_groupings_grow_together(spark):
+    """Those of the second have the median of the others' rounds, and are the models of a fit with so many."""
+    from statistics import median_high
+
+    from prioscope.operators import boosting as BO
+
+    df = _grouped(spark).withColumn("part", F.expr("CAST(ticket_id AS INT) div 7 % 2")).cache()
+    booster = BoosterConfig(max_iter=12, max_depth=3, min_instances_per_node=5, step_size=0.5, patience=2)
+
+    def fit(*group, **more):
+        return BO.fit_together(df, "is_mismatch", *group, booster, 1, MO.patient_round, **more)
+
+    both = fit("fold", 3, after=("part", 2, median_high))
+    alone = fit("fold", 3)
+    rounds = median_high([n for _, n in alone])
+    assert [n for _, n in both] == [n for _, n in alone] + [rounds] * 2
+    for (got, n), (want, _) in zip(both, alone + fit("part", 2, rounds=rounds), strict=True):
+        assert got.getNumTrees == n
+        for a, b in zip(got.trees, want.trees, strict=True):
+            assert (a.depth, a.numNodes) == (b.depth, b.numNodes)
+        pairs = zip(*[[r.p for r in MO.score(m, df, "p").orderBy("ticket_id").collect()] for m in (got, want)], strict=True)
+        assert all(x == pytest.approx(y, abs=1e-9) for x, y in pairs)
+
+
+def test_training_fits_its_models_once(spark, monkeypatch, labelled):
+    """Folds for validation and for calibration are one fit, so a level of all their trees is one job."""
+    fits, together = [], MO.fit_together
+    monkeypatch.setattr(MO, "fit_together", lambda *a, **b: fits.append(a) or together(*a, **b))
+    config = AuditConfig(booster=BoosterConfig(max_iter=2, max_depth=2, step_size=0.3, patience=1), cv_folds=3, calibration_folds=2)
+    model = MO.train(labelled, config)
+    assert len(fits) == 1 and len(model.pairs) == 2
+    assert {m.getNumTrees for m, _ in model.pairs} <= {r.rounds for r in model.oof.select("rounds").distinct().collect()}
+
+
+def test_only_rows_of_smaller_children_are_added_up(spark):
+    import numpy as np
+
+    from prioscope.operators import boosting as BO
+
+    bins = BO.Bins([[0.5], [0.5]])  # a code each
+    rows = [[0], [0, 1], [1], [], [], []]
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    block = BO.Block(np.arange(6), np.full((6, 1), 1, np.int32), np.array([1.0, 1, -1, 1, -1, -1]), ends,
+                     np.array([c for r in rows for c in r], np.uint16), np.zeros((6, 1)))
+    tree = BO.Tree()
+    tree.split(0, 0, 0, 1.0, [6.0, 0.0, 6.0], [4.0, -2.0, 4.0])  # four rows without code 0, two with it
+    level = BO.Level(spark.sparkContext.broadcast(bins), BoosterConfig(subsampling_rate=1.0, feature_subset="all", min_instances_per_node=1), 1, 0,
+                     [BO.Model(0, 0, (1.0, 1.0))], {0: tree}, [], [BO.Pair(0, 0, (1, 2), 1)], [], np.array([0, 2]))
+    [(_, part)] = level.add_up([block])
+    assert part[1].tolist() == [[0.0, 2.0, 2.0]]  # rows of label 0, of label 1, and the sum of their targets
+    assert part[2].tolist() == [[[0.0, 0.0], [2.0, 1.0], [2.0, 1.0]]]
+    before = ("made", np.array([[3.0, 3.0, 0.0]]), np.array([[[0.0, 1.0], [2.0, 1.0], [2.0, 0.0]]]), None)
+    [(_, made)] = level.grow([(0, before), (0, part)])
+    assert made[1].tolist() == [[3.0, 1.0, -2.0], [0.0, 2.0, 2.0]]
+    assert made[2].tolist() == [[[0.0, 1.0], [0.0, 0.0], [0.0, -1.0]], [[0.0, 0.0], [2.0, 1.0], [2.0, 1.0]]]
+    feature, _, gain, _ = made[3][0]
+    assert feature.tolist() == [1, -1] and gain[0] > 0  # node 1 is split by code 1; node 2 has rows of one label alone
+
+
 def test_cuts_of_values():
     import numpy as np
 
